@@ -33,7 +33,7 @@ from vitrine.functions.text import (
     url_key,
 )
 from vitrine.operators.skew import latest, with_new_ids
-from vitrine.session import broadcast_if_small
+from vitrine.session import broadcast_if_small, materialized
 
 # Columns an update takes from the batch, with the default for an absent field.
 UPDATED = {
@@ -92,10 +92,6 @@ class Assignment:
     merged: DataFrame
 
 
-def _same(df: DataFrame) -> DataFrame:
-    return df
-
-
 def crawl_states(
     crawls: DataFrame, batch: DataFrame, listings: DataFrame, min_rows: int = 0
 ) -> DataFrame:
@@ -328,7 +324,7 @@ def match_batch(
     *,
     shops_bound: DataFrame | None = None,
     min_rows: int = 0,
-    cut: Callable[[DataFrame], DataFrame] = _same,
+    cut: Callable[[DataFrame], DataFrame] = materialized,
 ) -> Assignment:
     bound = shops_bound if shops_bound is not None else shops
     states = crawl_states(crawls, batch, listings, min_rows)
@@ -570,14 +566,14 @@ def reconcile(
     new_id: Column | None = None,
     shops_bound: DataFrame | None = None,
     min_rows: int = 0,
-    cut: Callable[[DataFrame], DataFrame] = _same,
+    cut: Callable[[DataFrame], DataFrame] = materialized,
 ) -> RefreshOutput:
     """Reconcile ``batch`` (parsed rows with ``shop_id`` and batch position ``seq``).
 
     ``crawls(shop_id, source_slug, authoritative, error, chunk_index, entry_url)`` has one row per
     crawled shop. ``new_id`` computes a new listing's id from its item; by default ids continue
-    after the highest stored one. Pass ``cut=checkpointed`` when more than one output is written,
-    so that the matching runs once.
+    after the highest stored one. ``cut`` writes the three intermediate results, so that the
+    matching runs once however many outputs are used.
     """
     matched = match_batch(
         listings, batch, crawls, shops, shops_bound=shops_bound, min_rows=min_rows, cut=cut
@@ -631,7 +627,7 @@ def chunk_latest_success(
     newest = latest(rows, ["source_slug", "chunk_index"], ["started_at", "id"])
     return newest.join(expected, "source_slug").filter(
         (F.col("chunk_index") >= 0) & (F.col("chunk_index") < F.col("chunk_count"))
-    ).drop("chunk_count")
+    ).drop("chunk_count", "expected_jobs")
 
 
 def chunk_states(

@@ -8,6 +8,7 @@ from vitrine.operators import refresh as R
 from vitrine.operators.skew import latest
 from vitrine.plans.registry import query
 from vitrine.schemas import TABLES
+from vitrine.session import materialized
 from vitrine.sources import adapters as A
 from vitrine.sources import feeds as S
 from vitrine.sources import tables as T
@@ -80,9 +81,10 @@ WHERE p.id NOT IN (SELECT superseded_id FROM resolved WHERE superseded_id IS NOT
 
 
 def outputs(spark: SparkSession, folder: str) -> R.RefreshOutput:
+    """The stored catalog and the batch are tables in practice, so they are written first."""
     return R.reconcile(
-        A.prior_listings(spark, folder),
-        A.refresh_batch(spark, folder),
+        materialized(A.prior_listings(spark, folder)),
+        materialized(A.refresh_batch(spark, folder)),
         A.crawls(spark, folder),
         A.shops(spark, folder),
         A.moment(AS_OF),
@@ -93,8 +95,8 @@ def outputs(spark: SparkSession, folder: str) -> R.RefreshOutput:
 
 def matching(spark: SparkSession, folder: str) -> R.Assignment:
     return R.match_batch(
-        A.prior_listings(spark, folder),
-        A.refresh_batch(spark, folder),
+        materialized(A.prior_listings(spark, folder)),
+        materialized(A.refresh_batch(spark, folder)),
         A.crawls(spark, folder),
         A.shops(spark, folder),
         shops_bound=A.shops_bound(spark, folder),

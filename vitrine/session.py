@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table of its own in the shared folder and read it back.
+
+    Like ``checkpointed`` this cuts the lineage and survives lost executors; being Parquet, what
+    reads it gets column pruning, pushed filters and exact sizes for its join choices.
+    """
+    path = f"{shared_dir(df.sparkSession)}/vitrine/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate; exact for plain file scans, an upper guess above joins."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

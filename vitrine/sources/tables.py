@@ -55,20 +55,19 @@ def seed_shops(
 
 
 def append_events(events: DataFrame, path: str, moment: str = "observed_at") -> None:
-    """Append to an event log partitioned by date.
+    """Append to an event log partitioned by month.
 
-    The rows are brought together by date and a hash of the row, so a date is written by several
-    tasks and a busy day does not end in one file.
+    The rebalance hint brings a month's rows together and lets adaptive execution split a month
+    that is too large for one task and merge small ones.
     """
-    dated = events.withColumn("event_date", F.to_date(moment))
-    spread = F.pmod(F.hash(*[F.col(c) for c in events.columns]), F.lit(16))
-    dated.repartition(F.col("event_date"), spread).write.mode("append").partitionBy(
-        "event_date"
-    ).parquet(path)
+    dated = events.withColumn("event_month", F.date_format(moment, "yyyy-MM"))
+    dated.hint("rebalance", "event_month").write.mode("append").partitionBy("event_month").parquet(
+        path
+    )
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("event_date")
+    return spark.read.parquet(path).drop("event_month")
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
