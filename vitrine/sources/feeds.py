@@ -24,6 +24,7 @@ from vitrine.functions.text import (
     dollars,
     first_match,
     html_to_lines,
+    html_unescape,
     java,
     let,
     lines_of,
@@ -604,7 +605,9 @@ def meta_page_feed(pages: DataFrame, sources: DataFrame) -> DataFrame:
                 )
             ),
             "source_description": clean_text(
-                F.coalesce(null_if_empty(F.col("og_description")), F.col("meta_description"))
+                html_unescape(
+                    F.coalesce(null_if_empty(F.col("og_description")), F.col("meta_description"))
+                )
             ),
             "images": F.filter(F.array(clean_text(F.col("og_image"))), lambda u: u != ""),
         }
