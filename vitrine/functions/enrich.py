@@ -17,8 +17,8 @@ from vitrine.functions.text import (
     java,
     let,
     lines_of,
+    non_empty,
     normalize_lookup,
-    null_if_empty,
     squash_key,
     text_or_empty,
     unify_line_breaks,
@@ -289,10 +289,10 @@ def enrich_listings(
     if sections:
         lines, keys = F.col("_lines"), F.col("_keys")
         materials = F.coalesce(
-            null_if_empty(section_of(lines, keys, V.MATERIAL_LABELS)), materials
+            non_empty(section_of(lines, keys, V.MATERIAL_LABELS)), materials
         )
         dimensions = F.coalesce(
-            null_if_empty(section_of(lines, keys, V.DIMENSION_LABELS)), dimensions
+            non_empty(section_of(lines, keys, V.DIMENSION_LABELS)), dimensions
         )
     staged = staged.withColumns(
         {

@@ -40,6 +40,15 @@ def null_if_empty(column: Column) -> Column:
     return F.nullif(column, F.lit(""))
 
 
+def non_empty(value: Column) -> Column:
+    """``value``, null when ''. Unlike ``nullif`` it evaluates a costly ``value`` once."""
+    return F.get(F.filter(F.array(value), lambda x: x != ""), F.lit(0))
+
+
+def non_zero(value: Column) -> Column:
+    return F.get(F.filter(F.array(value), lambda x: x != 0), F.lit(0))
+
+
 def contains_any(column: Column, terms: tuple[str, ...] | list[str]) -> Column:
     result = column.contains(terms[0])
     for term in terms[1:]:
@@ -149,7 +158,7 @@ def first_match(column: Column, pattern: str, group: int = 0) -> Column:
 def price_text(column: Column) -> Column:
     """First ``$1,234.00 CAD`` in the text, else the first ``$1,234``, else ''."""
     return F.coalesce(
-        null_if_empty(first_match(column, java(V.PRICE_CAD_PATTERN))),
+        non_empty(first_match(column, java(V.PRICE_CAD_PATTERN))),
         first_match(column, java(V.PRICE_DOLLAR_PATTERN)),
     )
 

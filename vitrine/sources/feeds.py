@@ -28,6 +28,8 @@ from vitrine.functions.text import (
     java,
     let,
     lines_of,
+    non_empty,
+    non_zero,
     normalize_lookup,
     null_if_empty,
     parse_price,
@@ -157,7 +159,7 @@ def collection_feed(
         "array<struct<price:string,available:boolean>>"
     ))
     priced = F.filter(variants, lambda v: text_or_empty(v["price"]) != "")
-    value = F.nullif(parse_price(F.get(priced, F.lit(0))["price"]), F.lit(0.0))
+    value = non_zero(parse_price(F.get(priced, F.lit(0))["price"]))
     url = resolve_url(
         F.col("website"), F.concat(F.lit("/products/"), clean_text(F.col("item.handle")))
     )
@@ -309,7 +311,7 @@ def gallery_feed(payloads: DataFrame, sources: DataFrame) -> DataFrame:
         .withColumn(
             "title",
             F.coalesce(
-                null_if_empty(_gallery_title(F.col("_raw"), F.col("_folded"))),
+                non_empty(_gallery_title(F.col("_raw"), F.col("_folded"))),
                 null_if_empty(F.col("_item_title")),
                 slug_to_title(F.col("item.id")),
             ),
@@ -560,9 +562,7 @@ def product_page_feed(pages: DataFrame, sources: DataFrame) -> DataFrame:
         ~E.is_current_production(normalize_lookup(F.col("source_description")))
     )
     shown_price = price_text(F.col("visible_text"))
-    value = F.nullif(
-        parse_price(F.coalesce(null_if_empty(F.col("_offer.price")), shown_price)), F.lit(0.0)
-    )
+    value = non_zero(parse_price(F.coalesce(null_if_empty(F.col("_offer.price")), shown_price)))
     shaped = kept.withColumns(
         {
             "title": F.coalesce(
