@@ -150,8 +150,18 @@ def _plain(label: str) -> str:
     return label.replace("é", "e")
 
 
-def with_section_lines(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``_lines`` and ``_keys``: the cleaned lines of ``text`` and their lookup keys."""
+def with_section_lines(df: DataFrame, text: str, folded: str | None = None) -> DataFrame:
+    """Adds ``_lines`` and ``_keys``: the cleaned lines of ``text`` and their lookup keys.
+
+    ``folded`` names the folded form of a ``text`` that has plain line feeds only.
+    """
+    if folded is not None:
+        return df.withColumns(
+            {
+                "_lines": F.transform(lines_of(F.col(text)), clean_text),
+                "_keys": F.transform(lines_of(F.col(folded)), squash_key),
+            }
+        )
     return (
         df.withColumn("_unified", unify_line_breaks(F.col(text)))
         .withColumn("_folded", ascii_fold(F.col("_unified")))
@@ -276,6 +286,7 @@ def enrich_listings(
     title: str = "title",
     description: str = "description",
     description_lines: str | None = None,
+    folded_lines: str | None = None,
 ) -> DataFrame:
     """Adds every attribute derived from a parsed record's texts.
 
@@ -284,7 +295,7 @@ def enrich_listings(
     """
     both = F.concat_ws(" ", F.col(title), F.col(description))
     sections = description_lines is not None
-    staged = with_section_lines(df, description_lines) if sections else df
+    staged = with_section_lines(df, description_lines, folded_lines) if sections else df
     materials, dimensions = extract_materials(both), extract_dimensions(F.col(description))
     if sections:
         lines, keys = F.col("_lines"), F.col("_keys")
@@ -307,8 +318,3 @@ def enrich_listings(
     return staged.withColumns(
         {"designer": F.col("_names.designer"), "maker": F.col("_names.maker")}
     ).drop("_names", *(["_lines", "_keys"] if sections else []))
-
-
-def with_lookup(df: DataFrame, title: str, description: str, out: str = "_lookup") -> DataFrame:
-    """Adds the normalized "title description" the row classifiers read."""
-    return df.withColumn(out, normalize_lookup(F.concat_ws(" ", F.col(title), F.col(description))))

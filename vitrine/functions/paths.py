@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vitrine import fixed_values as V
-from vitrine.session import any_of
 
 
 def _bare(path: Column) -> Column:
@@ -31,9 +32,14 @@ def path_type(path: Column) -> Column:
 
 
 def path_tracked(path: Column) -> Column:
-    """Blocked prefixes are plain text prefixes, so ``/adminx`` is blocked too."""
-    key = path_key(path)
-    return ~(key.isin(*V.BLOCKED_PATHS) | any_of([key.startswith(p) for p in V.BLOCKED_PREFIXES]))
+    """Blocked prefixes are plain text prefixes, so ``/adminx`` is blocked too.
+
+    One pattern over the path as sent (with or without its leading slash), so that a filter on it
+    evaluates the path once.
+    """
+    prefixes = "|".join(re.escape(p[1:]) for p in V.BLOCKED_PREFIXES)
+    exact = "|".join(re.escape(p[1:]) for p in V.BLOCKED_PATHS)
+    return ~F.coalesce(path, F.lit("")).rlike(rf"^/?(?:(?:{prefixes})|(?:{exact})(?:\?|\z))")
 
 
 def normalize_lang(lang: Column) -> Column:

@@ -56,13 +56,14 @@ def contains_any(column: Column, terms: tuple[str, ...] | list[str]) -> Column:
     return result
 
 
+def _fold(value: str) -> str:
+    return unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode("ascii")
+
+
 @F.pandas_udf(T.StringType())
 def ascii_fold(values: pd.Series) -> pd.Series:
     """NFKD, then drop everything outside ASCII. Line breaks survive."""
-    return values.map(
-        lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode("ascii"),
-        na_action="ignore",
-    )
+    return values.map(_fold, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
@@ -70,10 +71,14 @@ def html_unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def html_to_lines(values: pd.Series) -> pd.Series:
-    """Visible text of an HTML fragment, one text node per line."""
-    return values.map(lambda x: "\n".join(visible_strings(x)), na_action="ignore")
+@F.pandas_udf(T.StructType().add("lines", "string").add("folded", "string"))
+def html_text(values: pd.Series) -> pd.DataFrame:
+    """Visible text of an HTML fragment, one text node (or line of it) per line, and its folded
+    form, so that a feed passes its markup to Python once."""
+    lines = values.map(
+        lambda x: "\n".join("\n".join(visible_strings(x)).splitlines()), na_action="ignore"
+    )
+    return pd.DataFrame({"lines": lines, "folded": lines.map(_fold, na_action="ignore")})
 
 
 def clean_text(column: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine import fixed_values as V
@@ -89,12 +89,13 @@ def designer_facet(
             F.min_by("label", F.struct(F.length("label"), F.col("label"))).alias("value"),
         )
     )
-    # a one-row aggregate
-    crowd = counted.agg((F.count(F.lit(1)) > busy).alias("_busy")).withColumn("_one", F.lit(1))
-    kept = (
-        counted.withColumn("_one", F.lit(1))
-        .join(F.broadcast(crowd), "_one")
-        .filter(~F.col("_busy") | (F.col("count") >= 2))
+    # the first busy + 1 names say whether there are more than busy; the window is over those only
+    first = counted.orderBy(F.col("count").desc(), F.col("key").asc()).limit(
+        max(busy + 1, limit)
+    )
+    crowded = F.count(F.lit(1)).over(Window.partitionBy()) > busy
+    kept = first.withColumn("_crowded", crowded).filter(
+        ~F.col("_crowded") | (F.col("count") >= 2)
     )
     top = kept.orderBy(F.col("count").desc(), F.col("key").asc()).limit(limit)
     return top.select("value", "count").orderBy("value")

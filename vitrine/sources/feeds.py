@@ -23,7 +23,7 @@ from vitrine.functions.text import (
     distinct_urls,
     dollars,
     first_match,
-    html_to_lines,
+    html_text,
     html_unescape,
     java,
     let,
@@ -126,16 +126,29 @@ def _price_or_contact(value: Column) -> Column:
 
 
 def _described(df: DataFrame, markup: Column) -> DataFrame:
-    """Adds ``lines`` (visible text by line) and ``source_description``."""
-    return df.withColumn("lines", html_to_lines(text_or_empty(markup))).withColumn(
-        "source_description", clean_text(F.col("lines"))
+    """Adds ``lines`` and ``folded`` (visible text by line), ``source_description`` and the lookup
+    keys of title, description and both."""
+    read = df.withColumn("_html", html_text(text_or_empty(markup))).withColumn(
+        "_title_fold", ascii_fold(F.col("title"))
+    )
+    return _with_keys(
+        read.withColumns({"lines": F.col("_html.lines"), "folded": F.col("_html.folded")})
+        .withColumn("source_description", clean_text(F.col("lines")))
     )
 
 
-def _enriched(df: DataFrame, with_sections: bool = False) -> DataFrame:
-    return E.enrich_listings(
-        df, "title", "source_description", "lines" if with_sections else None
+def _with_keys(df: DataFrame) -> DataFrame:
+    """``_title_key``, ``_text_key`` and ``_lookup`` from the folded title and text."""
+    keyed = df.withColumns(
+        {"_title_key": squash_key(F.col("_title_fold")), "_text_key": squash_key(F.col("folded"))}
     )
+    return keyed.withColumn("_lookup", F.trim(F.concat_ws(" ", "_title_key", "_text_key")))
+
+
+def _enriched(df: DataFrame, with_sections: bool = False) -> DataFrame:
+    if with_sections:
+        return E.enrich_listings(df, "title", "source_description", "lines", "folded")
+    return E.enrich_listings(df, "title", "source_description")
 
 
 def collection_feed(
@@ -147,12 +160,9 @@ def collection_feed(
     parsed = _described(
         rows.withColumn("title", clean_text(F.col("item.title"))), F.col("item.body_html")
     )
-    parsed = E.with_lookup(parsed, "title", "source_description").withColumn(
-        "_title_key", normalize_lookup(F.col("title"))
-    )
     kept = parsed.filter(
         ~E.is_gift_card(F.col("_title_key"))
-        & ~E.is_current_production(normalize_lookup(F.col("source_description")))
+        & ~E.is_current_production(F.col("_text_key"))
         & (~F.col("furniture_only") | E.is_furniture(F.col("_lookup")))
     )
     variants = F.coalesce(F.col("item.variants"), F.array().cast(
@@ -224,8 +234,7 @@ def store_feed(payloads: DataFrame, sources: DataFrame) -> DataFrame:
         parsed, F.coalesce(null_if_empty(F.col("item.excerpt")), F.col("item.body"))
     )
     shaped = (
-        E.with_lookup(described, "title", "source_description")
-        .filter(E.is_furniture(F.col("_lookup")))
+        described.filter(E.is_furniture(F.col("_lookup")))
         .withColumns(
             {
                 "source_listing_url": resolve_url(F.col("website"), F.col("_address")),
@@ -402,9 +411,7 @@ def storefront_feed(payloads: DataFrame, sources: DataFrame) -> DataFrame:
         }
     ).filter((F.col("title") != "") & (F.col("_id") != "") & (F.size("images") > 0))
     described = _described(parsed, F.col("item.short_description"))
-    staged = E.with_lookup(described, "title", "source_description").filter(
-        E.is_furniture(F.col("_lookup"))
-    )
+    staged = described.filter(E.is_furniture(F.col("_lookup")))
 
     def flag(path: str) -> Column:
         return F.coalesce(F.col(path), F.lit(False))
@@ -558,9 +565,9 @@ def product_page_feed(pages: DataFrame, sources: DataFrame) -> DataFrame:
         "source_description",
         clean_text(F.coalesce(null_if_empty(F.col("_ld.description")), F.col("lines"))),
     )
-    kept = described.filter(
-        ~E.is_current_production(normalize_lookup(F.col("source_description")))
-    )
+    kept = described.withColumn(
+        "_text_key", normalize_lookup(F.col("source_description"))
+    ).filter(~E.is_current_production(F.col("_text_key")))
     shown_price = price_text(F.col("visible_text"))
     value = non_zero(parse_price(F.coalesce(null_if_empty(F.col("_offer.price")), shown_price)))
     shaped = kept.withColumns(
@@ -587,7 +594,8 @@ def product_page_feed(pages: DataFrame, sources: DataFrame) -> DataFrame:
             null_if_empty(F.col("_shown")), dollars(F.col("price_value")), F.lit("")
         ),
     )
-    return _finish(_enriched(shaped, with_sections=True), "product_page")
+    enriched = E.enrich_listings(shaped, "title", "source_description", "lines")
+    return _finish(enriched, "product_page")
 
 
 def meta_page_feed(pages: DataFrame, sources: DataFrame) -> DataFrame:
@@ -612,9 +620,8 @@ def meta_page_feed(pages: DataFrame, sources: DataFrame) -> DataFrame:
             "images": F.filter(F.array(clean_text(F.col("og_image"))), lambda u: u != ""),
         }
     ).filter((F.col("title") != "") & (F.size("images") > 0))
-    staged = E.with_lookup(described, "title", "source_description").filter(
-        E.is_furniture(F.col("_lookup"))
-    )
+    both = normalize_lookup(F.concat_ws(" ", "title", "source_description"))
+    staged = described.withColumn("_lookup", both).filter(E.is_furniture(F.col("_lookup")))
     page_key = normalize_lookup(F.concat_ws(" ", "visible_text", "source_description"))
     shaped = staged.withColumns(
         {
