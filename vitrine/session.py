@@ -20,7 +20,7 @@ def build_session(app: str = "vitrine", master: str | None = None, **conf: str)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         # text work is heavy for its bytes: do not merge it into fewer tasks than there are cores
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16KB")
         # column expressions need not record the Python line that built them
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
