@@ -343,7 +343,7 @@ FROM pages""",
 def html_page_fields(spark: SparkSession, folder: str) -> DataFrame:
     """Title and heading of every crawled page, by native expressions."""
     title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
-    return A.read(spark, folder, "pages").select(
+    return A.pages(spark, folder).select(
         "page_id", clean_text(title).alias("raw_title"),
         F.col("html").contains("<h1").cast("int").alias("has_heading"),
     )
@@ -352,7 +352,7 @@ def html_page_fields(spark: SparkSession, folder: str) -> DataFrame:
 @query("html_page_read")
 def html_page_read(spark: SparkSession, folder: str) -> DataFrame:
     """Every crawled page parsed in place; entities and malformed markup are beyond SQL."""
-    return read_pages(A.read(spark, folder, "pages"), ["page_id", "url"]).select(
+    return read_pages(A.pages(spark, folder), ["page_id", "url"]).select(
         "page_id", "url", "page_title", "heading", F.length("visible_text").alias("text_chars"),
         E.normalize_availability(F.lit(None).cast("string"), F.col("visible_text")).alias(
             "availability"
@@ -375,7 +375,7 @@ def html_page_read(spark: SparkSession, folder: str) -> DataFrame:
 WHERE pos <= 200""",
 )
 def html_link_discovery(spark: SparkSession, folder: str) -> DataFrame:
-    return link_discovery(A.read(spark, folder, "pages"), "/", F.col("url"))
+    return link_discovery(A.pages(spark, folder), "/", F.col("url"))
 
 
 # --- attributes of product texts ----------------------------------------------------------------

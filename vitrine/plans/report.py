@@ -233,7 +233,7 @@ FROM words a JOIN words b ON a.word = b.word AND a.lead < b.lead GROUP BY 1, 2""
 @query("jaccard_pairs", _JACCARD_SQL,
        _jaccard_parts("SELECT doc_id AS id, text FROM documents"))
 def jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return S.jaccard_pairs(A.read(spark, folder, "documents"), "doc_id", "text")
+    return S.jaccard_pairs(A.documents(spark, folder), "doc_id", "text")
 
 
 @query("jaccard_titles", _JACCARD_SQL,

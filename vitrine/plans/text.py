@@ -43,7 +43,7 @@ def category_sql(value: str) -> str:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return A.read(spark, folder, "documents")
+    return A.documents(spark, folder)
 
 
 # --- job K: keys --------------------------------------------------------------------------------
@@ -150,7 +150,7 @@ def source_key(spark: SparkSession, folder: str) -> DataFrame:
 )
 def rewrite_query_param(spark: SparkSession, folder: str) -> DataFrame:
     """The parameter set on every page address; addresses that have it already get it replaced."""
-    pages = A.read(spark, folder, "pages")
+    pages = A.pages(spark, folder)
     item = F.concat(F.lit("item "), F.col("page_id").cast("string"))
     once = X.rewrite_query_param(F.col("url"), "lightbox", F.lit("old"))
     return pages.withColumn("once", once).select(
@@ -172,7 +172,7 @@ FROM (SELECT page_id, list_filter(list_transform(list_filter(
 def image_list(spark: SparkSession, folder: str) -> DataFrame:
     """Ordered distinct non-empty addresses of every page."""
     urls = X.distinct_urls(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
-    return A.read(spark, folder, "pages").withColumn("urls", urls).select(
+    return A.pages(spark, folder).withColumn("urls", urls).select(
         "page_id", X.primary_image(F.col("urls")).alias("primary_image"),
         F.array_join(X.additional_images(F.col("urls")), " ").alias("additional_images"),
         F.size("urls").alias("images"),

@@ -64,7 +64,7 @@ FROM (SELECT page_id, coalesce(nullif(regexp_extract(url, '^https?://[^/]*(/[^#]
 def page_path_columns(spark: SparkSession, folder: str) -> DataFrame:
     """Path columns of the crawled pages' own addresses."""
     path = F.regexp_extract("url", r"^https?://[^/]*(/[^#]*)", 1)
-    return A.read(spark, folder, "pages").select(
+    return A.pages(spark, folder).select(
         "page_id", P.path_type(path).alias("path_type"), P.path_key(path).alias("path_key")
     )
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vitrine.functions.text import filter_key, normalize_title
 from vitrine.operators.skew import lag_in_buckets, latest
 from vitrine.schemas import TABLES, conform
+from vitrine.session import broadcast_if_small, spread
 
 ID_STEP = 1_000_000_000  # listing id = shop id * step + part id
 NEW_ID_STEP = 500_000_000
@@ -31,6 +32,14 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(read(spark, folder, "documents"), "doc_id")
+
+
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(read(spark, folder, "pages"), "page_id")
+
+
 def moment(text: str) -> Column:
     """Timestamp literal without zone, as the test tables have them."""
     return F.lit(text).cast("timestamp_ntz")
@@ -149,8 +158,6 @@ def listings_from(spark: SparkSession, folder: str, states: DataFrame) -> DataFr
         F.concat_ws(", ", "city", "province").alias("location_text"),
         F.col("shipping_summary").alias("shipping_note"),
     )
-    from vitrine.session import broadcast_if_small
-
     part = read(spark, folder, "part")
     rows = last.join(part, F.col("part_id") == F.col("p_partkey")).join(
         broadcast_if_small(places, shops_bound(spark, folder)), "shop_id"

@@ -468,11 +468,11 @@ def gallery_pages_feed(payloads: DataFrame, sources: DataFrame) -> DataFrame:
             "images": distinct_urls(F.transform(media, media_url)),
         }
     ).filter((F.col("_title") != "") & (F.col("_id") != "") & (F.col("_purl") != ""))
-    shaped = _described(parsed, F.col("item.content")).withColumns(
+    titled = parsed.withColumn(
+        "title", clean_text(F.regexp_replace("_title", java(V.PRICE_TITLE_SUFFIX_PATTERN), ""))
+    )
+    shaped = _described(titled, F.col("item.content")).withColumns(
         {
-            "title": clean_text(
-                F.regexp_replace("_title", java(V.PRICE_TITLE_SUFFIX_PATTERN), "")
-            ),
             "price_value": parse_price(first_match(F.col("_title"), price, 1)),
             "price_raw": F.coalesce(
                 null_if_empty(first_match(F.col("_title"), price, 0)), F.lit(V.PRICE_CONTACT)
