@@ -44,6 +44,7 @@ from vitrine.functions.text import (
     text_or_empty,
 )
 from vitrine.operators.skew import latest, top_per_key
+from vitrine.session import broadcast_if_small
 from vitrine.sources.html import read_pages
 
 COLLECTION = (
@@ -86,14 +87,24 @@ SOURCE_COLUMNS = ("website", "city", "province", "shipping_summary", "furniture_
 
 
 def _rows(payloads: DataFrame, sources: DataFrame, items: Column) -> DataFrame:
-    """One row per feed item with its position and its source's columns."""
+    """One row per feed item with its position and its source's columns.
+
+    The source dimension is joined to the pages, before they are exploded.
+    """
     return (
-        payloads.select("source_slug", "page", F.posexplode(items).alias("pos", "item"))
+        _with_source(payloads.select("source_slug", "page", "payload"), sources)
+        .select(
+            "source_slug", "page", *SOURCE_COLUMNS, F.posexplode(items).alias("pos", "item")
+        )
         .filter(F.col("item").isNotNull())
-        .join(sources.select("source_slug", *SOURCE_COLUMNS), "source_slug")
     )
 
 
+def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    dim = sources.select("source_slug", *SOURCE_COLUMNS)
+    return rows.join(broadcast_if_small(dim), "source_slug")
+
+
 def _finish(
     df: DataFrame, kind: str, scope: Column | None = None, extra: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -298,12 +309,12 @@ def gallery_feed(payloads: DataFrame, sources: DataFrame) -> DataFrame:
 
     entries = payloads.select("source_slug", "page", "entry_url", "payload")
     rows = (
-        entries.select(
-            "source_slug", "page", "entry_url",
+        _with_source(entries, sources)
+        .select(
+            "source_slug", "page", "entry_url", *SOURCE_COLUMNS,
             F.posexplode(let(root, images_of)).alias("pos", "item"),
         )
         .filter(F.col("item").isNotNull())
-        .join(sources.select("source_slug", *SOURCE_COLUMNS), "source_slug")
     )
     raw = F.regexp_replace(text_or_empty(F.col("item.description")), "\r", "\n")
     staged = (
@@ -504,9 +515,7 @@ def embedded_state(pages: DataFrame, schema: str) -> DataFrame:
 
 def embedded_feed(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """Listings from embedded product lists ``(source_slug, page, html)``."""
-    rows = embedded_products(pages).join(
-        sources.select("source_slug", *SOURCE_COLUMNS), "source_slug"
-    )
+    rows = embedded_products(_with_source(pages, sources))
     in_stock = F.coalesce("item.isInStock", F.lit(False))
     title = clean_text(F.col("item.name"))
     shaped = rows.withColumn("title", title).filter(
@@ -550,8 +559,7 @@ def embedded_feed(pages: DataFrame, sources: DataFrame) -> DataFrame:
 def product_page_feed(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """Product pages ``(source_slug, page, url, html)``: JSON-LD first, then the page itself."""
     read = (
-        read_pages(pages, ["source_slug", "page", "url"])
-        .join(sources.select("source_slug", *SOURCE_COLUMNS), "source_slug")
+        _with_source(read_pages(pages, ["source_slug", "page", "url"]), sources)
         .withColumn("_ld", F.from_json("ld_json", PRODUCT_LD))
         .withColumn("_offer", F.get("_ld.offers", F.lit(0)))
     )
@@ -600,9 +608,7 @@ def product_page_feed(pages: DataFrame, sources: DataFrame) -> DataFrame:
 
 def meta_page_feed(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """Product pages that only say what they are in their meta tags; furniture with an image."""
-    read = read_pages(pages, ["source_slug", "page", "url"]).join(
-        sources.select("source_slug", *SOURCE_COLUMNS), "source_slug"
-    )
+    read = _with_source(read_pages(pages, ["source_slug", "page", "url"]), sources)
     slug = F.get(F.reverse(F.split("url", "/")), F.lit(1))
     described = read.withColumns(
         {
