@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, exact_dedup, line_dedup
+from vitrine.llm import (
+    bagminhash,
+    bpe,
+    decontaminate,
+    exact_dedup,
+    licenses,
+    line_dedup,
+    pii,
+    quality,
+    secrets,
+    suffix_dedup,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -102,3 +113,141 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 @query("op5_exact_dedup", OP5_SQL)
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
+
+
+@query("op3_minhash_near_dedup")
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(documents(spark, sf_dir))
+
+
+OP4_SQL = r"""
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), chr(1), chr(2)) AS text FROM documents
+), pattern(kind, p) AS (VALUES
+  (0, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+  (1, 'AKIA[A-Z0-9]+'), (2, '[0-9a-f]+'), (3, '[A-Za-z0-9+/_-]+')
+), cut AS (
+  SELECT doc_id, kind, string_split(regexp_replace(text, '(' || p || ')', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS parts
+  FROM t, pattern WHERE regexp_matches(text, p)
+), part AS (
+  SELECT doc_id, kind, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cut
+), placed AS (
+  SELECT doc_id, kind, part, i, sum(length(part)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM part
+), match AS (
+  SELECT doc_id, kind, part, (stop - length(part))::INT AS start, stop::INT AS stop FROM placed WHERE i % 2 = 0
+), base AS (
+  SELECT * FROM match
+  WHERE (kind = 0 AND length(regexp_extract(part, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 12
+         AND NOT regexp_matches(part, '^[^:=]*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]{0,11}$'))
+     OR (kind = 1 AND length(part) >= 18) OR (kind = 2 AND length(part) >= 16)
+), candidate AS (
+  SELECT doc_id, part, start, stop FROM match
+  WHERE kind = 3 AND length(part) >= 20
+    AND NOT regexp_matches(part, '^[A-Z]?[a-z]+$|^[A-Z]+$|^[A-Za-z]+([-_/][A-Za-z]+)+$|^[0-9]+$')
+    AND NOT regexp_matches(part, '(?i)0123456789|abcdefghij|qwertyuiop|example|placeholder|changeme|your[-_]?(api)?[-_]?key|xxxxxx')
+    AND NOT regexp_matches(part, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')
+    AND len(list_filter(range(1, length(part) - 4), lambda i: substr(part, i, 6) = repeat(substr(part, i, 1), 6))) = 0
+), slid AS (
+  SELECT DISTINCT part, unnest(range(1, length(part) - 18)) AS i FROM candidate
+), letter AS (
+  SELECT part, i, unnest(string_split(substr(part, i, 20), '')) AS c FROM slid
+), counted AS (
+  SELECT part, i, c, count(*) AS n FROM letter GROUP BY part, i, c
+), entropy AS (
+  SELECT part, max(bits) AS bits FROM (
+    SELECT part, i, round(-sum(n / 20.0 * log2(n / 20.0)), 6) AS bits FROM counted GROUP BY part, i) GROUP BY part
+), fresh AS (
+  SELECT doc_id, 3 AS kind, part, start, stop FROM candidate JOIN entropy USING (part)
+  WHERE bits >= CASE WHEN regexp_matches(part, '^[0-9a-fA-F]+$') THEN 3.0 WHEN regexp_matches(part, '^[A-Za-z]+$') THEN 4.1
+                     WHEN regexp_matches(part, '^[A-Za-z0-9]+$') THEN 3.7 ELSE 3.9 END
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = candidate.doc_id AND b.start < candidate.stop AND candidate.start < b.stop)
+), span AS (
+  SELECT *, CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'entropy' END || ':' || start || ':' || stop AS s
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM fresh)
+), joined AS (
+  SELECT doc_id, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex,
+         string_agg(CASE WHEN kind < 3 THEN s END, ',' ORDER BY start, kind) AS base, string_agg(s, ',' ORDER BY start, kind) AS spans
+  FROM span GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN joined USING (doc_id)
+"""
+
+
+@query("op4_secrets", OP4_SQL)
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, sf_dir))
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    base = secrets.joined(F.filter("spans", lambda s: s["kind"] < 3))
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(base, 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op6_decontaminate")
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(
+        documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    )
+    return found.withColumn("contaminated", F.lit(True))
+
+
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+@query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.sanitise(documents(spark, sf_dir))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def joined(spans):
+        texts = F.transform(
+            spans,
+            lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")),
+        )
+        return F.array_join(texts, ",")
+
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")],
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "term")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        count("term").alias("n_term"),
+        F.sha2("sanitised", 256).alias("sanitised_sha256"),
+    )
+
+
+@query("op9_licenses")
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licences(documents(spark, sf_dir)).select(
+        "doc_id", F.array_join("licences", ",").alias("licences"), "n_matches",
+        F.array_join("whole", ",").alias("whole"),
+    )
+
+
+def held_out(id_col: str = "doc_id"):
+    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels.filter(~held_out()))
+    return quality.score(docs, model).select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
