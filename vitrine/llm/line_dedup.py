@@ -174,8 +174,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_lines``, ``n_exact``, ``n_near`` (dropped), ``kept_text``; a row per row of ``docs``."""
-    documents = _documents(docs, id_col, text_col)
+    """``id_col``, ``n_lines``, ``n_exact``, ``n_near`` (dropped), ``kept_text`` and ``row`` (all columns
+    of the document); one row per row of ``docs``."""
+    whole = docs.select(F.col(id_col).alias("id"), F.struct(*docs.columns).alias("row"))
+    documents = whole.withColumn("text", F.coalesce(F.col("row")[text_col], F.lit(""))).withColumn(
+        "row_key", F.xxhash64("text")
+    )
     gone = materialized(
         dropped_lines(docs, id_col, text_col).distinct().groupBy(*_DOC).agg(
             F.collect_list("at").alias("gone"), F.count_if("near").alias("n_near"))
@@ -187,7 +191,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         broadcast_if_known_small(gone),
         documents["id"].eqNullSafe(gone["id"]) & (documents["row_key"] == gone["row_key"]),
         "left",
-    ).select(documents["id"].alias(id_col), "text", "gone", "n_near")
+    ).select(documents["id"].alias(id_col), "row", "text", "gone", "n_near")
     none = F.lit(0).cast("long")
     return joined.select(
         id_col,
@@ -195,4 +199,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce(F.size("gone") - F.col("n_near"), none).alias("n_exact"),
         F.coalesce("n_near", none).alias("n_near"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        "row",
     )
+
+
+def without_repeated_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars"
+) -> DataFrame:
+    """The documents with their kept lines as text, and its length in ``length_col`` if they have that.
+
+    A document that loses its last line that isn't blank goes; one without such lines stays as it is.
+    """
+    found = dedup_lines(docs, id_col, text_col)
+    touched = F.col("n_exact") + F.col("n_near") > 0
+    text = F.when(touched, F.col("kept_text")).otherwise(F.col("row")[text_col])
+    length = F.when(touched, F.char_length("kept_text")).otherwise(F.col(f"row.`{length_col}`")) \
+        if length_col in docs.columns else None
+    new = {text_col: text, length_col: length}
+    columns = [
+        (new[name] if name in new else F.col(f"row.`{name}`")).cast(docs.schema[name].dataType).alias(name)
+        for name in docs.columns
+    ]
+    return found.filter(~touched | F.col("kept_text").rlike(r"[^ \t\n]")).select(*columns)

@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.llm import textops
 from vitrine.session import materialized
@@ -166,12 +167,13 @@ def train(
     return model
 
 
-def score(
-    docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text"
+def with_score(
+    docs: DataFrame, model: np.ndarray, text_col: str = "text", score_col: str = "score"
 ) -> DataFrame:
-    """``id_col`` and ``score`` (0 to 1, higher for better texts), one row per row of ``docs``."""
+    """All columns of ``docs`` and ``score_col`` (0 to 1, higher for better texts), row by row."""
+    if score_col in docs.columns:
+        raise ValueError(f"there is a column {score_col} already; give score_col another name")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    id_type = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
@@ -179,7 +181,13 @@ def score(
             owner, slots, values = features(*textops.text_bytes(batch.column(text_col)))
             totals = np.bincount(owner, weights=weights[slots] * values, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array(_logistic(totals + weights[-1]))], names=[id_col, "score"]
+                [*batch.columns, pa.array(_logistic(totals + weights[-1]))],
+                names=[*batch.schema.names, score_col],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {id_type}, score double")
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+
+
+def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and ``score``, one row per row of ``docs``."""
+    return with_score(docs.select(id_col, text_col), model, text_col).select(id_col, "score")

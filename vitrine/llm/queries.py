@@ -228,7 +228,64 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_licenses")
+OP9_SQL = r"""
+WITH name(licence, n) AS (VALUES
+  ('MIT', 'the mit license'), ('Apache-2.0', 'the apache license version 2 0'), ('Apache-2.0', 'the apache license 2 0'),
+  ('GPL-2.0', 'the gnu general public license version 2'), ('GPL-2.0', 'gpl 2 0'),
+  ('GPL-3.0', 'the gnu general public license version 3'), ('GPL-3.0', 'gpl 3 0'),
+  ('LGPL-3.0', 'the gnu lesser general public license version 3'),
+  ('AGPL-3.0', 'the gnu affero general public license version 3'),
+  ('MPL-2.0', 'the mozilla public license version 2 0'), ('MPL-2.0', 'the mozilla public license 2 0'),
+  ('BSD-2-Clause', 'the bsd 2 clause license'), ('BSD-3-Clause', 'the bsd 3 clause license'),
+  ('CC-BY-4.0', 'cc by 4 0'), ('CC-BY-4.0', 'the creative commons attribution 4 0 international license'),
+  ('CC-BY-SA-4.0', 'cc by sa 4 0'), ('CC-BY-NC-4.0', 'cc by nc 4 0'), ('CC0-1.0', 'cc0 1 0')
+), form(f) AS (VALUES ('licensed under '), ('released under '), ('distributed under '),
+  ('this work is licensed under '), ('this software is licensed under '), ('this project is licensed under ')
+), known AS (
+  SELECT licence, sha256(f || n) AS digest FROM name, form
+  UNION ALL SELECT * FROM (VALUES
+    ('Apache-2.0', 'c40235f98e8998f2e4f5fc5131b16fb3c6c5f8ce252d3e6e08daf233725c2073'),
+    ('BSD-2-Clause', 'a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30'),
+    ('BSD-3-Clause', '9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2'),
+    ('GPL-3.0', '3e0639e2a9692446a12737e1e8a22455de0cf05c81a22cf39ea6cc1d2e85581b'),
+    ('ISC', '217da0747cec63a2e734185db11cbaa819bcd9e5b83cd12f812128fffe66e26a'),
+    ('MIT', '0cf21bdfd1964a97a8615e128534845826afbc887edc95aa5c925cbf64386b5c'),
+    ('MPL-2.0', '15d9d39b9899a45bf810a3418301f271cb5c1d7bd61153ec978c50af3b4546b2')
+  )
+), doc AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), unit AS (
+  SELECT doc_id, true AS a, text AS u FROM doc
+  UNION ALL SELECT doc_id, false, u FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS u FROM doc) WHERE u <> text
+  UNION ALL SELECT doc_id, false, u FROM (SELECT doc_id, text, unnest(string_split_regex(text, '\n[ \t\r]*\n')) AS u FROM doc)
+            WHERE u <> text AND contains(u, chr(10))
+), plain AS (
+  SELECT doc_id, a, trim(regexp_replace(regexp_replace(lower(u),
+    '(?m)^[^\p{L}\p{N}\n]*(?:(?:copyright[ \t]*)?(?:\(c\)|©)|copyright[ \t]+(?:[0-9]|by\b)|all rights reserved)[^\n]*$', ' ', 'g'),
+    '[^\p{L}\p{N}]+', ' ', 'g')) AS u
+  FROM unit
+  WHERE contains(lower(u), 'licen') OR contains(lower(u), 'permission') OR contains(lower(u), 'redistribution')
+), spelled AS (
+  SELECT doc_id, a,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(u,
+      '\blicence', 'license', 'g'), '\bsub license', 'sublicense', 'g'), '\bnon infringement\b', 'noninfringement', 'g'),
+      '\bcopyright owner', 'copyright holder', 'g'), '\bcontributor s\b', 'contributors', 'g'), '\bhttp www\b', 'https www', 'g'),
+      '\bmerchantibility\b', 'merchantability', 'g'), '\bper cent\b', 'percent', 'g'), '\bv ?([0-9])', 'version \1', 'g'),
+      '\borganisation', 'organization', 'g'), '\bfavour', 'favor', 'g') AS u
+  FROM plain
+), hit AS (
+  SELECT doc_id, a, licence FROM spelled JOIN known ON digest = sha256(u)
+), found AS (
+  SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(*) AS n_matches,
+         string_agg(DISTINCT CASE WHEN a THEN licence END, ',' ORDER BY CASE WHEN a THEN licence END) AS whole
+  FROM hit GROUP BY doc_id
+)
+SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n_matches, 0) AS n_matches, coalesce(whole, '') AS whole
+FROM documents LEFT JOIN found USING (doc_id)
+"""
+
+
+@query("op9_licenses", OP9_SQL)
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licences(documents(spark, sf_dir)).select(
         "doc_id", F.array_join("licences", ",").alias("licences"), "n_matches",
