@@ -3,10 +3,10 @@
 A document is the multiset of its shingles of five words. Signatures estimate the weighted Jaccard
 similarity (sum of least counts over sum of greatest): each shingle has Poisson processes over its
 discretised weight, one for each of the intervals [0, 1), [1, 2), [2, 4), [4, 8) ... that its count
-reaches. An interval that the count covers in part is halved until the parts are covered or left out;
-the point that comes next goes to one half by chance, and the other half continues on its own. The
-points of a covered interval fall on random positions of the signature, which keep the smallest. A
-process ends when its next point lies above all positions. All chance comes from hashes, so equal
+reaches. An interval is halved after its first point, down to units of weight: the point goes on in one
+half by chance, and the other half continues on its own; halves that the count does not reach are left
+out. The points of intervals that the count covers fall on random positions of the signature, which
+keep the smallest. A process ends when its next point lies above all positions. All chance comes from hashes, so equal
 shingles have equal processes in every document.
 
 Candidates share one of ``BANDS`` bands of ``ROWS`` positions. Documents of equal multisets are first
@@ -58,61 +58,97 @@ def _chance(seed: np.ndarray, step: np.ndarray | int) -> np.ndarray:
     return textops.mix(seed + _STEP * np.asarray(step, np.uint64))
 
 
-def _roots(seeds: np.ndarray, counts: np.ndarray, owner: np.ndarray):
-    """The first intervals of each shingle: seed, low end, high end, count and owner."""
+def _spacing(hashes: np.ndarray, width: np.ndarray | int) -> np.ndarray:
+    return -np.log(_uniform(hashes)) / width
+
+
+class _Points:
+    """Signatures under construction, one row of ``POSITIONS`` for each text."""
+
+    def __init__(self, texts: int):
+        self.flat = np.full(texts * POSITIONS, np.inf)
+        self.rows = self.flat.reshape(texts, POSITIONS)
+        self.worst = np.full(texts, np.inf)
+
+    def put(self, owner: np.ndarray, shingle: np.ndarray, at: np.ndarray) -> None:
+        """A point falls on a position that follows from the point and its shingle alone."""
+        place = textops.mix(at.view(np.uint64) ^ shingle) % _U(POSITIONS)
+        np.minimum.at(self.flat, owner * POSITIONS + place.astype(np.int64), at)
+
+    def alive(self, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        self.worst = self.rows.max(axis=1, initial=0.0)
+        return at <= self.worst[owner]
+
+
+def _roots(shingle: np.ndarray, counts: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
+    """Intervals [0, 1), [1, 2), [2, 4) ... that the counts reach, with their first points: seed, low,
+    high, count, owner, shingle, point, and whether the point was used."""
     parts = []
     low, high = 0, 1
-    while len(seeds):
-        node = textops.mix(seeds ^ _chance(np.full(1, high, np.uint64), 1))
-        ends = np.full((2, len(seeds)), [[low], [high]], np.int64)
-        parts.append((node, ends[0], ends[1], counts, owner))
+    while True:
+        seed = textops.mix(shingle ^ _chance(np.full(1, high, np.uint64), 1))
+        parts.append([
+            seed, np.full(len(seed), low), np.full(len(seed), high), counts, owner, shingle,
+            _spacing(_chance(seed, 1), high - low), np.zeros(len(seed), bool),
+        ])
         more = counts > high
-        seeds, counts, owner = seeds[more], counts[more], owner[more]
+        if not more.any():
+            return [np.concatenate(column) for column in zip(*parts, strict=True)]
+        shingle, counts, owner = shingle[more], counts[more], owner[more]
         low, high = high, 2 * high
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none, none
-    return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
+
+
+def _halved(nodes: list[np.ndarray]) -> list[np.ndarray]:
+    """Both halves of each interval, unless the count does not reach them: the point goes on in one,
+    the other one's first point follows it."""
+    seed, low, high, counts, owner, shingle, at, used = nodes
+    middle = (low + high) // 2
+    goes_left = (_chance(seed, 2) & _U(1)) == 0
+    halves = []
+    for side, (a, b) in enumerate(((low, middle), (middle, high))):
+        child = _chance(seed, 3 + side)
+        here = goes_left == (side == 0)
+        point = np.where(here, at, at + _spacing(_chance(child, 1), b - a))
+        reached = a < counts
+        columns = (child, a, b, counts, owner, shingle, point, used & here)
+        halves.append([column[reached] for column in columns])
+    return [np.concatenate(pair) for pair in zip(*halves, strict=True)]
 
 
 def signatures(hashes: np.ndarray, counts: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
-    """Signature (``POSITIONS`` floats) of each text, from its distinct shingles and their counts."""
-    signature = np.full(texts * POSITIONS, np.inf)
-    seed, low, high, counts, owner = _roots(hashes, counts, owner)
-    at = -np.log(_uniform(_chance(seed, 1))) / (high - low)
-    while True:  # halve what is covered in part
-        part = np.flatnonzero(high > counts)
-        if len(part) == 0:
-            break
-        middle = (low[part] + high[part]) // 2
-        sides = []
-        goes_left = (_chance(seed[part], 2) & _U(1)) == 0
-        for side, (a, b) in enumerate(((low[part], middle), (middle, high[part]))):
-            child = _chance(seed[part], 3 + side)
-            fresh = -np.log(_uniform(_chance(child, 1))) / (b - a)
-            here = goes_left if side == 0 else ~goes_left
-            point = at[part] + np.where(here, 0.0, fresh)
-            keep = a < counts[part]
-            sides.append([x[keep] for x in (child, a, b, counts[part], owner[part], point)])
-        rest = np.flatnonzero(high <= counts)
-        columns = (seed, low, high, counts, owner, at)
-        seed, low, high, counts, owner, at = (
-            np.concatenate([column[rest], left, right])
-            for column, left, right in zip(columns, *sides, strict=True)
-        )
-    rate = (high - low).astype(np.float64)
-    step, points = 0, 1
-    while len(seed):
-        for _ in range(points):
-            place = _chance(seed, 2 * step + 10) % _U(POSITIONS)
-            np.minimum.at(signature, owner * POSITIONS + place.astype(np.int64), at)
-            at = at - np.log(_uniform(_chance(seed, 2 * step + 11))) / rate
-            step += 1
-        worst = signature.reshape(texts, POSITIONS).max(axis=1)
-        alive = at <= worst[owner]
-        seed, rate, owner, at = seed[alive], rate[alive], owner[alive], at[alive]
-        points = min(2 * points, 32)
-    return signature.reshape(texts, POSITIONS)
+    """Signature (``POSITIONS`` floats) of each text, from its distinct shingles and their counts.
+
+    An interval wider than one has one point of its own; then its halves go on, whether the count covers
+    it all or in part, so that a point is the same point in every document that reaches it.
+    """
+    points = _Points(texts)
+    nodes = _roots(hashes, counts, owner)
+    units: list[np.ndarray] = [np.zeros(0, t) for t in (np.uint64, np.int64, np.uint64, np.float64, np.int64)]
+    rounds = 1
+    while len(nodes[0]) or len(units[0]):
+        seed, low, high, counts, owner, shingle, at, used = nodes
+        unit = high - low == 1
+        # a unit whose point was used above goes on to its next one
+        first = np.where(used, at + _spacing(_chance(seed, 11), 1), at)[unit]
+        fresh = [seed[unit], owner[unit], shingle[unit], first, used[unit].astype(np.int64)]
+        units = [np.concatenate(pair) for pair in zip(units, fresh, strict=True)]
+        nodes = [column[~unit] for column in nodes]
+        _, _, high, counts, owner, shingle, at, used = nodes
+        whole = (high <= counts) & ~used
+        points.put(owner[whole], shingle[whole], at[whole])
+        nodes[-1] = used | whole
+
+        seed, owner, shingle, at, step = units
+        for _ in range(rounds):
+            points.put(owner, shingle, at)
+            step = step + 1
+            at = at + _spacing(_chance(seed, 10 + step), 1)
+        alive = points.alive(owner, at)
+        units = [column[alive] for column in (seed, owner, shingle, at, step)]
+        alive = points.alive(nodes[4], nodes[6])
+        nodes = _halved([column[alive] for column in nodes])
+        rounds = min(2 * rounds, 32)
+    return points.rows
 
 
 def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ SPELLINGS = (
     (r"\borganisation", "organization"),
     (r"\bfavour", "favor"),
 )
-ANCHORS = ("licen", "permission", "redistribution")
+ANCHORS = ("licen", "permission", "redistribution", "under ")
 COPYRIGHT_LINE = (
     r"(?m)^[^\p{L}\p{N}\n]*(?:(?:copyright[ \t]*)?(?:\(c\)|©)|copyright[ \t]+(?:[0-9]|by\b)|all rights reserved)"
     r"[^\n]*$"

@@ -15,8 +15,7 @@ earliest only; an insertion joins the shorter text to the longer ones and back.
 expand into pairs. Every joined pair is verified by its edit distance.
 
 Defined results: a null or empty text has no lines; null identifiers come after all others, and rows
-that repeat an identifier are told apart by their text, equal ones by nothing: the copies of such a row
-lose the same lines. Further columns are ignored.
+that repeat an identifier are told apart by their text, and rows equal in both lose the same lines. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 from vitrine.session import broadcast_if_small, materialized
 
 NEAR_CHARS = 20
+BLOCK_CHARS = 64
 
 _LINE = ("line_a", "line_b")
 _DOC = ("id", "row_key")
@@ -80,11 +80,43 @@ def _half_keys(lines: DataFrame) -> DataFrame:
     )
 
 
+def _blocks(rest: Column, longer: Column, half: Column) -> Column:
+    """The half that is not shared as blocks of ``BLOCK_CHARS`` places of the shorter text: of each the
+    hash of all else (``context``) and its characters (``middle``), one more in the longer text."""
+    places = F.char_length(rest) - longer
+    count = F.greatest(F.lit(1), F.ceil(places / BLOCK_CHARS).cast("int"))
+    numbers = F.sequence(F.lit(0), count - 1)
+
+    def chain(parts: Column) -> Column:
+        """Hashes of the first 0, 1, 2 ... parts."""
+        return F.aggregate(
+            parts,
+            F.array(F.lit(0).cast("long")),
+            lambda hashes, part: F.array_append(hashes, F.xxhash64(F.element_at(hashes, -1), part)),
+        )
+
+    def part(number: Column, shift: Column) -> Column:
+        return F.substring(rest, number * BLOCK_CHARS + 1 + shift, F.lit(BLOCK_CHARS))
+
+    before = chain(F.transform(numbers, lambda k: part(k, F.lit(0))))
+    after = chain(F.reverse(F.transform(numbers, lambda k: part(k, longer))))
+    return F.transform(
+        numbers,
+        lambda k: F.struct(
+            F.xxhash64(half, k, F.get(before, k), F.get(after, count - 1 - k)).alias("context"),
+            F.substring(
+                rest, k * BLOCK_CHARS + 1, F.least(F.lit(BLOCK_CHARS), places - k * BLOCK_CHARS) + longer
+            ).alias("middle"),
+        ),
+    )
+
+
 def _variants(alive: DataFrame) -> DataFrame:
     """Hashed deletion variants of the half that is not shared, with the role of the line in the key.
 
     Role 0 shares a key with texts of its own length (same position left out), 1 is the shorter and 2
-    the longer text of an insertion.
+    the longer text of an insertion. What a variant leaves as it is enters by the hash of its blocks, so
+    that the work for a line does not grow with the square of its length.
     """
     line, length = F.col("line"), F.char_length("line")
     base = length - F.col("longer")
@@ -92,22 +124,28 @@ def _variants(alive: DataFrame) -> DataFrame:
     rest = F.when(
         F.col("side") == "head", F.substring(line, head + 1, length - head)
     ).otherwise(F.substring(line, F.lit(1), length - (base - head)))
-    rows = alive.withColumn("rest", rest)
-    without = F.concat(
-        F.col("rest").substr(F.lit(1), F.col("i") - 1), F.col("rest").substr(F.col("i") + 1, length)
+    rows = alive.select(*_LINE, "half", "longer", rest.alias("rest"))
+    blocks = rows.select(
+        *_LINE, "longer", F.explode(_blocks(F.col("rest"), F.col("longer"), F.col("half"))).alias("b")
+    ).select(*_LINE, "longer", "b.context", "b.middle")
+    places = F.sequence(F.lit(1), F.char_length("middle"))
+    if_shorter = F.array(F.lit(0)).cast("array<int>")  # 0: nothing is left out
+    spread = blocks.withColumn(
+        "i", F.explode(F.when(F.col("longer") == 0, F.concat(if_shorter, places)).otherwise(places))
+    )
+    left = F.when(F.col("i") == 0, F.col("middle")).otherwise(
+        F.concat(
+            F.substring("middle", F.lit(1), F.col("i") - 1),
+            F.substring("middle", F.col("i") + 1, F.char_length("middle")),
+        )
     )
-    deleted = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.char_length("rest"))))
-    deleted = deleted.select(
+    return spread.select(
         *_LINE,
-        F.when(F.col("longer") == 1, F.xxhash64("half", without))
-        .otherwise(F.xxhash64("half", F.col("i"), without))
+        F.when((F.col("longer") == 1) | (F.col("i") == 0), F.xxhash64("context", left))
+        .otherwise(F.xxhash64("context", "i", left))
         .alias("variant"),
-        F.when(F.col("longer") == 1, 2).otherwise(0).alias("role"),
-    )
-    whole = rows.filter("longer = 0").select(
-        *_LINE, F.xxhash64("half", "rest").alias("variant"), F.lit(1).alias("role")
+        F.when(F.col("longer") == 1, 2).when(F.col("i") == 0, 1).otherwise(0).alias("role"),
     )
-    return deleted.unionByName(whole)
 
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
@@ -176,7 +214,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_lines``, ``n_exact``, ``n_near`` (dropped), ``kept_text`` and ``row`` (all columns
     of the document); one row per row of ``docs``."""
-    whole = docs.select(F.col(id_col).alias("id"), F.struct(*docs.columns).alias("row"))
+    whole = docs.select(F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     documents = whole.withColumn("text", F.coalesce(F.col("row")[text_col], F.lit(""))).withColumn(
         "row_key", F.xxhash64("text")
     )

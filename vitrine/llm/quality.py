@@ -170,9 +170,9 @@ def train(
 def with_score(
     docs: DataFrame, model: np.ndarray, text_col: str = "text", score_col: str = "score"
 ) -> DataFrame:
-    """All columns of ``docs`` and ``score_col`` (0 to 1, higher for better texts), row by row."""
-    if score_col in docs.columns:
-        raise ValueError(f"there is a column {score_col} already; give score_col another name")
+    """All columns of ``docs`` and ``score_col`` (0 to 1, higher for better texts), row by row; a column
+    that has this name already is replaced."""
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() != score_col.lower()])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -264,6 +264,7 @@ WITH name(licence, n) AS (VALUES
     '[^\p{L}\p{N}]+', ' ', 'g')) AS u
   FROM unit
   WHERE contains(lower(u), 'licen') OR contains(lower(u), 'permission') OR contains(lower(u), 'redistribution')
+     OR contains(lower(u), 'under ')
 ), spelled AS (
   SELECT doc_id, a,
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
