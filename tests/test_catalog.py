@@ -60,8 +60,8 @@ def browse(spark, rows, ev=None, shop=None, entities=None, aliases=None, **filte
     aliases = aliases if aliases is not None else spark.createDataFrame([], TABLES["design_entity_aliases"])
     found = C.browse(
         rows, shop if shop is not None else shops(spark), ev if ev is not None else events(spark), spec,
-        designer_values=N.query_value_list(spec.designer, entities, aliases),
-        search_values=N.query_value_list(spec.q, entities, aliases),
+        designer_values=N.texts_of_name(spec.designer, entities, aliases),
+        search_values=N.texts_of_name(spec.q, entities, aliases),
     )
     return C.page_listings(found, spec, None)
 
@@ -239,3 +239,16 @@ def test_json_ld_leaves_out_absent_parts(spark):
     urls = R.sitemap(rows.withColumn("availability_override", F.lit("")), shops(spark), "https://c.example")
     assert {r["loc"]: r.lastmod for r in urls.collect()}["https://c.example/listing/MCM-000001"] == "2026-05-06"
     assert any("<lastmod>2026-05-06</lastmod>" in r.value for r in R.sitemap_xml_entries(urls).collect())
+
+
+def test_sitemap_files_and_site_document(spark, tmp_path):
+    import json
+
+    urls = spark.createDataFrame([(f"https://c.example/{i:03d}", "") for i in range(25)], "loc string, lastmod string")
+    R.write_sitemap(urls, str(tmp_path), "https://c.example", per_file=10)
+    files = spark.read.text(str(tmp_path / "urls"))
+    assert {r["file"]: r["count"] for r in files.groupBy("file").count().collect()} == {0: 10, 1: 10, 2: 5}
+    assert [r.value for r in spark.read.text(str(tmp_path / "index")).orderBy("value").collect()][2] == (
+        "<sitemap><loc>https://c.example/sitemap-2.xml</loc></sitemap>")
+    site = json.loads(R.site_json_ld(spark, "https://c.example", "Catalog").first().json_ld)
+    assert site["@type"] == "WebSite" and site["potentialAction"]["target"]["urlTemplate"].endswith("?q={search_term_string}")

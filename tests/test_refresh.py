@@ -101,7 +101,7 @@ def test_ambiguous_drift_is_reviewed_once(spark):
     stored = listings(spark, {}, {"last_checked_at": NOW}, {"source_description": "unlike", "price_value": 1.0})
     items = batch(spark, {"source_listing_key": "n"})
     out = refresh(spark, stored, items)
-    review = out.reviews.collect()
+    review = R.with_candidate_texts(out.reviews, out.review_candidates).collect()
     assert [(r.candidate_listing_ids, r.candidate_count, r.status) for r in review] == [("2,1", 2, "open")]
     assert review[0].reason.endswith("at score 5")
     assert rows(out.review_candidates, "listing_id") == [(1,), (2,)]
@@ -110,12 +110,23 @@ def test_ambiguous_drift_is_reviewed_once(spark):
     assert refresh(spark, stored, items, open_reviews=known).reviews.count() == 0
 
 
-def test_review_text_limit_keeps_candidates(spark):
-    stored = listings(spark, *[{} for _ in range(5)])
-    matched = R.match_batch(stored, batch(spark, {"source_listing_key": "n"}), crawls(spark), shops(spark))
-    reviews, candidates = R.ambiguous_reviews(matched.resolved, matched.candidates, as_of(), text_limit=4)
-    assert [(r.candidate_listing_ids, r.candidate_count) for r in reviews.collect()] == [("", 5)]
-    assert candidates.count() == 5
+def test_reviews_name_all_candidates(spark):
+    stored = listings(spark, *[{} for _ in range(1200)])
+    items = batch(spark, {"source_listing_key": "n"}, {"source_listing_key": "m"})
+    matched = R.match_batch(stored, items, crawls(spark), shops(spark))
+    reviews, candidates = R.ambiguous_reviews(matched.resolved, matched.candidates, as_of())
+    assert candidates.count() == 1200  # once for both items
+    texts = R.with_candidate_texts(reviews, candidates).collect()
+    assert [len(r.candidate_listing_ids.split(",")) for r in texts] == [1200, 1200]
+
+
+def test_rows_of_a_shop_without_a_crawl_row(spark):
+    shop = shops(spark, {}, {})
+    stored = listings(spark, {}, {"source_shop_id": 2})
+    out = refresh(spark, stored, batch(spark, {"source_listing_key": "n", "title": "New", "shop_id": 2}),
+                  crawls(spark, (1, 0, "")), shop)
+    assert rows(out.listings, "source_shop_id", "source_listing_key", "is_active") == [
+        (1, "k1", 1), (2, "k2", 1), (2, "n", 1)]
 
 
 def test_two_items_want_one_row(spark):

@@ -169,9 +169,20 @@ def test_html(spark):
     page = read_page('<h1>A <b>B</b></h1><div class="rte">x<div>y</div>z</div>t<script type="application/ld+json">'
                      '[{"@type":"Thing"},{"@type":"Product","image":"i","offers":{"price":5}}]</script>')
     assert (page["heading"], page["description_text"]) == ("A B", "x\ny\nz")
-    assert json.loads(page["ld_json"])["image"] == ["i"]
-    df = spark.createDataFrame([(1, '<a href="/products/a?x=1">1</a><a class=q href="/products/a">2</a><a href="/no">n</a>')], "page_id long, html string")
-    assert [r.link for r in link_discovery(df, "/products/", F.lit("https://x.com/p")).collect()] == ["https://x.com/products/a"]
+    assert json.loads(page["ld_scripts"][0])[1]["image"] == "i"
+    page = read_page('<img class="rte"><div class="rte">x<br>y</div>after<input itemprop="description"> end')
+    assert page["description_text"] == "x\ny"
+    df = spark.createDataFrame([(1, '<a href="/products/a?x=1">1</a><a class=q href="/products/a">2</a><a href="/no">n</a>'
+                                '<a data-href="/products/w" href=/x/../products/b>b</a><!--<a href="/products/c">--><a href="/products/d&amp;e">d</a>')],
+                               "page_id long, html string")
+    assert [r.link for r in link_discovery(df, "/products/", F.lit("https://x.com/p")).collect()] == [
+        "https://x.com/products/a", "https://x.com/products/b", "https://x.com/products/d&e"]
+    scripts = [["{bad", '[{"@type":"Thing"},{"@type":"Product","name":"n","image":"i","offers":{"price":5}}]'],
+               ['{"@type":"Product","name":"m","image":["a","b"],"offers":[{"price":"7"}]}'], ["[1"], []]
+    table = spark.createDataFrame([(s,) for s in scripts], "s array<string>").select(S.product_document(F.col("s")).alias("d"))
+    table = table.select("d.name", S.json_items(F.col("d.image")).alias("images"),
+                         F.from_json(F.get(S.json_items(F.col("d.offers")), F.lit(0)), S.PRODUCT_OFFER)["price"].alias("price"))
+    assert [tuple(r) for r in table.collect()] == [("n", ["i"], "5"), ("m", ["a", "b"], "7"), (None, [], None), (None, [], None)]
 
 
 def test_lag_across_buckets_and_ranks(spark):

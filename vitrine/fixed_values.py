@@ -30,11 +30,13 @@ DESIGNER_FACET_LIMIT = 24
 DESIGNER_FACET_BUSY = 30
 EVENTS_PER_LISTING = 12
 FAILURE_LIMIT = 20
-SITEMAP_LIMIT = 5000
+SITEMAP_FILE_URLS = 50_000  # what one sitemap file may hold
 DUPLICATE_WINDOW = 11
 DUPLICATE_THRESHOLD = 0.72
 DUPLICATE_LIMIT = 12
 
+#: a word of a search query
+QUERY_WORD = r"[\p{L}\p{N}_À-ÿ']+"
 SEARCH_SYNONYM_GROUPS = (
     ("teak", "teck"),
     ("rosewood", "palissandre"),
@@ -227,7 +229,7 @@ DIM_MAX_CM = 1000
 FEED_LIMIT = 200
 FEED_LIMIT_BULK = 600
 FEED_LIMIT_LEGACY = 120
-LINK_LIMIT = 200
+LINK_LIMIT = 200  # over a whole source
 FALLBACK_CONFIDENCE = 0.45
 FALLBACK_TYPE = "seed_fallback"
 LIVE_TYPE = "live_fetch"
@@ -239,6 +241,7 @@ FEED_CONFIDENCE = {
     "gallery_pages": 0.78,
     "embedded": 0.9,
     "product_page": 0.82,
+    "meta_page": 0.66,
 }
 EMBEDDED_PRODUCTS_PATTERN = r'(?s)"productsWithMetaData":\{"list":(\[.*?\]),"totalCount":\d+\}'
 EMBEDDED_STATE_PATTERN = r"(?s)window\.__PRELOADED_STATE__=(.*?)</script>"

@@ -1,17 +1,18 @@
 """Column expressions for cleaning text and deriving keys.
 
 Only three things are not available as Spark functions and run as small Arrow UDFs: Unicode
-compatibility folding, HTML entity unescaping and stripping HTML tags. Everything else is native,
+compatibility folding (by Arrow's own kernels), HTML entity unescaping and stripping HTML tags. Everything else is native,
 including per-line work, which is done on the folded text.
 """
 
 from __future__ import annotations
 
 import html
-import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,14 +57,24 @@ def contains_any(column: Column, terms: tuple[str, ...] | list[str]) -> Column:
     return result
 
 
-def _fold(value: str) -> str:
-    return unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode("ascii")
+def _folded(values: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(
+        pc.utf8_normalize(values, form="NFKD"), pattern=r"[^\x00-\x7f]+", replacement=""
+    )
 
 
-@F.pandas_udf(T.StringType())
-def ascii_fold(values: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def ascii_fold(values: pa.Array) -> pa.Array:
     """NFKD, then drop everything outside ASCII. Line breaks survive."""
-    return values.map(_fold, na_action="ignore")
+    return _folded(values)
+
+
+@F.arrow_udf(T.StringType())
+def without_accents(values: pa.Array) -> pa.Array:
+    """NFKD, then drop the marks; letters that are no compositions stay."""
+    return pc.replace_substring_regex(
+        pc.utf8_normalize(values, form="NFKD"), pattern=r"\pM+", replacement=""
+    )
 
 
 @F.pandas_udf(T.StringType())
@@ -78,7 +89,8 @@ def html_text(values: pd.Series) -> pd.DataFrame:
     lines = values.map(
         lambda x: "\n".join("\n".join(visible_strings(x)).splitlines()), na_action="ignore"
     )
-    return pd.DataFrame({"lines": lines, "folded": lines.map(_fold, na_action="ignore")})
+    folded = _folded(pa.array(lines, pa.string())).to_pandas()
+    return pd.DataFrame({"lines": lines, "folded": folded})
 
 
 def clean_text(column: Column) -> Column:
@@ -241,10 +253,30 @@ def resolve_url(base: Column, link: Column) -> Column:
         F.when(link == "", base)
         .when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(site, link))
+        .when(link.startswith("/"), without_dot_segments(F.concat(site, link)))
         .when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
-        .otherwise(F.concat(folder, link))
+        .otherwise(without_dot_segments(F.concat(folder, link)))
+    )
+
+
+def without_dot_segments(url: Column) -> Column:
+    """The address with ``.`` and ``..`` taken out of its path."""
+    site = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+    segments = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+    kept = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda done, part: F.when(part == ".", done)
+        .when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.array_append(done, part)),
     )
+    ends = F.when(path.rlike(r"/\.{1,2}$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(
+        path.rlike(r"(^|/)\.{1,2}(/|$)"),
+        F.concat(site, F.lit("/"), F.array_join(kept, "/"), ends, rest),
+    ).otherwise(url)
 
 
 def distinct_urls(urls: Column) -> Column:

@@ -13,12 +13,9 @@ from pyspark.sql import functions as F
 from vitrine import fixed_values as V
 from vitrine.functions.enrich import clean_designer
 from vitrine.functions.text import filter_key, text_or_empty
-from vitrine.operators.skew import latest, top_per_key, with_new_ids
+from vitrine.operators.skew import latest, with_new_ids
 from vitrine.sources.tables import sink_upsert
 
-QUERY_VALUE_LIMIT = 1000
-ALIASES_SHOWN = 1000
-
 
 def _clamped(column: Column, allowed: tuple[str, ...], default: str) -> Column:
     return F.when(column.isin(*allowed), column).otherwise(F.lit(default))
@@ -156,19 +153,12 @@ def query_values(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> D
     )
 
 
-def query_value_list(
-    name: str, entities: DataFrame, aliases: DataFrame, limit: int = QUERY_VALUE_LIMIT
-) -> list[str]:
-    """The texts for one name, for use as predicates. More than ``limit`` is an error."""
+def texts_of_name(name: str, entities: DataFrame, aliases: DataFrame) -> DataFrame | None:
+    """All texts to search for under one name (``alias``), as a table; None without a name."""
     if not name:
-        return []
+        return None
     names = entities.sparkSession.createDataFrame([(name,)], "value string")
-    rows = (
-        query_values(names, entities, aliases).select("alias").limit(limit + 1).collect()
-    )
-    if len(rows) > limit:
-        raise ValueError(f"{name!r} has more than {limit} aliases; join on query_values instead")
-    return sorted(row.alias for row in rows)
+    return query_values(names, entities, aliases).select("alias")
 
 
 def entity_candidates(
@@ -350,13 +340,12 @@ def entity_index(
     aliases: DataFrame,
     evidence: DataFrame,
     query_key: Column | None = None,
-    limit: int = V.ENTITY_INDEX_LIMIT,
+    limit: int | None = V.ENTITY_INDEX_LIMIT,
 ) -> DataFrame:
     """Entities by name with their aliases and evidence counts.
 
     ``query_key`` is the normalized search text, looked up in names and aliases. The page of
-    entities is cut first; the alias list then shows the first thousand per entity, and
-    ``alias_count`` counts all of them (the alias table has the rest).
+    entities is cut first (None: all entities); each has all of its aliases.
     """
     chosen = entities
     if query_key is not None:
@@ -365,18 +354,15 @@ def entity_index(
         )
         by_name = entities.filter(F.col("normalized_name").contains(query_key)).select("id")
         chosen = entities.join(by_alias.unionByName(by_name), "id", "left_semi")
-    page = chosen.orderBy("canonical_name", "id").limit(limit).select(
+    first = chosen.orderBy("canonical_name", "id").limit(limit) if limit is not None else chosen
+    page = first.select(
         "id", "canonical_name", "entity_type", "review_status", "notes"
     )
     wanted = page.select("id")
     own = aliases.withColumnRenamed("id", "_alias_id").withColumnRenamed("entity_id", "id").join(
         wanted, "id", "left_semi"
     )
-    names = (
-        top_per_key(own, ["id"], [F.col("alias")], ALIASES_SHOWN)
-        .groupBy("id")
-        .agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
-    )
+    names = own.groupBy("id").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
     sizes = own.groupBy("id").agg(F.count(F.lit(1)).alias("alias_count"))
     # evidence ids are unique, so counting rows counts them; listings are made distinct by their
     # own key before an entity adds them up

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine import fixed_values as V
 from vitrine.functions.enrich import clean_designer
 from vitrine.functions.text import filter_key, item_number, null_if_empty, slugify
 from vitrine.operators.catalog import effective_availability, effective_category
+from vitrine.operators.skew import with_global_rank
 
 LISTED = ("category", "materials")
 
@@ -17,7 +18,9 @@ def _shown(listings: DataFrame) -> DataFrame:
     return listings.filter((F.col("is_active") == 1) & (effective_availability() != "removed"))
 
 
-def facet_values(listings: DataFrame, field: str, limit: int = V.FACET_LIMIT) -> DataFrame:
+def facet_values(
+    listings: DataFrame, field: str, limit: int | None = V.FACET_LIMIT
+) -> DataFrame:
     """Distinct comma-separated values of a raw field, in first-seen order of the sorted texts.
 
     Uses the raw category, not its override, and all shops. Distinct texts are reduced first, then
@@ -27,15 +30,13 @@ def facet_values(listings: DataFrame, field: str, limit: int = V.FACET_LIMIT) ->
         raise ValueError(f"Unsupported facet field: {field}")
     raws = _shown(listings).filter(F.col(field) != "").select(F.col(field).alias("raw")).distinct()
     pieces = raws.select("raw", F.posexplode(F.split("raw", ",")).alias("pos", "piece"))
-    return (
+    values = (
         pieces.select(F.trim("piece").alias("value"), F.struct("raw", "pos").alias("seen"))
         .filter(F.col("value") != "")
         .groupBy("value")
         .agg(F.min("seen").alias("seen"))
-        .orderBy("seen")
-        .limit(limit)
-        .select("value")
     )
+    return (values if limit is None else values.orderBy("seen").limit(limit)).select("value")
 
 
 def location_values(listings: DataFrame) -> DataFrame:
@@ -189,14 +190,17 @@ def recent_failures(
 
 
 def sitemap(
-    listings: DataFrame, shops: DataFrame, base_url: str, limit: int = V.SITEMAP_LIMIT
+    listings: DataFrame, shops: DataFrame, base_url: str, limit: int | None = None
 ) -> DataFrame:
-    """Addresses of the public pages: fixed pages, categories, shops, newest-checked listings."""
+    """Addresses of the public pages: fixed pages, categories, shops and listings.
+
+    All of them, unless ``limit`` keeps the listings that were checked last.
+    """
     spark = listings.sparkSession
     fixed = spark.createDataFrame(
         [(base_url + path, "") for path in V.STATIC_PATHS], "loc string, lastmod string"
     )
-    categories = facet_values(listings, "category").select(
+    categories = facet_values(listings, "category", limit=None).select(
         F.concat(F.lit(f"{base_url}/categories/"), slugify(F.col("value"))).alias("loc"),
         F.lit("").alias("lastmod"),
     )
@@ -212,9 +216,9 @@ def sitemap(
         _shown(listings)
         .join(active.select(F.col("id").alias("source_shop_id")), "source_shop_id", "left_semi")
         .select("id", "last_checked_at", "last_seen_at", "first_seen_at")
-        .orderBy(F.col("last_checked_at").desc(), F.col("id").desc())
-        .limit(limit)
     )
+    if limit is not None:
+        newest = newest.orderBy(F.col("last_checked_at").desc(), F.col("id").desc()).limit(limit)
     listing_pages = newest.select(
         F.concat(F.lit(f"{base_url}/listing/"), item_number(F.col("id"))).alias("loc"),
         F.coalesce(
@@ -224,8 +228,8 @@ def sitemap(
     return fixed.unionByName(categories).unionByName(shop_pages).unionByName(listing_pages)
 
 
-def sitemap_xml_entries(urls: DataFrame) -> DataFrame:
-    """One ``<url>`` element per row, ready for ``write.text``."""
+def sitemap_xml_entries(urls: DataFrame, *keep: str) -> DataFrame:
+    """One ``<url>`` element per row (``value``), ready for ``write.text``, after the columns ``keep``."""
     def escape(column: Column) -> Column:
         safe = F.replace(column, F.lit("&"), F.lit("&amp;"))
         safe = F.replace(safe, F.lit("<"), F.lit("&lt;"))
@@ -236,12 +240,57 @@ def sitemap_xml_entries(urls: DataFrame) -> DataFrame:
         F.concat(F.lit("<lastmod>"), escape(F.col("lastmod")), F.lit("</lastmod>")),
     ).otherwise("")
     return urls.select(
+        *keep,
         F.concat(
             F.lit("<url><loc>"), escape(F.col("loc")), F.lit("</loc>"), lastmod, F.lit("</url>")
         ).alias("value")
     )
 
 
+def sitemap_files(urls: DataFrame, per_file: int = V.SITEMAP_FILE_URLS) -> DataFrame:
+    """The addresses dealt to numbered files in their order: ``file``, ``loc``, ``lastmod``."""
+    ranked = with_global_rank(urls, ["loc"])
+    return ranked.select(F.floor(F.col("rank") / per_file).alias("file"), "loc", "lastmod")
+
+
+def write_sitemap(urls: DataFrame, folder: str, base_url: str, per_file: int = V.SITEMAP_FILE_URLS) -> None:
+    """Write ``folder/urls/file=n`` with the entries of each file, and ``folder/index`` that names them.
+
+    An entry is a line; who serves a file puts the head and the end of the document around it.
+    """
+    files = sitemap_files(urls, per_file)
+    entries = sitemap_xml_entries(files, "file")
+    entries.repartition("file").write.mode("overwrite").partitionBy("file").text(f"{folder}/urls")
+    names = files.select("file").distinct().orderBy("file").select(
+        F.concat(
+            F.lit(f"<sitemap><loc>{base_url}/sitemap-"), F.col("file").cast("string"),
+            F.lit(".xml</loc></sitemap>"),
+        ).alias("value")
+    )
+    names.write.mode("overwrite").text(f"{folder}/index")
+
+
+def site_json_ld(spark: SparkSession, base_url: str, site_name: str) -> DataFrame:
+    """The WebSite document with its search action; one row."""
+    target = F.struct(
+        F.lit("EntryPoint").alias("@type"),
+        F.lit(f"{base_url}/?q={{search_term_string}}").alias("urlTemplate"),
+    )
+    action = F.struct(
+        F.lit("SearchAction").alias("@type"),
+        target.alias("target"),
+        F.lit("required name=search_term_string").alias("query-input"),
+    )
+    document = F.struct(
+        F.lit("https://schema.org").alias("@context"),
+        F.lit("WebSite").alias("@type"),
+        F.lit(site_name).alias("name"),
+        F.lit(f"{base_url}/").alias("url"),
+        action.alias("potentialAction"),
+    )
+    return spark.range(1).select(F.to_json(document).alias("json_ld"))
+
+
 def listing_json_ld(listings: DataFrame, shops: DataFrame, base_url: str) -> DataFrame:
     """A Product document per listing. Absent parts (image, price) are left out of the JSON."""
     dim = shops.select(F.col("id").alias("source_shop_id"), F.col("name").alias("shop_name"))

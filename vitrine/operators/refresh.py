@@ -60,7 +60,6 @@ ITEM_COLUMNS = (
     "source_listing_url", "source_listing_key", "title", "normalized_title",
     "additional_image_urls", "location_text", *UPDATED,
 )
-REVIEW_TEXT_LIMIT = 1000
 # Score level -> signature kinds that make it. Kinds name the equal fields.
 LEVELS = {5: ("idp",), 4: ("id",), 3: ("ip", "dp"), 2: ("i", "d")}
 KINDS = tuple(kind for kinds in LEVELS.values() for kind in kinds)
@@ -99,12 +98,18 @@ def crawl_states(
 
     A failed crawl of a shop that has listings processes nothing and hides nothing; for an empty
     shop its (fallback) rows are taken. Only an error-free authoritative crawl with at least
-    ``min_rows`` rows hides what it did not see; by default an empty one hides the whole shop.
+    ``min_rows`` rows hides what it did not see; by default an empty one hides the whole shop. Rows
+    of a shop without a crawl row count as a part of a crawl that succeeded.
     """
     stored = listings.groupBy(F.col("source_shop_id").alias("shop_id")).agg(
         F.lit(1).alias("_has_rows")
     )
     sizes = batch.groupBy("shop_id").agg(F.count(F.lit(1)).alias("_received"))
+    named = crawls.select("shop_id")
+    unnamed = batch.select("shop_id").distinct().join(named, "shop_id", "left_anti").withColumn(
+        "authoritative", F.lit(0)
+    )
+    crawls = crawls.unionByName(unnamed, allowMissingColumns=True)
     failed = text_or_empty(F.col("error")) != ""
     kept = failed & F.col("_has_rows").isNotNull()
     received = F.coalesce("_received", F.lit(0))
@@ -462,14 +467,12 @@ def ambiguous_reviews(
     candidates: DataFrame,
     as_of: Column,
     open_reviews: DataFrame | None = None,
-    text_limit: int = REVIEW_TEXT_LIMIT,
 ) -> tuple[DataFrame, DataFrame]:
     """Reviews for items whose best score is shared, and their candidates in long form.
 
-    There is one open review per (shop, key). All candidates are in the second result, once per
-    tied group (``candidate_group``, ``listing_id``) however many items share the group. The
-    comma list, newest check first, is written for up to ``text_limit`` candidates and left empty
-    beyond that.
+    There is one open review per (shop, key). It names its groups of candidates; the second result
+    (``candidate_group``, ``listing_id``, ``last_checked_at``) has the members of each group once,
+    however many items share it. ``with_candidate_texts`` writes the lists out.
     """
     key = ["shop_id", "source_listing_key"]
     tied = resolved.filter(F.col("ties").isNotNull())
@@ -486,32 +489,17 @@ def ambiguous_reviews(
     members = signatures(candidates, ["candidate_id", "last_checked_at"]).join(
         wanted.select("kind", "sig").distinct(), ["kind", "sig"], "left_semi"
     )
-    sizes = members.groupBy("kind", "sig").agg(F.count(F.lit(1)).alias("_n"))
-    small = members.join(
-        sizes.filter(F.col("_n") <= text_limit), ["kind", "sig"]
-    )
-    lists = small.groupBy("kind", "sig").agg(
-        F.collect_list(F.struct("last_checked_at", "candidate_id")).alias("_members")
-    )
-    groups = wanted.join(sizes, ["kind", "sig"]).join(lists, ["kind", "sig"], "left")
-    texts = groups.groupBy(*key).agg(
-        F.flatten(F.collect_list("_members")).alias("_all"),
-        F.array_join(F.array_sort(F.collect_list("sig")), ",").alias("candidate_groups"),
-    )
-    newest_first = F.transform(
-        F.reverse(F.array_sort("_all")), lambda m: m["candidate_id"].cast("string")
-    )
+    # of an item's signatures some may have no candidate at all
+    groups = wanted.join(members.select("kind", "sig").distinct(), ["kind", "sig"], "left_semi")
+    named = groups.groupBy(*key).agg(F.array_sort(F.collect_list("sig")).alias("candidate_groups"))
     reviews = (
         tied.select(*key, "title", "score", "ties")
-        .join(texts, key)
+        .join(named, key)
         .select(
             "shop_id",
             as_of.alias("created_at"),
             "source_listing_key",
             "title",
-            F.when(F.col("ties") <= text_limit, F.array_join(newest_first, ","))
-            .otherwise("")
-            .alias("candidate_listing_ids"),
             F.concat(
                 F.lit("Ambiguous source-key reconciliation at score "), F.col("score")
             ).alias("reason"),
@@ -521,7 +509,30 @@ def ambiguous_reviews(
         )
     )
     return reviews, members.select(
-        F.col("sig").alias("candidate_group"), F.col("candidate_id").alias("listing_id")
+        F.col("sig").alias("candidate_group"), F.col("candidate_id").alias("listing_id"),
+        "last_checked_at",
+    )
+
+
+def with_candidate_texts(reviews: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Adds ``candidate_listing_ids``: all candidates of each review, newest check first.
+
+    For the reviews that a reader asks for; items that share a group each get its whole list.
+    """
+    lists = candidates.groupBy("candidate_group").agg(
+        F.collect_list(F.struct("last_checked_at", "listing_id")).alias("_members")
+    )
+    key = ["shop_id", "source_listing_key"]
+    texts = (
+        reviews.select(*key, F.explode("candidate_groups").alias("candidate_group"))
+        .join(lists, "candidate_group")
+        .groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("_members"))).alias("_all"))
+    )
+    text = F.array_join(
+        F.transform(F.reverse("_all"), lambda m: m["listing_id"].cast("string")), ","
+    )
+    return reviews.join(
+        texts.select(*key, text.alias("candidate_listing_ids")), key
     )
 
 

@@ -27,8 +27,8 @@ def rows_for(
     if spec.designer or spec.q:
         entities = A.design_entities(spark, folder)
         aliases = A.design_entity_aliases(spark, folder)
-        designer_values = N.query_value_list(spec.designer, entities, aliases)
-        search_values = N.query_value_list(spec.q, entities, aliases)
+        designer_values = N.texts_of_name(spec.designer, entities, aliases)
+        search_values = N.texts_of_name(spec.q, entities, aliases)
     return C.browse(
         A.listings(spark, folder),
         A.shops(spark, folder),

@@ -307,7 +307,7 @@ def html_product_page(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "html_meta_page",
     _parsed(
-        0.82,
+        0.66,
         url="'https://' || s.slug || '.example.com/products/' || code",
         key="'https://' || s.slug || '.example.com/products/' || code",
         price_raw="'Contactez-nous pour les details'",
@@ -328,8 +328,9 @@ def html_product_page(spark: SparkSession, folder: str) -> DataFrame:
     PARTS,
 )
 def html_meta_page(spark: SparkSession, folder: str) -> DataFrame:
-    feed = S.meta_page_feed(Y.product_pages(spark, folder), Y.source_dimension(spark, folder))
-    return _flat(feed).withColumn("parse_confidence", F.lit(0.82))
+    return _flat(
+        S.meta_page_feed(Y.product_pages(spark, folder), Y.source_dimension(spark, folder))
+    )
 
 
 @query(
@@ -362,20 +363,27 @@ def html_page_read(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "html_link_discovery",
-    r"""SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, link FROM (
-  SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY i) AS pos FROM (
-    SELECT page_id, link, min(i) AS i FROM (
-      SELECT page_id, i, regexp_extract(url, '^(https?://[^/?#]*)', 1)
-        || split_part(href, '?', 1) AS link
-      FROM (SELECT page_id, url, unnest(hrefs) AS href, unnest(range(len(hrefs))) AS i FROM (
-        SELECT page_id, url,
-          regexp_extract_all(html, '(?is)<a\s[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS hrefs
-        FROM pages))
-      WHERE contains(href, '/') AND href LIKE '/%' AND href NOT LIKE '//%') GROUP BY 1, 2))
-WHERE pos <= 200""",
+    r"""SELECT page_id, CAST(pos AS INTEGER) AS pos,
+  regexp_extract(url, '^(https?://[^/?#]*)', 1) || path || page_id AS link
+FROM pages, (VALUES (0, '/planted/right-'), (1, '/planted/plain-'), (2, '/planted/a&b-'),
+  (3, '/planted/up-')) t(pos, path)""",
 )
 def html_link_discovery(spark: SparkSession, folder: str) -> DataFrame:
-    return link_discovery(A.pages(spark, folder), "/", F.col("url"))
+    """Every crawled page with anchors planted before its own: another attribute that ends in href,
+    a value without quotes, one in a comment, an entity, and a path with dots."""
+    planted = F.concat(
+        *[
+            F.replace(F.lit(text), F.lit("#"), F.col("page_id").cast("string"))
+            for text in (
+                '<a data-href="/planted/wrong-#" href="/planted/right-#?from=1">1</a>',
+                "<A HREF=/planted/plain-#>2</A><a href='/planted/right-#'>again</a>",
+                '<!-- <a href="/planted/hidden-#">3</a> --><a name="planted">4</a>',
+                '<a href="/planted/a&amp;b-#">5</a><a href="/x/./y/../../planted/up-#">6</a>',
+            )
+        ]
+    )
+    pages = A.pages(spark, folder).withColumn("html", F.concat(planted, "html"))
+    return link_discovery(pages, "planted", F.col("url"))
 
 
 # --- attributes of product texts ----------------------------------------------------------------

@@ -112,9 +112,7 @@ WHERE s.active = 1 AND e.is_active = 1 AND effective_availability <> 'removed'
       AND a.from_status = 'available' AND a.to_status = 'sold_out'))""",
     "prior_states": _last(f"ts < TIMESTAMP '{A.REFRESH_FROM}'"),
     "prior": _listings("prior_states"),
-    "batch_states": _last(
-        f"ts >= TIMESTAMP '{A.REFRESH_FROM}' AND ts < TIMESTAMP '{A.REFRESH_UNTIL}'"
-    ),
+    "batch_states": _last(f"ts >= TIMESTAMP '{A.REFRESH_FROM}'"),
     "batch": """
 SELECT shop_id, part_id AS seq,
   'https://s' || shop_id || '.example.com/p/' || part_id AS source_listing_url,

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine import fixed_values as V
 from vitrine.functions.enrich import shipping_scope
 from vitrine.operators import refresh as R
 from vitrine.operators.skew import latest
@@ -13,7 +14,7 @@ from vitrine.sources import adapters as A
 from vitrine.sources import feeds as S
 from vitrine.sources import tables as T
 
-AS_OF = A.REFRESH_UNTIL
+AS_OF = A.REFRESH_AT
 LISTING_SQL = ", ".join(TABLES["listings"].fieldNames())
 UPDATED_SQL = ", ".join(
     f"CASE WHEN updated THEN i_{c} ELSE {c} END AS {c}"
@@ -155,7 +156,8 @@ FROM best WHERE ties > 1 GROUP BY shop_id, source_listing_key, title, score, tie
     PARTS,
 )
 def refresh_ambiguous_review(spark: SparkSession, folder: str) -> DataFrame:
-    return outputs(spark, folder).reviews.drop("candidate_groups")
+    out = outputs(spark, folder)
+    return R.with_candidate_texts(out.reviews, out.review_candidates).drop("candidate_groups")
 
 
 @query(
@@ -417,11 +419,11 @@ def chunk_reconcile_events(spark: SparkSession, folder: str) -> DataFrame:
   CASE WHEN l.id IS NULL THEN p.availability_status ELSE l.availability_status END
     AS availability_status
 FROM prior p FULL OUTER JOIN (SELECT * FROM listings
-  WHERE last_seen_at >= TIMESTAMP '2000-06-01') l ON l.id = p.id""",
+  WHERE last_seen_at >= TIMESTAMP '1999-01-01') l ON l.id = p.id""",
 )
 def sink_upsert(spark: SparkSession, folder: str) -> DataFrame:
     changed = A.listings(spark, folder).filter(
-        F.col("last_seen_at") >= A.moment("2000-06-01 00:00:00")
+        F.col("last_seen_at") >= A.moment(A.REFRESH_FROM)
     )
     return T.sink_upsert(
         A.prior_listings(spark, folder), changed, ["id"], preserve=("first_seen_at",)
@@ -518,6 +520,22 @@ def feed_cap(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "feed_cap_per_source",
+    """SELECT source_shop_id, id FROM listings
+QUALIFY row_number() OVER (PARTITION BY source_shop_id ORDER BY id) <= CASE source_shop_id
+  WHEN 2 THEN 600 WHEN 5 THEN 120 WHEN 7 THEN 1000000000 ELSE 200 END""",
+)
+def feed_cap_per_source(spark: SparkSession, folder: str) -> DataFrame:
+    """One source with a larger limit, one with a smaller and one without."""
+    own = spark.createDataFrame(
+        [(2, V.FEED_LIMIT_BULK), (5, V.FEED_LIMIT_LEGACY), (7, None)], "source_shop_id long, limit long"
+    )
+    return S.feed_cap(
+        A.listings(spark, folder), "source_shop_id", ["id"], own_limits=own
+    ).select("source_shop_id", "id")
+
+
 @query(
     "feed_fallback",
     """SELECT 's' || shop_id AS source_slug, source_listing_key, 'live_fetch' AS ingest_source_type,

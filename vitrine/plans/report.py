@@ -13,13 +13,13 @@ BASE_URL = "https://catalog.example.com"
 SHOWN = "is_active = 1 AND effective_availability <> 'removed'"
 
 
-def _facet_sql(field: str) -> str:
+def _facet_sql(field: str, limit: str = "LIMIT 30") -> str:
     return f"""SELECT value FROM (
   SELECT trim(piece) AS value, min((raw, pos)) AS seen FROM (
     SELECT raw, unnest(string_split(raw, ',')) AS piece,
       unnest(range(len(string_split(raw, ',')))) AS pos
     FROM (SELECT DISTINCT {field} AS raw FROM effective WHERE {SHOWN} AND {field} <> ''))
-  WHERE trim(piece) <> '' GROUP BY 1) ORDER BY seen LIMIT 30"""
+  WHERE trim(piece) <> '' GROUP BY 1) ORDER BY seen {limit}"""
 
 
 @query("facet_values", _facet_sql("materials"))
@@ -125,13 +125,35 @@ UNION ALL SELECT '{BASE_URL}/shops/' || slug, '' FROM shops WHERE active = 1
 UNION ALL SELECT '{BASE_URL}/listing/' || printf('MCM-%06d', id),
   strftime(last_checked_at, '%Y-%m-%d') FROM (
     SELECT l.id, l.last_checked_at FROM effective l JOIN shops s ON s.id = l.source_shop_id
-    WHERE s.active = 1 AND {SHOWN} ORDER BY l.last_checked_at DESC, l.id DESC LIMIT 5000)""",
-    {"category_facet": _facet_sql("category")},
+    WHERE s.active = 1 AND {SHOWN})""",
+    {"category_facet": _facet_sql("category", "")},
 )
 def export_sitemap(spark: SparkSession, folder: str) -> DataFrame:
     return R.sitemap(A.listings(spark, folder), A.shops(spark, folder), BASE_URL)
 
 
+@query(
+    "export_sitemap_files",
+    f"""SELECT CAST(floor((r - 1) / 1000) AS BIGINT) AS file, count(*) AS urls, min(loc) AS first_loc,
+  max(loc) AS last_loc FROM (
+  SELECT loc, row_number() OVER (ORDER BY loc) AS r FROM (
+    SELECT '{BASE_URL}' || p AS loc FROM (VALUES ('/'), ('/shops'), ('/about')) t(p)
+    UNION ALL SELECT '{BASE_URL}/categories/'
+      || trim(regexp_replace(lower(value), '[^a-z0-9]+', '-', 'g'), '-') FROM category_facet
+    UNION ALL SELECT '{BASE_URL}/shops/' || slug FROM shops WHERE active = 1
+    UNION ALL SELECT '{BASE_URL}/listing/' || printf('MCM-%06d', l.id)
+      FROM effective l JOIN shops s ON s.id = l.source_shop_id WHERE s.active = 1 AND {SHOWN}))
+GROUP BY 1""",
+    {"category_facet": _facet_sql("category", "")},
+)
+def export_sitemap_files(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of the numbered files holds."""
+    urls = R.sitemap(A.listings(spark, folder), A.shops(spark, folder), BASE_URL)
+    return R.sitemap_files(urls, 1000).groupBy("file").agg(
+        F.count("*").alias("urls"), F.min("loc").alias("first_loc"), F.max("loc").alias("last_loc")
+    )
+
+
 @query(
     "export_structured_data",
     f"""SELECT l.id, '{{"@context":"https://schema.org","@type":"Product","name":"' || title
@@ -205,6 +227,23 @@ def duplicate_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return S.duplicate_pairs(A.listings(spark, folder))
 
 
+@query(
+    "duplicate_pairs_all",
+    """SELECT a.id AS left_id, b.id AS right_id,
+  len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS score
+FROM ranked a JOIN ranked b ON b.r > a.r AND b.r <= a.r + 11
+WHERE a.source_shop_id <> b.source_shop_id
+  AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.72""",
+    {
+        "ranked": """SELECT id, source_shop_id, list_distinct(string_split(normalized_title, ' ')) AS w,
+  row_number() OVER (ORDER BY normalized_title, id) AS r FROM listings WHERE is_active = 1"""
+    },
+)
+def duplicate_pairs_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole result, not the report's first rows."""
+    return S.duplicate_pairs(A.listings(spark, folder), limit=None)
+
+
 _SETS = r"""SELECT id, w, array_to_string(w, ' ') AS fp FROM (
   SELECT id, list_sort(list_distinct(list_filter(string_split_regex(
     trim(lower(regexp_replace(text, '[^\p{L}\p{N}]', ' ', 'g'))), '\s+'),

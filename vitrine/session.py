@@ -19,8 +19,6 @@ def build_session(app: str = "vitrine", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
-        # text work is heavy for its bytes: do not merge it into fewer tasks than there are cores
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16KB")
         # column expressions need not record the Python line that built them
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -67,16 +65,6 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """A file scan with at least one task per core.
-
-    Long texts in few row groups would otherwise be worked on by few tasks. A scan that has enough
-    splits, as any large one, is left as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def size_in_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate; exact for plain file scans, an upper guess above joins."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from vitrine.functions.text import filter_key, normalize_title
 from vitrine.operators.skew import lag_in_buckets, latest
 from vitrine.schemas import TABLES, conform
-from vitrine.session import broadcast_if_small, spread
+from vitrine.session import broadcast_if_small
 
 ID_STEP = 1_000_000_000  # listing id = shop id * step + part id
 NEW_ID_STEP = 500_000_000
 REFRESH_FROM = "1999-01-01 00:00:00"
-REFRESH_UNTIL = "2000-01-01 00:00:00"
+REFRESH_AT = "2002-01-01 00:00:00"  # when the refresh runs; it sees all later states
 JOBS_DAY = "2001-06-01 12:00:00"
 SHIPPING = (
     "Ships worldwide, quote on request",
@@ -33,11 +33,11 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read(spark, folder, "documents"), "doc_id")
+    return read(spark, folder, "documents")
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read(spark, folder, "pages"), "page_id")
+    return read(spark, folder, "pages")
 
 
 def moment(text: str) -> Column:
@@ -270,10 +270,8 @@ def prior_listings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def refresh_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """The crawl: the last state of every listing seen in the window; some keys have drifted."""
-    window = history(spark, folder).filter(
-        (F.col("ts") >= moment(REFRESH_FROM)) & (F.col("ts") < moment(REFRESH_UNTIL))
-    )
+    """The crawl: the last state of every listing seen since; some keys have drifted."""
+    window = history(spark, folder).filter(F.col("ts") >= moment(REFRESH_FROM))
     rows = latest(window, ["listing_id"], ORDER).join(
         read(spark, folder, "part"), F.col("part_id") == F.col("p_partkey")
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine import fixed_values as V
@@ -79,10 +79,9 @@ EMBEDDED = (
     "array<struct<urlPart:string,name:string,media:array<struct<fullUrl:string>>,price:double,"
     "isInStock:boolean,formattedPrice:string,currency:string>>"
 )
-PRODUCT_LD = (
-    "struct<name:string,description:string,image:array<string>,"
-    "offers:array<struct<price:string,availability:string,priceCurrency:string>>>"
-)
+# image and offers may be one value or a list; they are read as the JSON text that stands there
+PRODUCT_LD = "struct<`@type`:string,name:string,description:string,image:string,offers:string>"
+PRODUCT_OFFER = "struct<price:string,availability:string,priceCurrency:string>"
 SOURCE_COLUMNS = ("website", "city", "province", "shipping_summary", "furniture_only")
 
 
@@ -556,12 +555,30 @@ def embedded_feed(pages: DataFrame, sources: DataFrame) -> DataFrame:
     return _finish(shaped, "embedded", F.lit("local_quote"))
 
 
+def json_items(text: Column) -> Column:
+    """The texts of a JSON list's items, or the text alone; none for bad JSON or null."""
+    items = F.when(text.startswith("["), F.from_json(text, "array<string>")).when(
+        text.isNotNull(), F.array(text)
+    )
+    return F.coalesce(items, F.array().cast("array<string>"))
+
+
+def product_document(scripts: Column) -> Column:
+    """The first product among a page's JSON-LD scripts, each one document or a list of them."""
+    documents = F.flatten(F.transform(scripts, lambda s: json_items(F.trim(s))))
+    read = F.transform(documents, lambda d: F.from_json(d, PRODUCT_LD))
+    return F.get(F.filter(read, lambda d: d["@type"] == "Product"), F.lit(0))
+
+
 def product_page_feed(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """Product pages ``(source_slug, page, url, html)``: JSON-LD first, then the page itself."""
     read = (
         _with_source(read_pages(pages, ["source_slug", "page", "url"]), sources)
-        .withColumn("_ld", F.from_json("ld_json", PRODUCT_LD))
-        .withColumn("_offer", F.get("_ld.offers", F.lit(0)))
+        .withColumn("_ld", product_document(F.col("ld_scripts")))
+        .withColumn(
+            "_offer",
+            F.from_json(F.get(json_items(F.col("_ld.offers")), F.lit(0)), PRODUCT_OFFER),
+        )
     )
     described = read.withColumn(
         "lines",
@@ -587,7 +604,9 @@ def product_page_feed(pages: DataFrame, sources: DataFrame) -> DataFrame:
             ),
             "price_value": value,
             "currency": F.coalesce("_offer.priceCurrency", F.lit(V.DEFAULT_CURRENCY)),
-            "images": F.coalesce("_ld.image", F.array().cast("array<string>")),
+            "images": F.filter(
+                json_items(F.col("_ld.image")), lambda u: u.isNotNull() & ~u.startswith("{")
+            ),
             "availability_status": E.normalize_availability(
                 F.col("_offer.availability"), F.col("visible_text")
             ),
@@ -641,7 +660,7 @@ def meta_page_feed(pages: DataFrame, sources: DataFrame) -> DataFrame:
             "pos": F.lit(0),
         }
     )
-    return _finish(_enriched(shaped), "product_page")
+    return _finish(_enriched(shaped), "meta_page")
 
 
 # --- crawl-level rules --------------------------------------------------------------------------
@@ -687,10 +706,24 @@ def dedupe_identity(
 
 
 def feed_cap(
-    listings: DataFrame, source: str, order: list[str], limit: int = V.FEED_LIMIT
+    listings: DataFrame,
+    source: str,
+    order: list[str],
+    limit: int | None = V.FEED_LIMIT,
+    own_limits: DataFrame | None = None,
 ) -> DataFrame:
-    """The first ``limit`` rows of every source's crawl."""
-    return top_per_key(listings, [source], [F.col(c) for c in order], limit)
+    """The first ``limit`` rows of every source's crawl; None keeps all.
+
+    ``own_limits(source, limit)`` holds the sources with a limit of their own (null: none).
+    """
+    columns = [F.col(c) for c in order]
+    if own_limits is None:
+        return listings if limit is None else top_per_key(listings, [source], columns, limit)
+    own = own_limits.select(source, F.col("limit").alias("_own"), F.lit(True).alias("_has"))
+    ranked = listings.join(own, source, "left").withColumn(
+        "_limit", F.when(F.col("_has"), F.col("_own")).otherwise(F.lit(limit).cast("long"))
+    ).withColumn("_rn", F.row_number().over(Window.partitionBy(source).orderBy(*columns)))
+    return ranked.filter("_limit is null or _rn <= _limit").select(*listings.columns)
 
 
 def with_fallback(live: DataFrame, seed: DataFrame, crawls: DataFrame) -> DataFrame:
@@ -698,7 +731,6 @@ def with_fallback(live: DataFrame, seed: DataFrame, crawls: DataFrame) -> DataFr
 
     ``crawls(source_slug, error)``; seeds are marked and carry little confidence.
     """
-    succeeded = crawls.filter(text_or_empty(F.col("error")) == "").select("source_slug")
     rows = seed.withColumns(
         {
             "parse_confidence": F.lit(V.FALLBACK_CONFIDENCE),
@@ -706,7 +738,8 @@ def with_fallback(live: DataFrame, seed: DataFrame, crawls: DataFrame) -> DataFr
         }
     )
     failed = crawls.filter(text_or_empty(F.col("error")) != "").select("source_slug")
-    kept = live.join(succeeded, "source_slug", "left_semi")
+    # a source without a crawl row has not failed
+    kept = live.join(failed, "source_slug", "left_anti")
     return kept.unionByName(rows.join(failed, "source_slug", "left_semi").select(*live.columns))
 
 

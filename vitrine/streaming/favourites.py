@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+LATENESS = "1 day"
 
-def stream_toggle_counts(toggles: DataFrame, item: str) -> DataFrame:
+
+def stream_toggle_counts(toggles: DataFrame, item: str, lateness: str = LATENESS) -> DataFrame:
     """Running number of toggles and last toggle per owner and item, for output mode ``update`` and
-    an upsert on (owner_key, item)."""
-    return toggles.groupBy("owner_key", item).agg(
+    an upsert on (owner_key, item). A toggle ``event_id`` that is sent again counts once; which ids
+    were seen is given up behind the watermark."""
+    once = toggles.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
+    return once.groupBy("owner_key", item).agg(
         F.count(F.lit(1)).alias("toggles"), F.max("ts").alias("created_at")
     )
 
