@@ -10,11 +10,12 @@ keep the smallest. A process ends when its next point lies above all positions.
 shingles have equal processes in every document.
 
 Candidates share one of ``BANDS`` bands of ``ROWS`` positions. Documents of equal multisets are first
-folded into their smallest identifier. Within a band's key every document is paired with the smallest
-only, never with all. Pairs are verified by the overlap of their multisets, and verified links give
-classes. Where a key still holds several classes, its members are compared across the classes block by
-block, by their whole signatures, and what agrees often enough is verified as well. A similar pair
-shares a band with a probability above 0.9999 at a similarity of 0.8, and more above.
+folded into their smallest identifier. Within a band's key every document is paired with one only, never
+with all: with the document that meets most others over all its bands, as an original does among its
+copies. Pairs are verified by the overlap of their multisets, and verified links give classes. Where a
+key still holds several classes, its members are compared across the classes block by block: by their
+signatures, and where these agree often enough by their multisets. A similar pair shares a band with a
+probability above 0.9999 at a similarity of 0.8, and more above.
 
 Defined results: a text of one to four words is one shingle of these; a text without words (null, empty,
 signs only) is a class of its own. Null identifiers are in classes of their own, one for each row, with
@@ -41,8 +42,9 @@ SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
 POSITIONS = BANDS * ROWS
-#: Share of equal positions that a pair needs to be verified: over six deviations below 0.8.
-AGREEMENT = 0.58
+#: Share of equal positions that a pair of different classes needs to be verified: at a similarity of 0.8
+#: one of 20,000 pairs stays below, as many as share no band at all.
+AGREEMENT = 0.66
 BLOCK_ROWS = 512
 
 _U = np.uint64
@@ -236,50 +238,129 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     )
 
 
-def _across(rows: DataFrame, classes: DataFrame, signatures_: DataFrame) -> DataFrame:
-    """Pairs of different classes within a key whose signatures agree often enough.
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, class, ...) of keys with several classes, dealt into blocks that meet in pairs.
 
-    ``rows`` (key, id): keys with one class only take no part. Members of a key are dealt into blocks of
-    about ``BLOCK_ROWS``, and each pair of blocks is compared in one task.
+    A key's members go to blocks of about ``BLOCK_ROWS`` rows, and each two blocks (``one``, ``two``; a
+    row's own is ``own``) form a group, so no group grows with the size of a key.
     """
-    id_type = rows.schema["id"].dataType.simpleString()
-    classed = rows.join(classes, "id", "left").select(
-        "key", "id", F.coalesce("class_id", "id").alias("class")
-    )
-    classed = materialized(classed)
     mixed = (
-        classed.groupBy("key")
+        rows.groupBy("key")
         .agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n"))
         .filter("least != most")
         .select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
     )
-    members = (
-        classed.join(mixed, "key").join(signatures_, "id")
-        .withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    members = rows.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return members.withColumn("other", other).select(
+        *rows.columns, "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")
     )
-    sequence = F.sequence(F.lit(0), F.col("blocks") - 1)
-    meetings = members.withColumn("other", F.explode(sequence)).select(
-        "key", "id", "class", "signature", "own",
-        F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
+
+
+def _partners(key: tuple, table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a group with the rows of other classes whose signatures agree often enough.
+
+    A pair that shares several bands is found in the first of them.
+    """
+    of_class, own = table.column("class").to_numpy(), table.column("own").to_numpy()
+    bits = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16)
+    bits = bits.reshape(-1, POSITIONS)
+    band = table.column("band")[0].as_py()
+    right = np.flatnonzero(own == key[2].as_py())
+    for i in np.flatnonzero(own == key[1].as_py()).tolist():
+        others = right[of_class[right] != of_class[i]]
+        equal = bits[others] == bits[i]
+        earlier = equal[:, : band * ROWS].reshape(len(others), band, ROWS).all(axis=2).any(axis=1)
+        others = others[(equal.sum(axis=1) >= AGREEMENT * POSITIONS) & ~earlier]
+        if len(others):
+            yield i, others
+
+
+def _confirmed(key: tuple, table: pa.Table, similarity: float) -> list[tuple[int, int, float]]:
+    """Verified links (row, row, similarity) of a group; none between classes that are linked already."""
+    of_class = table.column("class").to_pylist()
+    linked: dict = {}
+
+    def root(c):
+        while c in linked:
+            c = linked[c]
+        return c
+
+    text = pa.concat_arrays([c.cast(pa.large_string()) for c in table.column("text").chunks])
+    hashes, counts, owner = bags(*textops.text_bytes(text))
+    sizes = np.bincount(owner, counts, table.num_rows)
+    edges = np.searchsorted(owner, np.arange(table.num_rows + 1))
+    order = np.argsort(hashes, kind="stable")
+    by_hash, by_count, by_owner = hashes[order], counts[order], owner[order]
+    found = []
+    for i, others in _partners(key, table):
+        others = [j for j in others.tolist() if root(of_class[i]) != root(of_class[j])]
+        if not others:
+            continue
+        mine = slice(edges[i], edges[i + 1])
+        low, high = (np.searchsorted(by_hash, hashes[mine], side) for side in ("left", "right"))
+        length = high - low
+        at = np.repeat(low - np.cumsum(length) + length, length) + np.arange(length.sum())
+        least = np.minimum(np.repeat(counts[mine], length), by_count[at])
+        shared = np.bincount(by_owner[at], least, table.num_rows)
+        for j in others:
+            same = shared[j] / (sizes[i] + sizes[j] - shared[j])
+            one, two = root(of_class[i]), root(of_class[j])
+            if same >= similarity and one != two:
+                linked[two] = one
+                found.append((i, j, same))
+    return found
+
+
+def _across(
+    rows: DataFrame, classes: DataFrame, signatures_: DataFrame, texts: DataFrame, similarity: float
+) -> DataFrame:
+    """Verified links (a, b, similarity) between different classes within a key (key, band, id).
+
+    First the members that have a partner are found by signature; only these are compared again with
+    their texts, and only links are given, not the pairs that were tried.
+    """
+    id_type = rows.schema["id"].dataType.simpleString()
+    classed = materialized(
+        rows.join(classes, "id", "left").select(
+            "key", "band", "id", F.coalesce("class_id", "id").alias("class")
+        )
     )
 
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
+    def with_partner(key: tuple, table: pa.Table) -> pa.Table:
+        hit = np.zeros(table.num_rows, bool)
+        for i, others in _partners(key, table):
+            hit[i] = True
+            hit[others] = True
+        return table.select(["key", "id"]).filter(pa.array(hit))
+
+    def links(key: tuple, table: pa.Table) -> pa.Table:
         ids = table.column("id").combine_chunks()
-        of_class, own = table.column("class").to_numpy(), table.column("own").to_numpy()
-        bits = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16)
-        bits = bits.reshape(-1, POSITIONS)
-        left = np.flatnonzero(own == key[1].as_py())
-        right = np.flatnonzero(own == key[2].as_py())
-        a, b = [], []
-        for i in left.tolist():
-            equal = (bits[right] == bits[i]).sum(axis=1) >= AGREEMENT * POSITIONS
-            hits = right[equal & (of_class[right] != of_class[i])]
-            a += [i] * len(hits)
-            b += hits.tolist()
-        return pa.table({"x": ids.take(pa.array(a, pa.int64())), "y": ids.take(pa.array(b, pa.int64()))})
-
-    pairs = meetings.groupBy("key", "one", "two").applyInArrow(compare, f"x {id_type}, y {id_type}")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        found = _confirmed(key, table, similarity)
+        a, b = ids.take(pa.array([f[0] for f in found], pa.int64())), ids.take(
+            pa.array([f[1] for f in found], pa.int64()))
+        return pa.table({"x": a, "y": b, "similarity": pa.array([f[2] for f in found], pa.float64())})
+
+    mixed = classed.join(_mixed(classed), "key", "left_semi")
+    signed = materialized(mixed.join(signatures_, "id"))
+    busy = materialized(
+        _blocks(signed).groupBy("key", "one", "two")
+        .applyInArrow(lambda key, table: with_partner(key, table), f"key long, id {id_type}").distinct()
+    )
+    wanted = materialized(busy.select("id").distinct())
+    wanted = texts.join(broadcast_if_small(wanted, max_bytes=8 << 20), "id", "left_semi")
+    again = signed.join(busy, ["key", "id"], "left_semi").join(wanted, "id")
+    pairs = (
+        _blocks(again).groupBy("key", "one", "two")
+        .applyInArrow(lambda key, table: links(key, table), f"x {id_type}, y {id_type}, similarity double")
+    )
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
+def _mixed(classed: DataFrame) -> DataFrame:
+    """Keys with several classes."""
+    ends = classed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"))
+    return ends.filter("least != most").select("key")
 
 
 def near_duplicates(
@@ -295,18 +376,20 @@ def near_duplicates(
     member = materialized(one.join(folded, "bag").select("id", "rep"))
 
     reps = sketches.join(folded.select(F.col("rep").alias("id"), "bag"), ["id", "bag"], "left_semi")
-    banded = materialized(reps.select("id", F.explode("bands").alias("key")).distinct())
-    keys = banded.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    met = materialized(banded.join(keys.select("key", "leader"), "key"))
+    banded = materialized(reps.select("id", F.posexplode("bands").alias("band", "key")).distinct())
+    keys = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = materialized(banded.join(keys, "key"))
+    central = met.join(met.groupBy("id").agg(F.sum("n").alias("meets")), "id")
+    leaders = central.groupBy("key").agg(F.max(F.struct("meets", "id")).alias("leader"))
     stars = (
-        met.filter("id != leader")
-        .select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+        met.join(leaders.select("key", F.col("leader.id").alias("leader")), "key").filter("id != leader")
+        .select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
     )
     links = materialized(verified(materialized(stars), texts, similarity))
     classes = components(links.select("a", "b"))
     signed = reps.select("id", "signature").dropDuplicates(["id"])
-    across = materialized(_across(met.select("key", "id"), classes, signed))
-    links = materialized(links.unionByName(verified(across, texts, similarity)).dropDuplicates(["a", "b"]))
+    more = _across(met.select("key", "band", "id"), classes, signed, texts, similarity)
+    links = materialized(links.unionByName(more).dropDuplicates(["a", "b"]))
     classes = components(links.select("a", "b"))
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(

@@ -144,7 +144,8 @@ class Encoder:
 
     Between two characters that are not white space a single space always begins a pre-token, so a
     text cut there may be encoded piece by piece. Texts with other white space around their spaces
-    go through the pattern whole.
+    go through the pattern whole. Sent without what it has kept; a broadcast encoder stays with its
+    Python worker, so the next task finds the pieces of the tasks before.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -154,6 +155,9 @@ class Encoder:
         self.cut = regex.compile("|".join(map(regex.escape, marks))) if marks else None
         self.words, self.pieces = Recent(CACHED_WORDS), Recent(CACHED_WORDS)
 
+    def __reduce__(self):
+        return Encoder, (self.vocabulary,)
+
     def _word(self, word: str) -> bytes:
         packed = self.words.young.get(word)
         if packed is None:
@@ -209,11 +213,11 @@ def encode_decode(
 ) -> DataFrame:
     """``id_col``, ``token_ids`` array<int> and ``decoded`` string, one row per row of ``docs``."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Vocabulary.read(tokenizer_path))
+    shared = spark.sparkContext.broadcast(Encoder(Vocabulary.read(tokenizer_path)))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = shared.value
         for batch in textops.slices(batches, text_col):
             packed, decoded = [], []
             for text in batch.column(text_col).to_pylist():
