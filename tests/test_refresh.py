@@ -172,6 +172,16 @@ def test_missing_rows_are_hidden(spark):
     assert job(refresh(spark, stored, nothing, min_rows=1))[3] == 0
 
 
+def test_ids_of_the_logs(spark):
+    out = refresh(spark, listings(spark, {}, {}), batch(spark, {"source_listing_key": "n", "title": "New"}))
+    log = spark.createDataFrame([(40, 1, 1, "old", T0, "", "available", "discovered")], TABLES["listing_availability_events"])
+    jobs = spark.createDataFrame([], TABLES["refresh_jobs"])
+    numbered = R.with_log_ids(out, {"availability_events": log, "jobs": jobs})
+    assert rows(numbered.availability_events, "id", "listing_id") == [(41, 1), (42, 2), (43, 3)]
+    assert rows(numbered.jobs, "id", "shop_id") == [(1, 1)]
+    assert numbered.runs is out.runs
+
+
 def test_error_policy(spark):
     shop = shops(spark, {}, {})
     items = batch(spark, {"source_listing_key": "f"}, {"source_listing_key": "g", "shop_id": 2})

@@ -19,8 +19,8 @@ row the lowest batch position gets it, and the others are new.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -616,6 +616,28 @@ def reconcile(
     )
 
 
+# What orders the rows of one refresh in their log; unique within it.
+LOG_ORDER = {
+    "availability_events": ("listing_id",),
+    "price_events": ("listing_id",),
+    "reviews": ("shop_id", "source_listing_key"),
+    "runs": ("shop_id",),
+    "failures": ("shop_id",),
+    "jobs": ("shop_id",),
+}
+
+
+def with_log_ids(out: RefreshOutput, stored: Mapping[str, DataFrame]) -> RefreshOutput:
+    """The output with ids on the rows that are appended to logs, after the highest stored ones.
+
+    ``stored`` holds the logs (``id``) by the names of the output's fields; others stay as they are.
+    """
+    numbered = {
+        name: with_new_ids(getattr(out, name), list(LOG_ORDER[name]), log) for name, log in stored.items()
+    }
+    return replace(out, **numbered)
+
+
 # --- chunked sources ----------------------------------------------------------------------------
 
 

@@ -212,9 +212,7 @@ def refresh_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return outputs(spark, folder).listings
 
 
-@query(
-    "refresh_availability_events",
-    f"""SELECT id AS listing_id, source_shop_id AS shop_id,
+_AVAILABILITY_SQL = f"""SELECT id AS listing_id, source_shop_id AS shop_id,
   CASE WHEN updated THEN i_source_listing_key ELSE source_listing_key END AS source_listing_key,
   TIMESTAMP '{AS_OF}' AS observed_at, availability_status AS from_status,
   CASE WHEN updated THEN i_availability_status ELSE 'removed' END AS to_status,
@@ -222,13 +220,28 @@ def refresh_upsert(spark: SparkSession, folder: str) -> DataFrame:
 FROM merged WHERE (updated AND availability_status <> i_availability_status)
   OR (hidden AND is_active = 1 AND availability_status <> 'removed')
 UNION ALL SELECT shop_id * {A.ID_STEP} + {A.NEW_ID_STEP} + seq, shop_id, source_listing_key,
-  TIMESTAMP '{AS_OF}', '', availability_status, 'discovered' FROM fresh""",
-    PARTS,
-)
+  TIMESTAMP '{AS_OF}', '', availability_status, 'discovered' FROM fresh"""
+
+
+@query("refresh_availability_events", _AVAILABILITY_SQL, PARTS)
 def refresh_availability_events(spark: SparkSession, folder: str) -> DataFrame:
     return outputs(spark, folder).availability_events
 
 
+@query(
+    "refresh_availability_log",
+    """SELECT *, (SELECT max(id) FROM availability_events)
+  + row_number() OVER (ORDER BY listing_id) AS id FROM changes""",
+    {**PARTS, "changes": _AVAILABILITY_SQL},
+)
+def refresh_availability_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as they are appended to the stored log."""
+    log = A.availability_events(spark, folder)
+    return R.with_log_ids(
+        outputs(spark, folder), {"availability_events": log}
+    ).availability_events
+
+
 @query(
     "refresh_price_events",
     f"""SELECT id AS listing_id, source_shop_id AS shop_id, i_source_listing_key AS source_listing_key,
