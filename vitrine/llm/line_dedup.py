@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.functions.text import let
 from vitrine.session import broadcast_if_small, materialized
 
 NEAR_CHARS = 20
@@ -80,35 +81,55 @@ def _half_keys(lines: DataFrame) -> DataFrame:
     )
 
 
+def _chain(parts: Column) -> Column:
+    """Hashes of the first 0, 1, 2 ... parts."""
+    return F.aggregate(
+        parts,
+        F.array(F.lit(0).cast("long")),
+        lambda hashes, part: F.array_append(hashes, F.xxhash64(F.element_at(hashes, -1), part)),
+    )
+
+
 def _blocks(rest: Column, longer: Column, half: Column) -> Column:
     """The half that is not shared as blocks of ``BLOCK_CHARS`` places of the shorter text: of each the
-    hash of all else (``context``) and its characters (``middle``), one more in the longer text."""
-    places = F.char_length(rest) - longer
-    count = F.greatest(F.lit(1), F.ceil(places / BLOCK_CHARS).cast("int"))
-    numbers = F.sequence(F.lit(0), count - 1)
-
-    def chain(parts: Column) -> Column:
-        """Hashes of the first 0, 1, 2 ... parts."""
-        return F.aggregate(
-            parts,
-            F.array(F.lit(0).cast("long")),
-            lambda hashes, part: F.array_append(hashes, F.xxhash64(F.element_at(hashes, -1), part)),
+    hash of all else (``context``) and its characters (``middle``), one more in the longer text.
+
+    ``let`` binds what is used for every block, so that it is computed once for the line.
+    """
+
+    def part(text: Column, number: Column, shift: Column) -> Column:
+        return F.substring(text, number * BLOCK_CHARS + 1 + shift, F.lit(BLOCK_CHARS))
+
+    def measured(text: Column) -> Column:
+        places = F.char_length(text) - longer
+        count = F.greatest(F.lit(1), F.ceil(places / BLOCK_CHARS).cast("int"))
+        return F.struct(places.alias("places"), count.alias("count"), text.alias("text"))
+
+    def hashed(m: Column) -> Column:
+        numbers = F.sequence(F.lit(0), m["count"] - 1)
+        before = _chain(F.transform(numbers, lambda k: part(m["text"], k, F.lit(0))))
+        after = _chain(F.reverse(F.transform(numbers, lambda k: part(m["text"], k, longer))))
+        return F.struct(
+            numbers.alias("numbers"), before.alias("before"), after.alias("after"), m.alias("m")
         )
 
-    def part(number: Column, shift: Column) -> Column:
-        return F.substring(rest, number * BLOCK_CHARS + 1 + shift, F.lit(BLOCK_CHARS))
-
-    before = chain(F.transform(numbers, lambda k: part(k, F.lit(0))))
-    after = chain(F.reverse(F.transform(numbers, lambda k: part(k, longer))))
-    return F.transform(
-        numbers,
-        lambda k: F.struct(
-            F.xxhash64(half, k, F.get(before, k), F.get(after, count - 1 - k)).alias("context"),
-            F.substring(
-                rest, k * BLOCK_CHARS + 1, F.least(F.lit(BLOCK_CHARS), places - k * BLOCK_CHARS) + longer
-            ).alias("middle"),
-        ),
-    )
+    def cut(h: Column) -> Column:
+        m = h["m"]
+        return F.transform(
+            h["numbers"],
+            lambda k: F.struct(
+                F.xxhash64(
+                    half, k, F.get(h["before"], k), F.get(h["after"], m["count"] - 1 - k)
+                ).alias("context"),
+                F.substring(
+                    m["text"],
+                    k * BLOCK_CHARS + 1,
+                    F.least(F.lit(BLOCK_CHARS), m["places"] - k * BLOCK_CHARS) + longer,
+                ).alias("middle"),
+            ),
+        )
+
+    return let(rest, lambda text: let(measured(text), lambda m: let(hashed(m), cut)))
 
 
 def _variants(alive: DataFrame) -> DataFrame:
