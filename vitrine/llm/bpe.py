@@ -14,6 +14,7 @@ null ids and repeated rows are encoded one by one; further columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 from collections.abc import Iterator
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 
 from vitrine.llm import textops
 
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
+CACHED_PIECES = 250_000
 CACHED_CHARS = 64
 
 # The pre-token pattern of byte-level BPE, white space spelled out as the Unicode property.
@@ -153,7 +155,7 @@ class Encoder:
         self.find = regex.compile(PRETOKENS).findall
         marks = sorted(vocabulary.special, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, marks))) if marks else None
-        self.words, self.pieces = Recent(CACHED_WORDS), Recent(CACHED_WORDS)
+        self.words, self.pieces = Recent(CACHED_WORDS), Recent(CACHED_PIECES)
 
     def __reduce__(self):
         return Encoder, (self.vocabulary,)
@@ -217,7 +219,13 @@ def encode_decode(
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value
+        gc.disable()  # merging makes many short lists and no cycles
+        try:
+            yield from coded(shared.value, batches)
+        finally:
+            gc.enable()
+
+    def coded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textops.slices(batches, text_col):
             packed, decoded = [], []
             for text in batch.column(text_col).to_pylist():
