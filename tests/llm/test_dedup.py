@@ -94,7 +94,7 @@ def near_table():
             words = list(text)
             for _ in range(copy * 2):
                 words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
-            rows.append((100 * group + copy, " ".join(words)))
+            rows.append((20_000 + 100 * group + copy, " ".join(words)))
     return rows
 
 
@@ -135,10 +135,6 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {r.class_id for r in got} == {0} and sum(r.n_links for r in got) < 400 * 30
 
 
-def test_near_duplicates_of_an_empty_table(spark):
-    assert bagminhash.near_duplicates(tables.docs(spark, [])).collect() == []
-
-
 @pytest.mark.parametrize(("a", "b"), [({1: 3, 2: 1, 3: 9}, {1: 5, 2: 1, 4: 2}), ({1: 40}, {1: 25, 2: 3})])
 def test_signatures_estimate_the_weighted_similarity(a, b):
     want = brute.similarity(Counter(a), Counter(b))

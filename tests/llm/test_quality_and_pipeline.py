@@ -117,4 +117,6 @@ def test_stages_take_odd_tables(spark, sf_dir, number):
         assert got.columns == docs.columns
         found = Counter((r.doc_id, r.text) for r in got.collect())
         assert not found - Counter(rows)
-    assert stage(spark, tables.docs(spark, tables.ODD), sf_dir).filter("doc_id is null").count() >= (name != "line_dedup")
+        # no stage drops a document of its own for having no identifier
+        own = rows[-1:]
+        assert name == "quality_classifier" or all(found[row] for row in own)
