@@ -27,7 +27,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that score below its threshold go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels.filter(~held_out()))
-    return quality.with_score(docs, model).filter(F.col("score") >= quality.THRESHOLD).drop("score")
+    name = "score"
+    while name in {column.lower() for column in docs.columns}:
+        name += "_"
+    scored = quality.with_score(docs, model, score_col=name)
+    return scored.filter(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
