@@ -35,6 +35,7 @@ CONTEXT = 8
 SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
+COUNTED_TERMS = 300_000
 
 # Kinds in their order, and the patterns that decide the spans.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -153,24 +154,28 @@ def _contexts(docs: DataFrame) -> DataFrame:
 def _term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(term, of_term): in how many documents each wanted term stands, outside of values."""
 
+    def table(counts: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
+            names=["term", "n"],
+        )
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder()
-        for batch in textops.slices(batches, "text", 1 << 20):
-            rows = []
+        counts: dict[str, int] = {}
+        for batch in textops.slices(batches, "text"):
             for text in batch.column("text").to_pylist():
                 values = finder.values(text)
                 if values:
-                    rows.append({text[a:b].lower() for a, b in terms_outside(text, values)})
+                    words = {text[a:b].lower() for a, b in terms_outside(text, values)}
                 else:
-                    rows.append(set(_TERM.findall(text.lower())))
-            counts: dict[str, int] = {}
-            for words in rows:
+                    words = set(_TERM.findall(text.lower()))
                 for word in words:
                     counts[word] = counts.get(word, 0) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-                names=["term", "n"],
-            )
+            if len(counts) > COUNTED_TERMS:  # what a task holds; the sums are made in Spark
+                yield table(counts)
+                counts = {}
+        yield table(counts)
 
     counted = docs.select("text").mapInArrow(work, "term string, n long")
     wanted = broadcast_if_small(materialized(wanted), max_bytes=4 << 20)
