@@ -96,6 +96,42 @@ def test_personal_data(spark):
     assert pii.sanitise(tables.docs(spark, [])).collect() == []
 
 
+def test_terms_that_reveal_as_brute_force(spark, sf_dir):
+    far = " ".join(f"filler{i % 7}" for i in range(60))
+    rows = [
+        (1, f"Quillfeather {far} write to only.one@mail.example please"),  # both in one document, far apart
+        (2, "please write about the harbour to a@b.example and 10.0.0.1 or c@d.example"),
+        (3, "the harbour of a@b.example and c@d.example"),
+        (4, "İzmir harbour filler1 x@y.example"),
+        *[(10 + i, f"please write filler{i % 7} about the number {i % 9} İzmir") for i in range(50)],
+        (3, "the harbour of a@b.example and c@d.example"),
+        (None, "nobody a@b.example"),
+    ]
+    rows += [(100 + k, t) for k, t in tables.sample(spark, sf_dir, 200)]
+    finder, bags = pii.Finder(), []
+    for _, text in rows:
+        values = finder.values(text or "")
+        entities = {pii.entity(text[a:b], kind) for a, kind, b in values}
+        bags.append((entities, {text[a:b].lower() for a, b in pii.terms_outside(text or "", values)}))
+    of_term = Counter(t for _, terms in bags for t in terms)
+    of_entity = Counter(e for entities, _ in bags for e in entities)
+    both = Counter((e, t) for entities, terms in bags for e in entities for t in terms)
+
+    def share(e, t):
+        n = len(rows)
+        return math.log2(n * both[e, t] / (of_entity[e] * of_term[t])) / math.log2(n / of_entity[e])
+
+    want = Counter()
+    for (key, text), (entities, terms) in zip(rows, bags, strict=True):
+        reveal = {t for t in terms if any(share(e, t) >= pii.GENERALISE - 1e-9 for e in entities)}
+        values = finder.values(text or "")
+        spans = [(a, b) for a, b in pii.terms_outside(text or "", values) if text[a:b].lower() in reveal]
+        want[key, tuple(spans)] += 1
+    got = pii.sanitise(tables.docs(spark, rows), support=1).collect()
+    assert want == Counter((r.doc_id, tuple((s.start, s.end) for s in r.spans if s.kind == "term")) for r in got)
+    assert "Quillfeather" not in next(r.sanitised for r in got if r.doc_id == 1)
+
+
 def test_licences(spark):
     mit = FULL_TEXTS["MIT"]
     rows = [

@@ -2,14 +2,20 @@
 
 The values found by pattern (e-mail, IP address, card and phone number) are the protected entities. How
 strongly a term reveals an entity is their pointwise mutual information over documents: for N documents,
-log2(N * both / (of the entity * of the term)), where ``both`` counts documents in which the term
-stands within ``CONTEXT`` words of the entity. The information of the entity itself,
-log2(N / of the entity), is the most that can be revealed. A term that reveals a share of ``GENERALISE``
-or more of it, seen in ``SUPPORT`` documents at least, is generalised to what kind of term it is; from
-``REMOVE`` on it is removed. This holds for each occurrence of the term in a document of that entity.
+log2(N * both / (of the entity * of the term)), where ``both`` counts documents with the term and the
+entity anywhere in them. The information of the entity itself, log2(N / of the entity), is the most that
+can be revealed. A term that reveals a share of ``GENERALISE`` or more of it is generalised to what kind of
+term it is; from ``REMOVE`` on it is removed. This holds for each occurrence of the term in a document of
+that entity.
 
-Counts cover all documents. Contexts come from one pass; only terms with enough support are counted in
-the whole corpus, by a join of each document's distinct terms.
+``support`` is the least number of documents of an entity and of its pair with a term. With 1 every entity is
+estimated, also one that stands in a single document; there rare terms alone reveal it (those of at most
+N ** 0.2 documents, and those of N ** 0.05 are removed). The query uses 1; ``SUPPORT`` is what callers get that
+name none.
+
+Counts cover all documents: each term of the corpus is counted once, summed by task before the sums meet.
+Only terms rare enough to reveal some entity are looked for in documents with values, and entities of the
+same documents are estimated once. Documents without values are joined with nothing.
 
 Terms are maximal runs of letters, digits and underscores of any script, compared in lower case. Terms
 inside a found value are part of it and no terms of their own.
@@ -31,7 +37,6 @@ from pyspark.sql import functions as F
 from vitrine.llm import textops
 from vitrine.session import broadcast_if_small, materialized
 
-CONTEXT = 8
 SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -115,44 +120,36 @@ def terms_outside(text: str, values: list[tuple[int, int, int]]) -> list[tuple[i
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """(row_key, entity, terms): values of each document with the distinct terms around them."""
+    """(row_key, id, text, entities, terms): documents with values, their distinct entities and terms."""
+    id_type = docs.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder()
         for batch in textops.slices(batches, "text"):
-            keys, entities, terms = [], [], []
-            for key, text in zip(batch.column("row_key").to_pylist(), batch.column("text").to_pylist(),
-                                 strict=True):
+            at, entities, terms = [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
                 values = finder.values(text)
                 if not values:
                     continue
-                spans = terms_outside(text, values)
-                around: dict[str, set[str]] = {}
-                at = 0
-                for start, kind, end in values:
-                    while at < len(spans) and spans[at][0] < start:
-                        at += 1
-                    near = spans[max(0, at - CONTEXT) : at + CONTEXT]
-                    name = entity(text[start:end], kind)
-                    around.setdefault(name, set()).update(text[a:b].lower() for a, b in near)
-                for name, words in around.items():
-                    keys.append(key)
-                    entities.append(name)
-                    terms.append(sorted(words))
-            if keys:
+                at.append(row)
+                entities.append(sorted({entity(text[start:end], kind) for start, kind, end in values}))
+                terms.append(sorted({text[a:b].lower() for a, b in terms_outside(text, values)}))
+            if at:
+                part = batch.take(pa.array(at, pa.int64()))
+                strings = pa.list_(pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(entities, pa.string()),
-                     pa.array(terms, pa.list_(pa.string()))],
-                    names=["row_key", "entity", "terms"],
+                    [*[part.column(c) for c in ("row_key", "id", "text")],
+                     pa.array(entities, strings), pa.array(terms, strings)],
+                    names=["row_key", "id", "text", "entities", "terms"],
                 )
 
-    return docs.select("row_key", "text").mapInArrow(
-        work, "row_key long, entity string, terms array<string>"
+    return docs.select("row_key", "id", "text").mapInArrow(
+        work, f"row_key long, id {id_type}, text string, entities array<string>, terms array<string>"
     )
 
 
-def _term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, of_term): in how many documents each wanted term stands, outside of values."""
+def _term_counts(docs: DataFrame) -> DataFrame:
+    """(term, of_term): in how many documents each term of the corpus stands, outside of values."""
 
     def table(counts: dict[str, int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -169,7 +166,7 @@ def _term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if values:
                     words = {text[a:b].lower() for a, b in terms_outside(text, values)}
                 else:
-                    words = set(_TERM.findall(text.lower()))
+                    words = {word.lower() for word in set(_TERM.findall(text))}
                 for word in words:
                     counts[word] = counts.get(word, 0) + 1
             if len(counts) > COUNTED_TERMS:  # what a task holds; the sums are made in Spark
@@ -178,34 +175,57 @@ def _term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         yield table(counts)
 
     counted = docs.select("text").mapInArrow(work, "term string, n long")
-    wanted = broadcast_if_small(materialized(wanted), max_bytes=4 << 20)
-    return counted.join(wanted, "term").groupBy("term").agg(F.sum("n").alias("of_term"))
+    return counted.groupBy("term").agg(F.sum("n").alias("of_term"))
 
 
-def disclosure(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(entity, term, share): terms that reveal ``GENERALISE`` or more of an entity's information.
+def disclosure(docs: DataFrame, contexts: DataFrame, support: int) -> DataFrame:
+    """(row_key, term, share): terms of a document that reveal ``GENERALISE`` or more of one of its entities.
 
     ``docs`` (text) are all documents, ``contexts`` what ``_contexts`` found in them.
     """
-    total = docs.agg(F.count("*").alias("total"))
-    of_entity = contexts.groupBy("entity").agg(F.count("*").alias("of_entity")).filter(
-        F.col("of_entity") >= SUPPORT
+    entities = contexts.select("row_key", F.explode("entities").alias("entity"))
+    # entities of the same documents get the same shares: one stands for all
+    places = F.sum(F.xxhash64("row_key").cast("decimal(20,0)"))
+    of_entity = materialized(
+        entities.groupBy("entity").agg(F.count("*").alias("of_entity"), places.alias("places"))
+        .filter(F.col("of_entity") >= support)
+    )
+    stands = materialized(
+        entities.join(broadcast_if_small(of_entity, max_bytes=4 << 20), "entity")
+        .select("row_key", "of_entity", "places").distinct()
+    )
+    limits = F.broadcast(materialized(  # one row
+        docs.agg(F.count("*").alias("total")).crossJoin(of_entity.agg(F.max("of_entity").alias("largest")))
+    ))
+
+    def can_reveal(largest: str):
+        # both <= of_entity, so a share of GENERALISE needs a term of so many documents at most
+        rest = F.pow(F.col("total") / F.col(largest), F.lit(1 - GENERALISE))
+        return F.col("of_term") <= F.col(largest) * rest * 1.000001
+
+    of_term = materialized(
+        _term_counts(docs).crossJoin(limits).filter(can_reveal("largest")).select("term", "of_term")
     )
-    both = (
-        contexts.join(of_entity, "entity").select("entity", "of_entity", F.explode("terms").alias("term"))
-        .groupBy("entity", "of_entity", "term").agg(F.count("*").alias("both"))
-        .filter(F.col("both") >= SUPPORT)
+    pairs = materialized(
+        contexts.select("row_key", F.explode("terms").alias("term"))
+        .join(broadcast_if_small(of_term, max_bytes=4 << 20), "term")
+        .join(broadcast_if_small(stands, max_bytes=4 << 20), "row_key").crossJoin(limits)
+        .filter(can_reveal("of_entity"))
+        .select("row_key", "of_entity", "places", "term", "of_term")
     )
-    both = materialized(both)
-    of_term = _term_counts(docs, both.select("term").distinct())
     known = F.log2(F.col("total") / F.col("of_entity"))
     revealed = F.log2(F.col("total") * F.col("both") / (F.col("of_entity") * F.col("of_term")))
-    return (
-        both.join(of_term, "term").crossJoin(F.broadcast(total))  # one row
+    shares = (
+        pairs.groupBy("of_entity", "places", "term", "of_term").agg(F.count("*").alias("both"))
+        .filter(F.col("both") >= support).crossJoin(limits)
         .filter(known > 0)
-        .select("entity", "term", F.round(revealed / known, 9).alias("share"))
+        .select("of_entity", "places", "term", F.round(revealed / known, 9).alias("share"))
         .filter(F.col("share") >= GENERALISE)
     )
+    return (
+        pairs.join(shares, ["of_entity", "places", "term"])
+        .groupBy("row_key", "term").agg(F.max("share").alias("share"))
+    )
 
 
 def _kind_of(term: str) -> str:
@@ -214,7 +234,9 @@ def _kind_of(term: str) -> str:
     return "[name]" if term[0].isupper() else "[word]"
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT
+) -> DataFrame:
     """``id_col``, ``spans`` array<struct<kind, start, end>> (by start, then kind) and ``sanitised``
     text, one row per row of ``docs``. Positions are code points, the end exclusive."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -222,15 +244,13 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ).withColumn("row_key", F.xxhash64("id", "text"))
     contexts = materialized(_contexts(rows))
-    revealing = materialized(disclosure(rows.select("text"), contexts))
     strong = F.map_from_entries(F.collect_list(F.struct("term", "share")))
     marked = materialized(
-        contexts.select("row_key", "entity").distinct()
-        .join(broadcast_if_small(revealing, max_bytes=4 << 20), "entity")
-        .groupBy("row_key", "term").agg(F.max("share").alias("share"))
-        .groupBy("row_key").agg(strong.alias("terms"))
+        disclosure(rows.select("text"), contexts, support).groupBy("row_key").agg(strong.alias("terms"))
+    )
+    joined = contexts.select("row_key", "id", "text").join(
+        broadcast_if_small(marked, max_bytes=4 << 20), "row_key", "left"
     )
-    joined = rows.join(broadcast_if_small(marked, max_bytes=16 << 20), "row_key", "left")
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,8 +275,20 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 names=["id", "spans", "sanitised"],
             )
 
-    out = joined.select("id", "text", "terms").mapInArrow(
-        work, f"id {id_type}, spans array<struct<kind:string,start:int,end:int>>, sanitised string"
+    def without_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder()
+        for batch in textops.slices(batches, "text"):
+            at = [row for row, text in enumerate(batch.column("text").to_pylist()) if not finder.values(text)]
+            if at:
+                part = batch.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array([[]] * len(at), pa.list_(span)), part.column("text")],
+                    names=["id", "spans", "sanitised"],
+                )
+
+    schema = f"id {id_type}, spans array<struct<kind:string,start:int,end:int>>, sanitised string"
+    out = joined.select("id", "text", "terms").mapInArrow(work, schema).unionByName(
+        rows.select("id", "text").mapInArrow(without_values, schema)
     )
     return out.withColumnRenamed("id", id_col)
 

@@ -206,7 +206,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_pii")
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.sanitise(documents(spark, sf_dir))
+    found = pii.sanitise(documents(spark, sf_dir), support=1)
 
     def count(kind: str):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
