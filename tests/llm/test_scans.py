@@ -151,6 +151,24 @@ def test_licences(spark):
     assert licenses.scan_licences(tables.docs(spark, [])).collect() == []
 
 
+def test_licences_of_several_paragraphs(spark):
+    rows, want = [], []
+    titles = {"MIT": "MIT License", "ISC": "ISC License (ISC)", "BSD-2-Clause": 'BSD 2-Clause "Simplified" License',
+              "BSD-3-Clause": "The 3-Clause BSD License", "Apache-2.0": "License", "GPL-3.0": "# License"}
+    for at, (name, title) in enumerate(titles.items()):
+        text = FULL_TEXTS[name].strip()
+        rows += [
+            (10 * at, f"{title}\n\nCopyright (c) 2020 X\n\n{text}\n"),
+            (10 * at + 1, f"{title}\nCopyright (c) 2020 X\n{text}"),
+            (10 * at + 2, f"intro\n\nand more\n\n{text}\n\nlast words\n"),
+            (10 * at + 3, f"intro\n\n{title}\nCopyright 2021 by Y\n\n{text}\nand a line\n\n{text}"),
+            (10 * at + 4, "intro\n\n" + " ".join(text.split()[:-1]) + "\n\nlast"),
+        ]
+        want += [([name], 1, [name])] * 2 + [([name], 1, []), ([name], 2, []), ([], 0, [])]
+    got = {r.doc_id: (r.licences, r.n_matches, r.whole) for r in licenses.scan_licences(tables.docs(spark, rows)).collect()}
+    assert [got[k] for k, _ in rows] == want
+
+
 def test_every_known_text_has_an_anchor():
     for _, text in known_texts():
         assert any(word in text.lower() for word in licenses.ANCHORS)
