@@ -2,8 +2,10 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 from tests.llm import brute, tables
 from vitrine.llm import decontaminate, licenses, pii, secrets
@@ -169,6 +171,40 @@ def test_licences_of_several_paragraphs(spark):
     assert [got[k] for k, _ in rows] == want
 
 
+def test_whole_licence_files(spark):
+    folder = Path("/usr/share/common-licenses")
+    names = {
+        "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0",
+        "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0",
+        "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+    }
+    names = {file: name for file, name in names.items() if (folder / file).exists()}
+    if not names:
+        pytest.skip("no licence files in this image")
+    rows, want = [], {}
+
+    def add(text, name, whole):
+        rows.append((len(rows), text))
+        want[rows[-1][0]] = ([name] if name else [], [name] if whole else [])
+
+    for file, name in names.items():
+        text = (folder / file).read_text()
+        add(text, name, True)
+        add(f"intro\n\n{text}\n\nlast words", name, False)
+        add(text.split("END OF TERMS")[0] + "\n", name, True)
+        add(text.replace(" or ", " and ", 1) if file != "BSD" else text.replace("AS IS", "AS WAS"), None, False)
+    for file in {"Apache-2.0", "MPL-2.0"} & set(names):
+        flat = [" ".join(p.split()) for p in (folder / file).read_text().split("\n\n")]
+        add("\n\n".join(flat), names[file], True)
+    for mark in ("* ", "- ", "a) ", "(1) "):
+        add(re.sub(r"(?m)^[0-9][.] ", lambda m: mark, FULL_TEXTS["BSD-3-Clause"]), "BSD-3-Clause", True)
+    found = licenses.scan_licences(tables.docs(spark, rows)).collect()
+    got = {r.doc_id: (r.licences, r.whole) for r in found}
+    altered = [k for k, (licences, _) in want.items() if not licences]
+    assert all(got[k][1] == [] for k in altered)
+    assert {k: v for k, v in got.items() if k not in altered} == {k: v for k, v in want.items() if k not in altered}
+
+
 def test_every_known_text_has_an_anchor():
     for _, text in known_texts():
         assert any(word in text.lower() for word in licenses.ANCHORS)

@@ -1,7 +1,7 @@
 """Licence scan by canonical digests; DataFrame functions only.
 
 A text is brought into canonical form, paragraph by paragraph (parted by blank lines): lower case, copyright
-lines and leading title lines ("MIT License") left out, everything but letters and digits to single spaces,
+lines, leading title lines ("MIT License") and list marks left out, everything but letters and digits to single spaces,
 equivalent spellings to one; paragraphs with nothing left are dropped. Its digest is looked up among the
 digests of the known licence texts, as a whole: there is no partial match. What is looked up is each document
 as a whole, each of its paragraphs and each of its lines, and runs of paragraphs: where a paragraph begins
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.licence_texts import known_texts
+from vitrine.llm.licence_texts import DIGESTS, known_texts
 from vitrine.session import broadcast_if_small
 
 # Forms that count as one, words that every known text has one of, and copyright lines.
@@ -41,7 +41,8 @@ SPELLINGS = (
 )
 ANCHORS = ("licen", "permission", "redistribution", "under ")
 COPYRIGHT_LINE = (
-    r"(?m)^[^\p{L}\p{N}\n]*(?:(?:copyright[ \t]*)?(?:\(c\)|©)|copyright[ \t]+(?:[0-9]|by\b)|all rights reserved)"
+    r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[ \t]*(?:\(c\)|©)|©|\(c\)(?![ \t]+(?:you must|under|for|the licenses)\b)"
+    r"|copyright[ \t]+(?:[0-9]|by\b)|all rights reserved)"
     r"[^\n]*$"
 )
 
@@ -55,6 +56,11 @@ TITLE = (
     r"|licen[sc]e|software licen[sc]e agreement[ \t]+\(bsd licen[sc]e\)"
 )
 TITLE_LINES = rf"\A(?:[^\p{{L}}\p{{N}}]*(?:{TITLE})[^\p{{L}}\p{{N}}\n]*(?:\n|\z))+"
+#: Numbers and letters of list items: at the start of a paragraph and after a line that ends a clause.
+LIST_MARK = (
+    r"(\A|[.:;][ \t\r]*\n|\n[^\p{L}\p{N}\n]*\n|\b(?:and|or)[ \t\r]*\n)[^\p{L}\p{N}\n(]*"
+    r"(?:[0-9]{1,2}(?:\.[0-9]{1,2})*[.)]|\([a-z0-9]{1,2}\)|[a-z]\))[ \t]+"
+)
 BLANK_LINES = r"\n[ \t\r]*\n"
 OPENING = 8
 
@@ -62,6 +68,7 @@ OPENING = 8
 def canonical(text: Column) -> Column:
     plain = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
     plain = F.regexp_replace(plain, TITLE_LINES, " ")
+    plain = F.regexp_replace(plain, LIST_MARK, "$1 ")
     plain = F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
     for pattern, form in SPELLINGS:
         plain = F.regexp_replace(plain, pattern, form)
@@ -82,16 +89,23 @@ def _anchored(text: Column) -> Column:
 def known_digests(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
     """(digest, licence, opening, n_words) of ``texts`` (licence, text), by default of the known ones; the
     last two are null for a text of one paragraph."""
+    fixed = texts is None
     if texts is None:
         texts = spark.createDataFrame(known_texts(), "licence string, text string")
     coded = texts.select("licence", canonical_paragraphs(F.col("text")).alias("paras"))
     whole, several = F.array_join("paras", " "), F.size("paras") > 1
-    return coded.filter(F.size("paras") > 0).select(
+    digests = coded.filter(F.size("paras") > 0).select(
         F.sha2(whole, 256).alias("digest"),
         "licence",
         F.when(several, F.substring_index(F.col("paras")[0], " ", OPENING)).alias("opening"),
         F.when(several, F.size(F.split(whole, " "))).alias("n_words"),
-    ).distinct()
+    )
+    if fixed:
+        digests = digests.union(
+            spark.createDataFrame(DIGESTS, "licence string, digest string, opening string, n_words int")
+            .select(*digests.columns)
+        )
+    return digests.distinct()
 
 
 def scan_licences(
@@ -131,7 +145,7 @@ def scan_licences(
 
     def run(i: Column, n: Column) -> Column:
         words = F.array_join(F.slice("paras", i + 1, n), " ")  # a paragraph has a word at least
-        return unit(False, -2 - i, F.call_function("substring_index", words, F.lit(" "), n))
+        return unit(False, -1 - i, F.call_function("substring_index", words, F.lit(" "), n))
 
     runs = F.flatten(F.transform(begins, lambda b: F.transform(b["n"], lambda n: run(b["i"], n))))
     coded = F.concat(
