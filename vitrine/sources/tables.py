@@ -102,3 +102,11 @@ def read_snapshot(
     """
     versions = [v for v in _versions(spark, root) if before is None or v < before]
     return spark.read.parquet(f"{root}/version={versions[-1]}") if versions else None
+
+
+def read_versions(
+    spark: SparkSession, root: str, before: int | None = None
+) -> DataFrame | None:
+    """All complete versions (older than ``before`` when given) together, None when there is none."""
+    versions = [v for v in _versions(spark, root) if before is None or v < before]
+    return spark.read.parquet(*[f"{root}/version={v}" for v in versions]) if versions else None

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LATENESS = "1 day"
+from vitrine.streaming.sinks import append_new
 
 
-def stream_toggle_counts(toggles: DataFrame, item: str, lateness: str = LATENESS) -> DataFrame:
-    """Running number of toggles and last toggle per owner and item, for output mode ``update`` and
-    an upsert on (owner_key, item). A toggle ``event_id`` that is sent again counts once; which ids
-    were seen is given up behind the watermark."""
-    once = toggles.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
-    return once.groupBy("owner_key", item).agg(
-        F.count(F.lit(1)).alias("toggles"), F.max("ts").alias("created_at")
-    )
+def store_toggles(root: str) -> Callable[[DataFrame, int], None]:
+    """Batch function for a stream of toggles, output mode ``append``: each toggle is stored once by its
+    ``event_id``. There is no watermark, so late toggles count whenever they come and repeats never do."""
+    return append_new(root, "event_id")
 
 
-def current_favourites(counts: DataFrame) -> DataFrame:
-    """The favourites in the upserted counts: toggled an odd number of times."""
+def current_favourites(toggles: DataFrame, item: str) -> DataFrame:
+    """The favourites in the stored toggles: per owner and item toggled an odd number of times."""
+    counts = toggles.groupBy("owner_key", item).agg(
+        F.count(F.lit(1)).alias("toggles"), F.max("ts").alias("created_at")
+    )
     return counts.filter(F.col("toggles") % 2 == 1).drop("toggles")
