@@ -366,8 +366,9 @@ def _mixed(classed: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
 ) -> DataFrame:
-    """``id_col``, ``class_id`` (smallest identifier of the class), ``class_size``, ``n_links`` (verified
-    links of the document's multiset) and ``kept`` (it is the class id); one row per row of ``docs``."""
+    """``id_col``, ``class_id`` (smallest identifier of the class), ``class_size``, ``n_links`` (links of
+    the document's multiset that were tried and verified; not the number of similar documents, as most pairs
+    within a class are never tried) and ``kept`` (it is the class id); one row per row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = rows.filter("id is not null")
     sketches = materialized(sketch(texts))
