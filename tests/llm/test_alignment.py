@@ -79,7 +79,7 @@ def order(rows):
 def test_as_brute_force(spark, sf_dir, models):
     pick = random.Random(6).choice
     parts = ["a", "the", " ", "  ", "\n", "\t", "'s", "12", "é", "!", "<|endoftext|>", "<s>", "<0x41>", "▁", "\x85",
-             "日本", "🙂", "\r\n", "½", "\x00", "́", "unbelievable", "zzzz", "ﬁ"]
+             "日本", "🙂", "\r\n", ");\r", "\r", "½", "\x00", "́", "unbelievable", "zzzz", "ﬁ"]
     made = [(1000 + i, "".join(pick(parts) for _ in range(i % 40))) for i in range(300)]
     rows = [*tables.ODD, *tables.sample(spark, sf_dir), *made, *[(5000 + i, tables.PROSE) for i in range(50)]]
     docs = tables.docs(spark, rows).repartition(5)
@@ -119,12 +119,34 @@ def test_a_million_characters(spark):
 
 
 def test_large_groups_as_expanded(monkeypatch):
-    a = alignment.Aligned.of([1, 2, 1, 3], [7, 8, 7], [1, 1, 1, 1], [2, 1, 1, 1, 1, 1, 1, 1, 3])
-    b = alignment.Aligned.of([1, 2, 1, 3] * 30, [8] * 40, [0, 1, 1, 1], [0] * 8 + [3])
-    for one in (a, b):
-        expanded = one.links()
+    import numpy as np
+
+    one = alignment.Aligned.of([1, 2, 1, 3], [7, 8, 7], [1, 1, 1, 1], [2, 1, 1, 1, 1, 1, 1, 1, 3])
+    other = alignment.Aligned(*map(np.array, ([1, 2, 1, 3] * 30, [8, 9] * 40, [500], [120], [80])))
+    for text in (one, other):
+        part = np.zeros(len(text.ends), np.int64)
+        expanded = text.links(part)
         monkeypatch.setattr(alignment, "EXPANDED_LINKS", 1)
-        short = one.links()
+        assert all((x == y).all() for x, y in zip(text.links(part), expanded, strict=True))
         monkeypatch.undo()
-        assert all((x == y).all() for x, y in zip(expanded, short, strict=True))
-        assert short[1].sum() == one.n_links
+    assert expanded[2].sum() == 120 * 80 and len(expanded[1]) == 6
+
+
+def test_units_as_whole_texts(monkeypatch, spark, sf_dir):
+    odd = "(x);\r\ny};\r \r\rz)\ra.\x1cb \x1d c\n\n\n d\t\te  f\r\n\u2028g\u3000h "
+    rows = [*tables.ODD, *tables.sample(spark, sf_dir), (1, odd), (2, " "), (3, "▁ a b"), (4, "a b ")]
+    texts = [t for _, t in rows]
+    models = alignment.Models(*alignment.Models.read(A, B))
+    monkeypatch.setattr(alignment, "KEPT_UNITS", 100)
+    parts = alignment.Units(models)
+    for text in texts:  # one at a time, so that units are forgotten and learned again
+        used, many = parts.of([text])
+        whole = models.align(" " + text) if text else None
+        marked = whole and whole.group_texts(models.marks, len(models.b_bytes), len(models.a_bytes))
+        kept = parts.numbers[used, 4].all()
+        assert many[0] == len(used) and (len(used) == 0 or bool(kept) == (whole is not None))
+        if whole is not None:
+            assert ";".join(parts.texts[u] for u in used) == "".join(marked)[:-1]
+            assert (parts.numbers[used, :3].sum(0) == [len(whole.a), len(whole.b), len(whole.ends)]).all()
+        parts.forget(used)
+    assert len(models.units(" " + tables.PROSE)) == len(tables.PROSE.split())

@@ -23,9 +23,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, count
+from itertools import accumulate, chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,10 @@ from vitrine.session import materialized
 
 ENCODED_BYTES = 256 << 10
 EXPANDED_LINKS = 4096
+KEPT_UNITS = 200_000
+
+# The characters of the Unicode property White_Space.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Models:
@@ -60,45 +65,51 @@ class Models:
             for i, p in enumerate(pieces)
         ]
         self.a_sizes, self.b_sizes = (list(map(len, t)) for t in (self.a_bytes, self.b_bytes))
-        # a token's text within the groups' text: first of A, then of B, inside and at the end of a group
+        self.space = self.b.piece_to_id("▁")
+        # an id's text with what follows it: of B inside and at the end of a group, then of A
         self.marks = [
-            f"{i}{end}" for size, ends in ((len(pieces), ",;"), (len(self.a_bytes), ",|")) for end in ends
-            for i in range(size)
+            f"{i}{end}" for table, ends in ((self.b_bytes, ",;"), (self.a_bytes, ",|")) for end in ends
+            for i in range(len(table))
         ]
+        # A's pattern takes white space at the start of a match only. Where no piece of B has it later than at
+        # its start, no token spans a place where white space follows something else.
+        inner = {c for p in pieces for c in re.findall(f"[^{WHITE}▁]([{WHITE}▁])", p)}
+        plain = not inner & {"▁", " "} and self.b.normalize("a  b ") == "▁a▁▁b▁"
+        further = f"(?:[{''.join(map(re.escape, sorted(inner)))}][{WHITE}]*[^{WHITE}]*)*" if inner else ""
+        self.units = re.compile(f"[{WHITE}]*[^{WHITE}]+{further}|[{WHITE}]+" if plain else "(?s).+").findall
 
     @classmethod
     def read(cls, a_path: str, b_path: str) -> tuple[str, bytes]:
         with open(a_path, encoding="utf-8") as a, open(b_path, "rb") as b:
             return a.read(), b.read()
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of both, for some texts at a time; none where bytes differ from space and text."""
-        start = 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= ENCODED_BYTES):
-                size += len(texts[stop])
-                stop += 1
-            part = texts[start:stop]
-            coded = self.a.encode_batch_fast([" " + t for t in part], add_special_tokens=False)
-            others = self.b.encode(part, num_threads=1)
-            for text, one, b_ids in zip(part, coded, others, strict=True):
-                a_ids, wanted = one.ids, b" " + text.encode()
-                same = (
-                    text
-                    and b"".join(map(self.a_bytes.__getitem__, a_ids)) == wanted
-                    and b"".join(map(self.b_bytes.__getitem__, b_ids)) == wanted
-                )
-                yield (a_ids, b_ids) if same else ([], [])
-            start = stop
+    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of both for a text that starts with the added space or other white space; None where a model
+        changes its bytes."""
+        a_ids = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        # B adds a space: it stands for the text's own, or is taken away again
+        b_ids = [self.space] if text == " " else self.b.encode(text.removeprefix(" "), num_threads=1)
+        if text[0] != " " and b_ids[:1] == [self.space]:
+            b_ids = b_ids[1:]
+        wanted = text.encode()
+        same = (
+            b"".join(map(self.a_bytes.__getitem__, a_ids)) == wanted
+            and b"".join(map(self.b_bytes.__getitem__, b_ids)) == wanted
+        )
+        return (a_ids, b_ids) if same else None
+
+    def align(self, text: str) -> Aligned | None:
+        ids = self.encode(text)
+        return ids and Aligned.of(*ids, self.a_sizes, self.b_sizes)
 
 
 @dataclass
 class Aligned:
-    """Ids of one text, and after how many tokens of each list its groups end."""
+    """Ids of a text, where its groups end in bytes, and after how many tokens of each list."""
 
     a: np.ndarray
     b: np.ndarray
+    ends: np.ndarray
     a_cuts: np.ndarray
     b_cuts: np.ndarray
 
@@ -107,62 +118,150 @@ class Aligned:
         a_ends = dict(zip(accumulate(map(a_sizes.__getitem__, a_ids)), count(1)))
         b_ends = dict(zip(accumulate(map(b_sizes.__getitem__, b_ids)), count(1)))
         common = sorted(a_ends.keys() & b_ends.keys())
+        size = len(common)
         return cls(
             np.array(a_ids, np.int64),
             np.array(b_ids, np.int64),
-            np.fromiter(map(a_ends.__getitem__, common), np.int64, len(common)),
-            np.fromiter(map(b_ends.__getitem__, common), np.int64, len(common)),
+            np.array(common, np.int64),
+            np.fromiter(map(a_ends.__getitem__, common), np.int64, size),
+            np.fromiter(map(b_ends.__getitem__, common), np.int64, size),
         )
 
-    def groups_text(self, models: Models) -> str:
-        """``a1,a2|b1;a3|b2,b3``: the ids of A, then of B, of every group."""
+    @property
+    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.diff(self.a_cuts, prepend=0), np.diff(self.b_cuts, prepend=0)
+
+    def group_texts(self, marks: list[str], b_vocabulary: int, a_vocabulary: int) -> list[str]:
+        """Ids of A and of B group by group, each with the sign that follows it in ``a1,a2|b1;a3|b2,b3;``."""
         n_a, n_b = len(self.a), len(self.b)
-        if not len(self.a_cuts):
-            return ""
-        a_vocabulary, b_vocabulary = len(models.a_bytes), len(models.b_bytes)
+        group = np.arange(len(self.ends))
         out = np.empty(n_a + n_b, np.int64)
-        a_group = np.repeat(np.arange(len(self.a_cuts)), np.diff(self.a_cuts, prepend=0))
-        b_group = np.repeat(np.arange(len(self.b_cuts)), np.diff(self.b_cuts, prepend=0))
-        ends = np.zeros(n_a, np.int64)
-        ends[self.a_cuts - 1] = a_vocabulary
-        out[np.arange(n_a) + np.append(0, self.b_cuts)[a_group]] = self.a + ends + 2 * b_vocabulary
-        ends = np.zeros(n_b, np.int64)
-        ends[self.b_cuts - 1] = b_vocabulary
-        out[np.arange(n_b) + self.a_cuts[b_group]] = self.b + ends
-        return "".join(map(models.marks.__getitem__, out.tolist()))[:-1]
-
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct linked id pairs (a << 32 | b, rising) and the number of links of each."""
-        a_sizes, b_sizes = np.diff(self.a_cuts, prepend=0), np.diff(self.b_cuts, prepend=0)
+        for ids, sizes, cuts, base, vocabulary, before in (
+            (self.a, self.sizes[0], self.a_cuts, 2 * b_vocabulary, a_vocabulary, np.append(0, self.b_cuts)[:-1]),
+            (self.b, self.sizes[1], self.b_cuts, 0, b_vocabulary, self.a_cuts),
+        ):
+            last = np.zeros(len(ids), np.int64)
+            last[cuts - 1] = vocabulary
+            out[np.arange(len(ids)) + before[np.repeat(group, sizes)]] = ids + last + base
+        return list(map(marks.__getitem__, out.tolist()))
+
+    def links(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Part, id pair (a << 32 | b) and number of links of each pair in each part, in order; ``part`` says
+        for every group, rising, which part of the text it belongs to."""
+        a_sizes, b_sizes = self.sizes
         a_from, b_from = self.a_cuts - a_sizes, self.b_cuts - b_sizes
         sizes = a_sizes * b_sizes
-        large = sizes > EXPANDED_LINKS
-        few = np.flatnonzero(~large)
+        few = np.flatnonzero(sizes <= EXPANDED_LINKS)
         group = np.repeat(few, sizes[few])
         at = np.arange(len(group)) - np.repeat(np.cumsum(sizes[few]) - sizes[few], sizes[few])
-        code = self.a[a_from[group] + at // b_sizes[group]] << 32 | self.b[b_from[group] + at % b_sizes[group]]
-        pairs, times = np.unique(code, return_counts=True)
-        if not large.any():
-            return pairs, times.astype(np.int64)
-        all_pairs, all_times = [pairs], [times.astype(np.int64)]
-        for g in np.flatnonzero(large).tolist():
+        codes = [self.a[a_from[group] + at // b_sizes[group]] << 32 | self.b[b_from[group] + at % b_sizes[group]]]
+        parts, times = [part[group]], [np.ones(len(group), np.int64)]
+        for g in np.flatnonzero(sizes > EXPANDED_LINKS).tolist():
             ones, n_ones = np.unique(self.a[a_from[g] : self.a_cuts[g]], return_counts=True)
             others, n_others = np.unique(self.b[b_from[g] : self.b_cuts[g]], return_counts=True)
-            all_pairs.append((ones[:, None] << 32 | others[None, :]).ravel())
-            all_times.append(np.outer(n_ones, n_others).ravel())
-        pairs, where = np.unique(np.concatenate(all_pairs), return_inverse=True)
-        times = np.zeros(len(pairs), np.int64)
-        np.add.at(times, where, np.concatenate(all_times))
-        return pairs, times
-
-    @property
-    def n_links(self) -> int:
-        return int((np.diff(self.a_cuts, prepend=0) * np.diff(self.b_cuts, prepend=0)).sum())
-
+            codes.append((ones[:, None] << 32 | others[None, :]).ravel())
+            times.append(np.outer(n_ones, n_others).ravel())
+            parts.append(np.full(len(codes[-1]), part[g]))
+        return added_up(np.concatenate(parts), np.concatenate(codes), np.concatenate(times))
+
+
+def added_up(owner: np.ndarray, code: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (owner, code) in order with the sum of their times."""
+    if not len(owner):
+        return owner, code, times
+    order = np.lexsort((code, owner))
+    owner, code = owner[order], code[order]
+    first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])))
+    return owner[first], code[first], np.add.reduceat(times[order], first)
+
+
+def spread(sizes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For stretches of ``sizes`` laid one after the other: the places of the chosen ones' entries, and for each
+    of these which choice it belongs to."""
+    many = sizes[chosen]
+    choice = np.repeat(np.arange(len(chosen)), many)
+    begins = np.cumsum(sizes) - sizes
+    return np.arange(len(choice)) - np.repeat(np.cumsum(many) - many, many) + begins[chosen][choice], choice
+
+
+class Units:
+    """Counts, text and links of the units met so far. A text's alignment is that of its units, one after the
+    other, so a unit is encoded and aligned once as long as it is kept; of a slice's units those are kept that
+    it held twice, once they are too many."""
+
+    def __init__(self, models: Models):
+        self.models = models
+        self.index: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.numbers = np.zeros((0, 5), np.int64)  # tokens of A, of B, groups, links, whether bytes are kept
+        self.sizes = self.pairs = self.times = np.zeros(0, np.int64)
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of all texts' units, one text after the other, and how many each text has."""
+        cut = [self.models.units(" " + text) if text else [] for text in texts]
+        self._learn([u for u in dict.fromkeys(chain.from_iterable(cut)) if u not in self.index])
+        sizes = np.array(list(map(len, cut)), np.int64)
+        flat = chain.from_iterable(cut)
+        return np.fromiter(map(self.index.__getitem__, flat), np.int64, sizes.sum()), sizes
+
+    def forget(self, used: np.ndarray) -> None:
+        if len(self.texts) > KEPT_UNITS:
+            keep = np.bincount(used, minlength=len(self.texts)) > 1
+            chosen = np.flatnonzero(keep)
+            entries, _ = spread(self.sizes, chosen)
+            names = list(self.index)
+            self.index = {names[at]: new for new, at in enumerate(chosen.tolist())}
+            self.texts = [self.texts[at] for at in chosen.tolist()]
+            self.numbers, self.sizes = self.numbers[chosen], self.sizes[chosen]
+            self.pairs, self.times = self.pairs[entries], self.times[entries]
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Units that end in other than white space are encoded joined together, some at a time."""
+        found = []
+        joined, size = [], 0
+        for unit in fresh:
+            alone = unit[-1].isspace()
+            if joined and (alone or size + len(unit) > ENCODED_BYTES):
+                found.append(self._aligned(joined))
+                joined, size = [], 0
+            joined.append(unit)
+            size += len(unit)
+            if alone:
+                found.append(self._aligned(joined))
+                joined, size = [], 0
+        if joined:
+            found.append(self._aligned(joined))
+        for at, unit in enumerate(fresh, len(self.index)):
+            self.index[unit] = at
+        for texts, *_ in found:
+            self.texts += texts
+        old = self.numbers, self.sizes, self.pairs, self.times
+        self.numbers, self.sizes, self.pairs, self.times = (
+            np.concatenate(parts) for parts in zip(old, *(f[1:] for f in found), strict=True)
+        )
 
-def _aligned(models: Models, texts: list[str | None]) -> Iterator[Aligned]:
-    for a_ids, b_ids in models.encode([t or "" for t in texts]):
-        yield Aligned.of(a_ids, b_ids, models.a_sizes, models.b_sizes)
+    def _aligned(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        one = self.models.align("".join(units))
+        if one is None:  # a model changes one of them
+            if len(units) == 1:
+                none = np.zeros(0, np.int64)
+                return [""], np.zeros((1, 5), np.int64), np.zeros(1, np.int64), none, none
+            half = len(units) // 2
+            left, right = self._aligned(units[:half]), self._aligned(units[half:])
+            return left[0] + right[0], *(np.concatenate(x) for x in zip(left[1:], right[1:], strict=True))
+        many = len(units)
+        unit_ends = np.cumsum([len(u.encode()) for u in units])
+        unit = np.searchsorted(unit_ends, one.ends)
+        a_sizes, b_sizes = one.sizes
+        owner, pairs, times = one.links(unit)
+        numbers = np.zeros((many, 5), np.int64)
+        for column, amount in enumerate((a_sizes, b_sizes, np.ones_like(unit), a_sizes * b_sizes)):
+            np.add.at(numbers[:, column], unit, amount)
+        numbers[:, 4] = 1
+        marked = one.group_texts(self.models.marks, len(self.models.b_bytes), len(self.models.a_bytes))
+        ends = np.cumsum(numbers[:, 0] + numbers[:, 1]).tolist()
+        texts = ["".join(marked[start:stop])[:-1] for start, stop in zip([0, *ends], ends)]
+        return texts, numbers, np.bincount(owner, minlength=many), pairs, times
 
 
 def _shared(docs: DataFrame, a_path: str, b_path: str) -> Broadcast:
@@ -178,9 +277,11 @@ def align(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = Models(*shared.value)
+        nothing = Aligned.of([], [], [], [])
         names = ["a_ids", "b_ids", "a_cuts", "b_cuts"]
         for batch in textops.slices(batches, text_col):
-            found = list(_aligned(models, batch.column(text_col).to_pylist()))
+            texts = batch.column(text_col).to_pylist()
+            found = [(text and models.align(" " + text)) or nothing for text in texts]
             lists = [
                 pa.array([getattr(f, name) for f in found], pa.list_(pa.int32()))
                 for name in ("a", "b", "a_cuts", "b_cuts")
@@ -192,6 +293,23 @@ def align(
     return docs.select(id_col, text_col).mapInArrow(work, schema)
 
 
+def _held(units: Units, used: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, ...]:
+    """The pairs that a slice's texts hold: distinct pairs, in how many texts each is held; then for every text
+    the number of its pairs, the steps from each of them to the next, and their links."""
+    chosen = np.unique(used)
+    entries, _ = spread(units.sizes, chosen)
+    distinct, code = np.unique(units.pairs[entries], return_inverse=True)
+    sizes, times = units.sizes[chosen], units.times[entries]
+    places, choice = spread(sizes, np.searchsorted(chosen, used))
+    owner, index, total = added_up(text[choice], code[places], times[places])
+    held = np.bincount(owner, minlength=texts)
+    # a text's indexes rise, so the steps between them are small numbers
+    steps = np.diff(index, prepend=0)
+    begins = (np.cumsum(held) - held)[held > 0]
+    steps[begins] = index[begins]
+    return distinct, np.bincount(index, minlength=len(distinct)), held, steps, total
+
+
 def _slices(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str) -> DataFrame:
     """One row per slice of text: its documents with their counts and the digest of their groups; its distinct
     pairs and in how many of its documents each is held; for each document the steps from pair to pair and
@@ -201,36 +319,36 @@ def _slices(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: st
     counts = ["n_a", "n_b", "n_groups", "n_links", "n_pairs"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Models(*shared.value)
+        units = Units(Models(*shared.value))
         first = TaskContext.get().partitionId() << 32
         for at, batch in enumerate(textops.slices(batches, text_col)):
-            numbers, digests, held, times = [], [], [], []
-            for one in _aligned(models, batch.column(text_col).to_pylist()):
-                pairs, n = one.links()
-                numbers.append((len(one.a), len(one.b), len(one.a_cuts), one.n_links, len(pairs)))
-                text = one.groups_text(models)
-                digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
-                held.append(pairs)
-                times.append(n)
-            distinct, where, docs_with = np.unique(
-                np.concatenate(held), return_inverse=True, return_counts=True
-            )
-            # every document's indexes rise, so the steps between them are small numbers
-            steps = np.diff(where, prepend=0)
-            begins = np.cumsum([0, *(len(h) for h in held[:-1])])
-            begins = begins[[len(h) > 0 for h in held]]
-            steps[begins] = where[begins]
-            columns = [pa.array([list(c)], pa.list_(pa.int64())) for c in zip(*numbers, strict=True)]
+            used, many = units.of(batch.column(text_col).to_pylist())
+            text = np.repeat(np.arange(len(many)), many)
+            changed = np.unique(text[units.numbers[used, 4] == 0])
+            whole = ~np.isin(text, changed)
+            used, text = used[whole], text[whole]
+            many = np.bincount(text, minlength=len(many))
+            numbers = np.zeros((len(many), 4), np.int64)
+            starts = (np.cumsum(many) - many)[many > 0]
+            if len(starts):
+                numbers[many > 0] = np.add.reduceat(units.numbers[used, :4], starts)
+            names = list(map(units.texts.__getitem__, used.tolist()))
+            digests = [
+                hashlib.sha256(";".join(names[stop - size : stop]).encode()).hexdigest() if size else ""
+                for size, stop in zip(many.tolist(), np.cumsum(many).tolist(), strict=True)
+            ]
+            distinct, docs_with, held, steps, times = _held(units, used, text, len(many))
+            units.forget(used)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([first + at], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(id_col)),
-                    *columns,
+                    *[pa.array([column], pa.list_(pa.int64())) for column in (*numbers.T, held)],
                     pa.array([digests], pa.list_(pa.string())),
                     pa.array([distinct], pa.list_(pa.int64())),
                     pa.array([docs_with], pa.list_(pa.int64())),
                     pa.array([steps.astype(np.int32).tobytes()], pa.binary()),
-                    pa.array([np.concatenate(times).astype(np.int64).tobytes()], pa.binary()),
+                    pa.array([times.tobytes()], pa.binary()),
                 ],
                 names=["slice", "ids", *counts, "digests", "pairs", "docs_with", "steps", "times"],
             )
