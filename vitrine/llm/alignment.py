@@ -37,9 +37,10 @@ from pyspark.sql import functions as F
 from vitrine.llm import bpe, textops
 from vitrine.session import materialized
 
-ENCODED_BYTES = 256 << 10
+ENCODED_BYTES = 64 << 10
 EXPANDED_LINKS = 4096
-KEPT_UNITS = 200_000
+KEPT_UNITS = 120_000
+SLICE_BYTES = 2 << 20
 
 # The characters of the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -186,15 +187,15 @@ def spread(sizes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 class Units:
     """Counts, text and links of the units met so far. A text's alignment is that of its units, one after the
-    other, so a unit is encoded and aligned once as long as it is kept; of a slice's units those are kept that
-    it held twice, once they are too many."""
+    other, so a unit is encoded and aligned once as long as it is kept; once they are too many, the more
+    frequent half is."""
 
     def __init__(self, models: Models):
         self.models = models
         self.index: dict[str, int] = {}
         self.texts: list[str] = []
         self.numbers = np.zeros((0, 5), np.int64)  # tokens of A, of B, groups, links, whether bytes are kept
-        self.sizes = self.pairs = self.times = np.zeros(0, np.int64)
+        self.sizes = self.pairs = self.times = self.seen = np.zeros(0, np.int64)
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of all texts' units, one text after the other, and how many each text has."""
@@ -205,9 +206,13 @@ class Units:
         return np.fromiter(map(self.index.__getitem__, flat), np.int64, sizes.sum()), sizes
 
     def forget(self, used: np.ndarray) -> None:
-        if len(self.texts) > KEPT_UNITS:
-            keep = np.bincount(used, minlength=len(self.texts)) > 1
-            chosen = np.flatnonzero(keep)
+        seen = np.bincount(used, minlength=len(self.texts))
+        seen[: len(self.seen)] += self.seen
+        self.seen = seen
+        if len(seen) > KEPT_UNITS:
+            least = np.partition(seen, -KEPT_UNITS // 2)[-KEPT_UNITS // 2]
+            chosen = np.flatnonzero(seen > least)
+            self.seen = seen[chosen]
             entries, _ = spread(self.sizes, chosen)
             names = list(self.index)
             self.index = {names[at]: new for new, at in enumerate(chosen.tolist())}
@@ -279,7 +284,7 @@ def align(
         models = Models(*shared.value)
         nothing = Aligned.of([], [], [], [])
         names = ["a_ids", "b_ids", "a_cuts", "b_cuts"]
-        for batch in textops.slices(batches, text_col):
+        for batch in textops.slices(batches, text_col, SLICE_BYTES):
             texts = batch.column(text_col).to_pylist()
             found = [(text and models.align(" " + text)) or nothing for text in texts]
             lists = [
@@ -321,7 +326,7 @@ def _slices(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: st
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(Models(*shared.value))
         first = TaskContext.get().partitionId() << 32
-        for at, batch in enumerate(textops.slices(batches, text_col)):
+        for at, batch in enumerate(textops.slices(batches, text_col, SLICE_BYTES)):
             used, many = units.of(batch.column(text_col).to_pylist())
             text = np.repeat(np.arange(len(many)), many)
             changed = np.unique(text[units.numbers[used, 4] == 0])

@@ -13,6 +13,7 @@ from vitrine.llm import (
     bpe,
     decontaminate,
     exact_dedup,
+    jaccard_join,
     licenses,
     line_dedup,
     pii,
@@ -323,3 +324,8 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.link_statistics(
         documents(spark, sf_dir), tokenizer_path(), tokenizer_path("piece_bpe_32k.model")
     )
+
+
+@query("op13_jaccard_join")
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(documents(spark, sf_dir))
