@@ -71,8 +71,9 @@ def test_as_brute_force(spark, sf_dir, monkeypatch, heavy, rounds):
     monkeypatch.setattr(jaccard_join, "SEEN_IN_TASK", 1)
     monkeypatch.setattr(jaccard_join, "CELL_SETS", 7)
     monkeypatch.setattr(jaccard_join, "FANOUT", 3)
+    monkeypatch.setattr(jaccard_join, "WORTH_A_ROUND", 10**9)
     keep = jaccard_join.set_classes
-    monkeypatch.setattr(jaccard_join, "set_classes", lambda c, t: keep(c, t, rounds))
+    monkeypatch.setattr(jaccard_join, "set_classes", lambda *a: keep(*a, rounds))
     rows = [*tables.ODD, *[(1000 + i, t) for i, t in made(heavy % 97 + rounds)]]
     rows += [(k + 5000, t) for k, t in tables.sample(spark, sf_dir, 40)]
     got = jaccard_join.similar_documents(tables.docs(spark, rows).repartition(6)).collect()

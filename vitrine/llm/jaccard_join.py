@@ -34,10 +34,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +48,7 @@ from vitrine.session import broadcast_if_small, materialized
 SHINGLE_WORDS = textops.SHINGLE_WORDS
 THRESHOLD = Fraction(4, 5)
 ROUNDS = 4
+WORTH_A_ROUND = 50  # another round while the last one linked one in so many open sets
 CELL_SETS = 512
 CELL_SHINGLES = 2_000_000
 FANOUT = 8
@@ -94,12 +95,11 @@ def _set_ids(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _packed(values: np.ndarray, sizes: np.ndarray, some: np.ndarray) -> pa.Array:
-    """The chosen sets as binaries, null for the others."""
-    raw = values.astype(np.int64).tobytes()
-    ends = np.cumsum(sizes) * 8
-    return pa.array(
-        [raw[e - 8 * s : e] if k else None for e, s, k in zip(ends.tolist(), sizes.tolist(), some.tolist(), strict=True)],
-        pa.binary(),
+    """The chosen sets as binaries."""
+    chosen = np.ascontiguousarray(values[np.repeat(some, sizes)])
+    offsets = np.cumsum([0, *(8 * sizes[some])]).astype(np.int32)
+    return pa.Array.from_buffers(
+        pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(chosen)]
     )
 
 
@@ -108,14 +108,30 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.tobytes(), np.int64), np.diff(offsets) // 8
 
 
-def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
-    """``id_col``, ``n`` shingles, ``sid`` (set; null if empty), ``carrier`` and ``shingles`` for every row;
-    the last is filled for the first row of a set in each task, whose ``carrier`` is a number of its own."""
+def sizes_of_sets(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS
+) -> DataFrame:
+    """``id_col``, ``n`` shingles and ``sid`` (the set; null if empty) for every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textops.slices(batches, text_col):
+            values, sizes = shingle_sets(batch.column(text_col), size)
+            ids = pa.array(_set_ids(values, sizes), mask=sizes == 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(id_col), pa.array(sizes, pa.int64()), ids], names=[id_col, "n", "sid"]
+            )
+
+    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {id_type}, n long, sid long")
+
+
+def carriers(docs: DataFrame, text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
+    """``sid``, ``shingles`` (packed) of the sets that are not empty; each task passes on each of its sets once.
+
+    Not written: shingles are several times their text, so what needs them reads the texts again."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        number = TaskContext.get().partitionId() << 40
         for batch in textops.slices(batches, text_col):
             values, sizes = shingle_sets(batch.column(text_col), size)
             ids = _set_ids(values, sizes)
@@ -125,33 +141,13 @@ def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                     seen.add(key)
                     first[at] = True
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(id_col),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(ids, mask=sizes == 0),
-                    pa.array(number + np.arange(len(ids)), pa.int64()),
-                    _packed(values, sizes, first),
-                ],
-                names=[id_col, "n", "sid", "carrier", "shingles"],
+                [pa.array(ids[first]), _packed(values, sizes, first)], names=["sid", "shingles"]
             )
-            number += len(ids)
 
-    schema = f"`{id_col}` {id_type}, n long, sid long, carrier long, shingles binary"
-    return docs.select(id_col, text_col).mapInArrow(work, schema)
+    return docs.select(text_col).mapInArrow(work, "sid long, shingles binary")
 
 
-def _carriers(rows: DataFrame) -> DataFrame:
-    """``sid``, ``shingles``: one row per set. Sets that several tasks have met keep their first carrier."""
-    found = rows.filter(F.col("shingles").isNotNull())
-    twice = materialized(
-        found.groupBy("sid").agg(F.min("carrier").alias("keep"), F.count("*").alias("c")).filter("c > 1")
-        .select("sid", "keep")
-    )
-    kept = found.join(broadcast_if_small(twice, max_bytes=SMALL_BYTES), "sid", "left")
-    return kept.filter("keep is null or keep = carrier").select("sid", "shingles")
-
-
-def heavy_shingles(carriers: DataFrame) -> np.ndarray:
+def heavy_shingles(found: DataFrame) -> np.ndarray:
     """Shingles of many sets, the heaviest if there are too many, rising. Which ones are found decides on the
     work only: tasks pass on what they have met several times."""
 
@@ -173,14 +169,14 @@ def heavy_shingles(carriers: DataFrame) -> np.ndarray:
         often = times >= SEEN_IN_TASK
         return pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(times[often])], names=["token", "c"])
 
-    counts = carriers.select("shingles").mapInArrow(work, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    counts = found.select("shingles").mapInArrow(work, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
     top = counts.filter(F.col("c") >= HEAVY).orderBy(F.desc("c"), "token").limit(HEAVY_MOST)
     return np.sort(np.array([r["token"] for r in top.select("token").toLocalIterator()], np.int64))
 
 
-def prefixes(carriers: DataFrame, heavy: np.ndarray, threshold: Fraction) -> DataFrame:
+def prefixes(found: DataFrame, heavy: np.ndarray, threshold: Fraction) -> DataFrame:
     """``token``, ``sid``: the shingles of every set of which similar sets share one."""
-    shared = carriers.sparkSession.sparkContext.broadcast(heavy)
+    shared = found.sparkSession.sparkContext.broadcast(heavy)
     top, below = threshold.numerator, threshold.denominator
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +197,7 @@ def prefixes(carriers: DataFrame, heavy: np.ndarray, threshold: Fraction) -> Dat
                 [pa.array(values[chosen]), pa.array(ids[owner[chosen]])], names=["token", "sid"]
             )
 
-    return carriers.mapInArrow(work, "token long, sid long")
+    return found.mapInArrow(work, "token long, sid long")
 
 
 def signatures(values: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
@@ -215,11 +211,11 @@ def signatures(values: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
 class Tree:
     """Signature tree over sets given by bitmaps, sizes and components; level 0 are the sets themselves."""
 
-    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, classes: np.ndarray):
+    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, classes: np.ndarray, leaves_only: bool = False):
         set_bits = np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
         words = np.ascontiguousarray(bitmaps).view(np.uint64)
         self.levels = [(words, sizes, sizes, sizes - set_bits, classes, classes)]
-        while len(self.levels[-1][0]) > FANOUT:
+        while len(self.levels[-1][0]) > FANOUT and not leaves_only:
             self.levels.append(self._above(*self.levels[-1]))
 
     @staticmethod
@@ -247,7 +243,7 @@ class Tree:
             if other is self:
                 a, b = a[a <= b], b[a <= b]
             for start in range(0, len(a), 1 << 15):
-                x, y = self._possible(other, level, a[start : start + (1 << 15)], b[start : start + (1 << 15)], threshold)
+                x, y = self.possible(other, level, a[start : start + (1 << 15)], b[start : start + (1 << 15)], threshold)
                 if level == 0:
                     if other is self:
                         x, y = x[x < y], y[x < y]
@@ -264,7 +260,10 @@ class Tree:
         there = (a < len(self.levels[level - 1][0])) & (b < len(other.levels[level - 1][0]))
         return a[there], b[there]
 
-    def _possible(self, other: Tree, level: int, a: np.ndarray, b: np.ndarray, threshold: Fraction):
+    def possible(
+        self, other: Tree, level: int, a: np.ndarray, b: np.ndarray, threshold: Fraction
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the node pairs below which similar sets of different classes may be."""
         top, below = threshold.numerator, threshold.denominator
         w, least, most, excess, low, high = self.levels[level]
         w2, least2, most2, excess2, low2, high2 = other.levels[level]
@@ -279,6 +278,9 @@ class Tree:
 
 def similar(x: np.ndarray, y: np.ndarray, threshold: Fraction) -> bool:
     """Whether two sets (rising) reach the threshold."""
+    few, many = sorted((len(x), len(y)))
+    if few * threshold.denominator < threshold.numerator * many:
+        return False
     shared = np.searchsorted(x, y)
     overlap = int((x[np.minimum(shared, len(x) - 1)] == y).sum())
     return overlap * threshold.denominator >= threshold.numerator * (len(x) + len(y) - overlap)
@@ -294,15 +296,19 @@ def _find(parent: list[int], at: int) -> int:
 def forest(values: list[np.ndarray], classes: np.ndarray, threshold: Fraction) -> list[tuple[int, int]]:
     """Links (positions) that join what is similar among some sets, none that closes a circle."""
     sizes = np.array([len(v) for v in values], np.int64)
-    order = np.argsort(sizes, kind="stable")
-    bits = 1 << min(max(int(2 * sizes.max() - 1).bit_length(), 8), 14)
-    tree = Tree(signatures(np.concatenate([values[i] for i in order]), sizes[order], bits), sizes[order], classes[order])
     parent = list(range(len(values)))
     first: dict[int, int] = {}
     for at, one in enumerate(classes.tolist()):
         parent[at] = first.setdefault(one, at)
     links = []
-    for x, y in tree.pairs(tree, threshold):
+    if len(values) <= FANOUT:  # a single node
+        nodes = [np.triu_indices(len(values), 1)]
+        order = np.arange(len(values))
+    else:
+        order = np.argsort(sizes, kind="stable")
+        tree = _tree(values, sizes, classes, order)
+        nodes = tree.pairs(tree, threshold)
+    for x, y in nodes:
         for i, j in zip(order[x].tolist(), order[y].tolist(), strict=True):
             p, q = _find(parent, i), _find(parent, j)
             if p != q and similar(values[i], values[j], threshold):
@@ -311,25 +317,31 @@ def forest(values: list[np.ndarray], classes: np.ndarray, threshold: Fraction) -
     return links
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys in sorted batches."""
-    open_run: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
+def _tree(values: list[np.ndarray], sizes: np.ndarray, classes: np.ndarray, order: np.ndarray) -> Tree:
+    bits = 1 << min(max(int(2 * sizes.max() - 1).bit_length(), 8), 14)
+    bitmaps = signatures(np.concatenate([values[i] for i in order]), sizes[order], bits)
+    return Tree(bitmaps, sizes[order], classes[order])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole runs of rows with equal keys in sorted batches, many at a time, and where they begin and end."""
+    rest: pa.Table | None = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            table = pa.Table.from_batches([batch])
+            rest = pa.concat_tables([rest, table]) if rest is not None else table
+        if rest is None or not rest.num_rows:
             continue
-        columns = [batch.column(k).to_numpy() for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for column in columns:
-            change[1:] |= column[1:] != column[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-            part = batch.slice(start, stop - start)
-            if open_run and any(open_run[0].column(k)[0] != part.column(k)[0] for k in keys):
-                yield pa.Table.from_batches(open_run)
-                open_run = []
-            open_run.append(part)
-    if open_run:
-        yield pa.Table.from_batches(open_run)
+        change = np.zeros(rest.num_rows + 1, bool)
+        change[0] = change[-1] = True
+        for column in (rest.column(k).to_numpy() for k in keys):
+            change[1:-1] |= column[1:] != column[:-1]
+        cuts = np.flatnonzero(change)
+        if batch is not None:
+            cuts = cuts[:-1]  # the last run may go on
+        if len(cuts) > 1:
+            yield rest.slice(0, cuts[-1]).combine_chunks(), cuts
+        rest = rest.slice(cuts[-1])
 
 
 def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -343,30 +355,35 @@ def _round(live: DataFrame, open_rows: DataFrame, number: int, threshold: Fracti
     home = F.min(F.struct(F.xxhash64("token", F.lit(number)).alias("h"), F.col("token").alias("home")))
     homes = open_rows.groupBy("sid").agg(home.alias("h"), F.min("class").alias("class")).select(
         "sid", "class", F.col("h.home").alias("home")
-    )
-    placed = live.join(homes, "sid")
-    many = homes.join(live.select("sid", "n"), "sid").groupBy("home").agg(
-        F.count("*").alias("c"), F.sum("n").alias("size")
-    ).filter("c > 1")
+    ).join(live.select("sid", "n"), "sid")
+    homes = materialized(homes)
+    many = homes.groupBy("home").agg(
+        F.count("*").alias("c"), F.sum("n").alias("size"), F.min("class").alias("x"), F.max("class").alias("y")
+    ).filter("x != y")
     cells = F.ceil(F.greatest(F.col("c") / CELL_SETS, F.col("size") / CELL_SHINGLES))
-    dealt = placed.join(many.select("home", cells.alias("cells")), "home").withColumn(
-        "cell", F.pmod(F.xxhash64("sid", F.lit(-number)), F.col("cells"))
+    dealt = materialized(
+        homes.join(many.select("home", cells.alias("cells")), "home")
+        .select("sid", "class", "home", F.pmod(F.xxhash64("sid", F.lit(-number)), F.col("cells")).alias("cell"))
     )
+    placed = live.select("sid", "shingles").join(broadcast_if_small(dealt, max_bytes=SMALL_BYTES), "sid")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["home", "cell"]):
-            if group.num_rows > 1:
-                sets_ = [np.frombuffer(v.as_buffer(), np.int64) for v in group.column("shingles")]
-                ids = group.column("sid").to_numpy()
-                found = forest(sets_, group.column("class").to_numpy(), threshold)
-                if found:
-                    yield _links([(int(ids[i]), int(ids[j])) for i, j in found])
-
-    sorted_rows = dealt.select("home", "cell", "sid", "class", "shingles").repartition("home", "cell")
+        for rows, cuts in _groups(batches, ["home", "cell"]):
+            values, sizes = _unpacked(rows.column("shingles").chunk(0))
+            ends = np.cumsum(sizes).tolist()
+            ids, classes = rows.column("sid").to_numpy(), rows.column("class").to_numpy()
+            for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if stop - start > 1:
+                    cell = [values[ends[i] - sizes[i] : ends[i]] for i in range(start, stop)]
+                    found = forest(cell, classes[start:stop], threshold)
+                    if found:
+                        yield _links([(int(ids[start + i]), int(ids[start + j])) for i, j in found])
+
+    sorted_rows = placed.select("home", "cell", "sid", "class", "shingles").repartition("home", "cell")
     return sorted_rows.sortWithinPartitions("home", "cell").mapInArrow(work, "a long, b long")
 
 
-def _whole_blocks(live: DataFrame, open_rows: DataFrame, threshold: Fraction) -> DataFrame:
+def _whole_blocks(live: DataFrame, open_rows: DataFrame, number: int, threshold: Fraction) -> DataFrame:
     """``a``, ``b``: all links between sets of different classes in open blocks."""
     per_class = open_rows.groupBy("token", "class").agg(F.count("*").alias("c"))
     blocks = per_class.groupBy("token").agg(
@@ -383,21 +400,34 @@ def _whole_blocks(live: DataFrame, open_rows: DataFrame, threshold: Fraction) ->
     dealt = dealt.join(live.select("sid", "n", "bitmap"), "sid")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["token", "cell"]):
-            ids, classes = group.column("sid").to_numpy(), group.column("class").to_numpy()
-            sizes = group.column("n").to_numpy()
-            own = group.column("own").to_numpy()
-            raw, _ = textops.text_bytes(pc.cast(group.column("bitmap").combine_chunks(), pa.large_binary()))
+        for rows, cuts in _groups(batches, ["token", "cell"]):
+            ids, classes, sizes, own = (rows.column(c).to_numpy() for c in ("sid", "class", "n", "own"))
+            raw, _ = textops.text_bytes(rows.column("bitmap").chunk(0))
             bitmaps = raw.reshape(-1, SIGNATURE_BITS // 8)
-            # those dealt to this cell against all that came to it: of two guests each has a cell of its own
-            order = np.argsort(sizes, kind="stable")
-            mine = order[own[order]]
-            one = Tree(bitmaps[mine], sizes[mine], classes[mine])
-            every = Tree(bitmaps[order], sizes[order], classes[order])
-            for x, y in one.pairs(every, threshold):
-                i, j = mine[x], order[y]
-                low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+            # a block that fits a node is its own tree: all such nodes with themselves at once
+            runs = np.diff(cuts)
+            run = np.repeat(np.arange(len(runs)), runs)
+            small = np.flatnonzero(runs[run] <= FANOUT)
+            after = cuts[1:][run[small]] - small - 1
+            x = np.repeat(small, after)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(after) - after, after)
+            met = own[x] | own[y]
+            leaves = Tree(bitmaps, sizes, classes, leaves_only=True)
+            yield pairs_of(ids, *leaves.possible(leaves, 0, x[met], y[met], threshold))
+            for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if stop - start > FANOUT:
+                    # those dealt to this cell against all that came: of two guests each has a cell of its own
+                    order = start + np.argsort(sizes[start:stop], kind="stable")
+                    mine = order[own[order]]
+                    if len(mine):
+                        one = Tree(bitmaps[mine], sizes[mine], classes[mine])
+                        every = Tree(bitmaps[order], sizes[order], classes[order])
+                        for i, j in one.pairs(every, threshold):
+                            yield pairs_of(ids, mine[i], order[j])
+
+    def pairs_of(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
     sorted_rows = dealt.select("token", "cell", "sid", "class", "n", "own", "bitmap").repartition("token", "cell")
     candidates = materialized(
@@ -422,7 +452,7 @@ def verified(live: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def _with_signatures(carriers: DataFrame) -> DataFrame:
+def _with_signatures(chosen: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textops.slices(batches, "shingles"):
             values, sizes = _unpacked(batch.column("shingles"))
@@ -435,31 +465,52 @@ def _with_signatures(carriers: DataFrame) -> DataFrame:
                 names=["sid", "n", "shingles", "bitmap"],
             )
 
-    return carriers.select("sid", "shingles").mapInArrow(work, "sid long, n long, shingles binary, bitmap binary")
+    return chosen.mapInArrow(work, "sid long, n long, shingles binary, bitmap binary")
 
 
-def set_classes(carriers: DataFrame, threshold: Fraction = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
-    """``id`` (a set's ``sid``) and ``class_id`` of all sets that are linked with another one."""
-    first = prefixes(carriers, heavy_shingles(carriers), threshold)
-    shared = first.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    blocks = materialized(first.join(shared, "token"))
-    members = materialized(blocks.select("sid").distinct())
-    live = materialized(
-        _with_signatures(carriers.join(broadcast_if_small(members, max_bytes=SMALL_BYTES), "sid", "left_semi"))
+def _live(found: DataFrame, members: DataFrame) -> DataFrame:
+    """``sid``, ``n``, ``shingles``, ``bitmap`` of the sets that stand in some block, each once."""
+    chosen = found.join(broadcast_if_small(members, max_bytes=SMALL_BYTES), "sid", "left_semi")
+    rows = materialized(_with_signatures(chosen).withColumn("row", F.monotonically_increasing_id()))
+    # sets that several tasks have met
+    twice = materialized(
+        rows.groupBy("sid").agg(F.min("row").alias("keep"), F.count("*").alias("c")).filter("c > 1")
+        .select("sid", "keep")
     )
+    kept = rows.join(broadcast_if_small(twice, max_bytes=SMALL_BYTES), "sid", "left")
+    return kept.filter("keep is null or keep = row").drop("keep", "row")
+
+
+def set_classes(
+    docs: DataFrame,
+    text_col: str = "text",
+    threshold: Fraction = THRESHOLD,
+    size: int = SHINGLE_WORDS,
+    rounds: int = ROUNDS,
+) -> DataFrame:
+    """``id`` (a set's ``sid``) and ``class_id`` of all sets that are linked with another one."""
+    found = carriers(docs, text_col, size)
+    first = prefixes(found, heavy_shingles(found), threshold)
+    shared = first.groupBy("token").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x != y")
+    blocks = materialized(first.join(shared.select("token"), "token").distinct())
+    live = _live(found, materialized(blocks.select("sid").distinct()))
+    gained = 1 << 62
     links: DataFrame | None = None
     classes: DataFrame | None = None
     for number in range(1, rounds + 2):
         open_rows = _open(blocks, classes)
-        if open_rows.isEmpty():
+        n_open = open_rows.select("sid").distinct().count()
+        if not n_open:
+            break
+        last = number > rounds or gained < n_open // WORTH_A_ROUND
+        found = materialized((_whole_blocks if last else _round)(live, open_rows, number, threshold))
+        gained = found.count()
+        if gained:
+            links = found if links is None else links.unionByName(found)
+            classes = materialized(components.components(links))
+        if last:
             break
-        if number <= rounds:
-            found = materialized(_round(live, open_rows, number, threshold))
-        else:
-            found = materialized(_whole_blocks(live, open_rows, threshold))
-        links = found if links is None else links.unionByName(found)
-        classes = materialized(components.components(links))
-    return classes if classes is not None else carriers.sparkSession.createDataFrame([], "id long, class_id long")
+    return classes if classes is not None else docs.sparkSession.createDataFrame([], "id long, class_id long")
 
 
 def _open(blocks: DataFrame, classes: DataFrame | None) -> DataFrame:
@@ -485,8 +536,8 @@ def similar_documents(
 ) -> DataFrame:
     """Per row of ``docs``: ``id_col``, ``n_shingles`` and ``component_id``, the smallest identifier reachable
     over links."""
-    rows = materialized(sets(docs, id_col, text_col, size))
-    classes = set_classes(_carriers(rows), threshold)
+    rows = materialized(sizes_of_sets(docs, id_col, text_col, size))
+    classes = set_classes(docs, text_col, threshold, size)
     of_set = classes.select(F.col("id").alias("sid"), F.col("class_id").alias("class"))
     placed = materialized(
         rows.select(F.col(id_col).alias("own"), "n", "sid").join(of_set, "sid", "left")
