@@ -28,6 +28,15 @@ def test_ids_and_texts_as_the_library(spark, sf_dir):
         assert row.decoded == library.decode(row.token_ids, skip_special_tokens=False)
 
 
+def test_digests_of_decoded_texts(spark):
+    docs = tables.docs(spark, [r for r in tables.ODD if r[0] is not None])
+    texts = bpe.encode_decode(docs, PATH).withColumn("sha", F.sha2("decoded", 256))
+    digests = bpe.encode_decode(docs, PATH, digest=True)
+    assert sorted(map(tuple, texts.select("doc_id", "token_ids", "sha").collect())) == sorted(
+        map(tuple, digests.select("doc_id", "token_ids", "decoded_sha256").collect())
+    )
+
+
 def test_merging_skips_stale_entries():
     ids = {"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}
     pairs = {(0, 1): (1, 2), (1, 0): (0, 3), (2, 0): (2, 4)}

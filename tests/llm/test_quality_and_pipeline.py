@@ -120,3 +120,13 @@ def test_stages_take_odd_tables(spark, sf_dir, number):
         # no stage drops a document of its own for having no identifier
         own = rows[-1:]
         assert name == "quality_classifier" or all(found[row] for row in own)
+
+
+def test_last_stage_takes_odd_tables(spark, sf_dir):
+    name, stage = corpus_pipeline.STAGES[-1]
+    for rows in (tables.ODD, []):
+        got = stage(spark, tables.docs(spark, rows), sf_dir)
+        assert got.columns == ["doc_id", "n_tokens", "token_ids", "decoded_sha256"]
+        found = got.collect()
+        assert Counter(r.doc_id for r in found) == Counter(key for key, _ in rows)
+        assert all(r.n_tokens == len(r.token_ids) for r in found)

@@ -15,6 +15,7 @@ null ids and repeated rows are encoded one by one; further columns are ignored.
 from __future__ import annotations
 
 import gc
+import hashlib
 import heapq
 import json
 from collections.abc import Iterator
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from vitrine.llm import textops
 
-CACHED_WORDS = 400_000
-CACHED_PIECES = 250_000
+CACHED_WORDS = 150_000
+CACHED_PIECES = 100_000
 CACHED_CHARS = 64
 
 # The pre-token pattern of byte-level BPE, white space spelled out as the Unicode property.
@@ -211,9 +212,11 @@ class Encoder:
 
 
 def encode_decode(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False
 ) -> DataFrame:
-    """``id_col``, ``token_ids`` array<int> and ``decoded`` string, one row per row of ``docs``."""
+    """``id_col``, ``token_ids`` array<int> and ``decoded`` string, one row per row of ``docs``. With ``digest``
+    the decoded text is left in the task and ``decoded_sha256``, lowercase hex, returned in its place."""
+    last = "decoded_sha256" if digest else "decoded"
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Encoder(Vocabulary.read(tokenizer_path)))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -231,14 +234,15 @@ def encode_decode(
             for text in batch.column(text_col).to_pylist():
                 ids = encoder.encode(text or "")
                 packed.append(ids)
-                decoded.append(encoder.decode(np.frombuffer(ids, np.int32).tolist()))
+                text = encoder.decode(np.frombuffer(ids, np.int32).tolist())
+                decoded.append(hashlib.sha256(text.encode()).hexdigest() if digest else text)
             offsets = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(packed), np.int32))
             lists = pa.ListArray.from_arrays(pa.array(offsets), values)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col), lists, pa.array(decoded, pa.string())],
-                names=[id_col, "token_ids", "decoded"],
+                names=[id_col, "token_ids", last],
             )
 
-    schema = f"`{id_col}` {id_type}, token_ids array<int>, decoded string"
+    schema = f"`{id_col}` {id_type}, token_ids array<int>, {last} string"
     return docs.select(id_col, text_col).mapInArrow(work, schema)

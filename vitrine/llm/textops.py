@@ -48,14 +48,18 @@ def slices(
     batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about ``max_bytes`` of text; a longer text is a slice alone."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        bins = np.cumsum(sizes.astype(np.int64)) // max_bytes
-        cuts = [0, *(np.flatnonzero(np.diff(bins)) + 1).tolist(), batch.num_rows]
-        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-            yield batch.slice(start, stop - start)
+    try:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            bins = np.cumsum(sizes.astype(np.int64)) // max_bytes
+            cuts = [0, *(np.flatnonzero(np.diff(bins)) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                yield batch.slice(start, stop - start)
+    finally:
+        # the worker lives on; what its next task needs is not known
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
