@@ -53,12 +53,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE: token ids of every document, with the digest of what they decode to."""
-    coded = bpe.encode_decode(docs, tokenizer_path())
+    coded = bpe.encode_decode(docs, tokenizer_path(), digest=True)
     return coded.select(
-        "doc_id",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        "token_ids",
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "decoded_sha256"
     )
 
 
