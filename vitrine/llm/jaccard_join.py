@@ -12,11 +12,11 @@ hold) last, so that these bring sets together only where little else could. Sets
 
 1. Equal sets are folded into one; a task already passes on each of its sets once.
 2. In some rounds each set that stands in an open block, one of more than one component, goes to one of its open
-   blocks, picked by a hash of the round, with its shingles. Large blocks are dealt into cells at random. Trees
-   find links within a cell, a forest of them, and components of all links decide what is open in the next round.
-3. What is still open is searched whole, by bitmaps only: of a block, the sets of its largest component are dealt
-   into cells and the others go to every cell, so that all pairs of different components meet. Candidates are
-   verified once, with their shingles.
+   blocks, picked by a hash of the round. Large blocks are dealt into cells at random. The trees of the cells give
+   a forest of candidates, these are verified with their shingles, and components of all links found decide what
+   is open in the next round.
+3. What is still open is searched whole: of a block, the sets of its largest component are dealt into cells and
+   the others go to every cell, so that all pairs of different components meet; all candidates are verified.
 
 So no link between sets of different components is lost, and the largest group costs rows in proportion to its
 size as long as its members are linked. No task holds more than a cell; a block with many unlinked members costs
@@ -38,8 +38,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm import components, textops
@@ -50,38 +50,47 @@ THRESHOLD = Fraction(4, 5)
 ROUNDS = 4
 WORTH_A_ROUND = 50  # another round while the last one linked one in so many open sets
 CELL_SETS = 512
-CELL_SHINGLES = 2_000_000
 FANOUT = 8
-SIGNATURE_BITS = 1024
+SIGNATURE_BITS = 2048
 COUNTED_SHINGLES = 4_000_000
 SEEN_IN_TASK, HEAVY, HEAVY_MOST = 3, 48, 1_000_000
 SMALL_BYTES = 16 << 20
 
-_WORD = np.ones(256, np.uint8)
-_WORD[[0x20, *range(0x09, 0x0E)]] = 0
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, rising within a text, and how many each text has."""
-    data, offsets = textops.text_bytes(texts)
-    starts, ends, text = textops.runs(_WORD[data], offsets)
-    words = textops.run_hashes(data, starts, ends, folded=True)
-    hashes, first = textops.windows(words, text, size)
-    owner = text[first] if len(first) else first
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    values = pc.list_flatten(lists)
+    coded = values.dictionary_encode()
+    raw, offsets = textops.text_bytes(coded.dictionary)
+    # white space at the ends of a text gives empty words
+    full = np.diff(offsets) > 0
+    hashes = np.zeros(len(full), np.uint64)
+    hashes[full] = textops.run_hashes(raw, offsets[:-1][full], offsets[1:][full], folded=False)
+    codes = coded.indices.to_numpy()
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    there = full[codes] if len(codes) else np.zeros(0, bool)
+    words, text = hashes[codes[there]], text[there]
+    found, first = textops.windows(words, text, size)
     counts = np.bincount(text, minlength=len(texts))
-    for few in range(1, size):
-        # texts of so few words are one shingle of that many
-        short = np.flatnonzero(counts == few)
-        begins = np.searchsorted(text, short)
-        rows = words[begins[:, None] + np.arange(few)] if len(short) else np.zeros((0, few), np.uint64)
-        whole, _ = textops.windows(rows.ravel(), np.repeat(np.arange(len(short)), few), few)
-        hashes, owner = np.concatenate([hashes, whole]), np.concatenate([owner, short])
-    values = hashes.view(np.int64)
-    order = np.lexsort((values, owner))
-    owner, values = owner[order], values[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
-    return values[new], np.bincount(owner[new], minlength=len(texts))
+    wide = np.maximum(counts - size + 1, 0)
+    begins = np.cumsum(counts) - counts
+    found = found.view(np.int64)
+    parts, sizes = [], np.zeros(len(texts), np.int64)
+    ends = np.cumsum(wide)
+    for at in np.flatnonzero(counts).tolist():
+        if wide[at]:
+            one = np.sort(found[ends[at] - wide[at] : ends[at]])
+            if len(one) > 1:
+                one = one[np.append(True, one[1:] != one[:-1])]
+        else:  # fewer words than a shingle has
+            few = int(counts[at])
+            whole = words[begins[at] : begins[at] + few]
+            one = textops.windows(whole, np.zeros(few, np.int64), few)[0].view(np.int64)
+        parts.append(one)
+        sizes[at] = len(one)
+    return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), sizes
 
 
 def _set_ids(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -108,21 +117,56 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.tobytes(), np.int64), np.diff(offsets) // 8
 
 
-def sizes_of_sets(
+def sizes_and_counts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS
 ) -> DataFrame:
-    """``id_col``, ``n`` shingles and ``sid`` (the set; null if empty) for every row."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+    """For every row ``id_col``, ``n`` shingles and ``sid`` (the set; null if empty); and rows with a ``token``,
+    shingles that a task has met in several sets, with the number of these in ``n``."""
+    id_type = docs.schema[id_col].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        seen: set[int] = set()
+        held = 0
         for batch in textops.slices(batches, text_col):
             values, sizes = shingle_sets(batch.column(text_col), size)
-            ids = pa.array(_set_ids(values, sizes), mask=sizes == 0)
+            ids = _set_ids(values, sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array(sizes, pa.int64()), ids], names=[id_col, "n", "sid"]
+                [
+                    batch.column(id_col), pa.array(sizes, pa.int64()), pa.array(ids, mask=sizes == 0),
+                    pa.nulls(len(ids), pa.int64()),
+                ],
+                names=[id_col, "n", "sid", "token"],
             )
+            kept.append(values[np.repeat(_first_met(ids, sizes, seen), sizes)])
+            held += len(kept[-1])
+            if held > COUNTED_SHINGLES:
+                yield counted(kept, batch.column(id_col).type)
+                kept, held = [], 0
+        if kept:
+            yield counted(kept, batch.column(id_col).type)
+
+    def counted(parts: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+        values, times = np.unique(np.concatenate(parts), return_counts=True)
+        values, times = values[times >= SEEN_IN_TASK], times[times >= SEEN_IN_TASK]
+        none = pa.nulls(len(values), kind)
+        return pa.RecordBatch.from_arrays(
+            [none, pa.array(times, pa.int64()), pa.nulls(len(values), pa.int64()), pa.array(values, pa.int64())],
+            names=[id_col, "n", "sid", "token"],
+        )
+
+    schema = f"`{id_col}` {id_type.simpleString()}, n long, sid long, token long"
+    return docs.select(id_col, text_col).mapInArrow(work, schema)
 
-    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {id_type}, n long, sid long")
+
+def _first_met(ids: np.ndarray, sizes: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which sets, empty ones aside, are not among those ``seen``, which takes them in."""
+    first = np.zeros(len(ids), bool)
+    for at in np.flatnonzero(sizes).tolist():
+        if (key := int(ids[at])) not in seen:
+            seen.add(key)
+            first[at] = True
+    return first
 
 
 def carriers(docs: DataFrame, text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
@@ -135,11 +179,7 @@ def carriers(docs: DataFrame, text_col: str = "text", size: int = SHINGLE_WORDS)
         for batch in textops.slices(batches, text_col):
             values, sizes = shingle_sets(batch.column(text_col), size)
             ids = _set_ids(values, sizes)
-            first = np.zeros(len(ids), bool)
-            for at in np.flatnonzero(sizes).tolist():
-                if (key := int(ids[at])) not in seen:
-                    seen.add(key)
-                    first[at] = True
+            first = _first_met(ids, sizes, seen)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[first]), _packed(values, sizes, first)], names=["sid", "shingles"]
             )
@@ -147,35 +187,16 @@ def carriers(docs: DataFrame, text_col: str = "text", size: int = SHINGLE_WORDS)
     return docs.select(text_col).mapInArrow(work, "sid long, shingles binary")
 
 
-def heavy_shingles(found: DataFrame) -> np.ndarray:
+def heavy_shingles(counted: DataFrame) -> np.ndarray:
     """Shingles of many sets, the heaviest if there are too many, rising. Which ones are found decides on the
-    work only: tasks pass on what they have met several times."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            values, _ = _unpacked(batch.column("shingles"))
-            kept.append(values)
-            size += len(values)
-            if size > COUNTED_SHINGLES:
-                yield counted(kept)
-                kept, size = [], 0
-        if kept:
-            yield counted(kept)
-
-    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-        values, times = np.unique(np.concatenate(parts), return_counts=True)
-        often = times >= SEEN_IN_TASK
-        return pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(times[often])], names=["token", "c"])
-
-    counts = found.select("shingles").mapInArrow(work, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-    top = counts.filter(F.col("c") >= HEAVY).orderBy(F.desc("c"), "token").limit(HEAVY_MOST)
+    work only: tasks have passed on what they met several times."""
+    totals = counted.filter("token is not null").groupBy("token").agg(F.sum("n").alias("c"))
+    top = totals.filter(F.col("c") >= HEAVY).orderBy(F.desc("c"), "token").limit(HEAVY_MOST)
     return np.sort(np.array([r["token"] for r in top.select("token").toLocalIterator()], np.int64))
 
 
 def prefixes(found: DataFrame, heavy: np.ndarray, threshold: Fraction) -> DataFrame:
-    """``token``, ``sid``: the shingles of every set of which similar sets share one."""
+    """``token``, ``sid``, ``heavy``: the shingles of every set of which similar sets share one."""
     shared = found.sparkSession.sparkContext.broadcast(heavy)
     top, below = threshold.numerator, threshold.denominator
 
@@ -194,10 +215,25 @@ def prefixes(found: DataFrame, heavy: np.ndarray, threshold: Fraction) -> DataFr
             chosen = order[place < np.repeat(needed, sizes)]
             ids = batch.column("sid").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values[chosen]), pa.array(ids[owner[chosen]])], names=["token", "sid"]
+                [pa.array(values[chosen]), pa.array(ids[owner[chosen]]), pa.array(last[chosen])],
+                names=["token", "sid", "heavy"],
             )
 
-    return found.mapInArrow(work, "token long, sid long")
+    return found.mapInArrow(work, "token long, sid long, heavy boolean")
+
+
+def shared_blocks(rows: DataFrame) -> DataFrame:
+    """``token``, ``sid`` of the tokens that several sets have. Heavy ones are taken to be shared, so the window
+    sees only tokens of moderate blocks, and the rows are shuffled once."""
+    same = Window.partitionBy("token")
+    light = (
+        rows.filter("not heavy")
+        .withColumn("again", F.lag("sid").over(same.orderBy("sid")) == F.col("sid"))
+        .withColumn("least", F.min("sid").over(same))
+        .withColumn("most", F.max("sid").over(same))
+        .filter("least != most and (again is null or not again)")
+    )
+    return light.select("token", "sid").unionByName(rows.filter("heavy").select("token", "sid").distinct())
 
 
 def signatures(values: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
@@ -293,34 +329,18 @@ def _find(parent: list[int], at: int) -> int:
     return at
 
 
-def forest(values: list[np.ndarray], classes: np.ndarray, threshold: Fraction) -> list[tuple[int, int]]:
-    """Links (positions) that join what is similar among some sets, none that closes a circle."""
-    sizes = np.array([len(v) for v in values], np.int64)
-    parent = list(range(len(values)))
+def spanning(pairs: Iterator[tuple[np.ndarray, np.ndarray]], classes: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs that join different classes and close no circle."""
     first: dict[int, int] = {}
-    for at, one in enumerate(classes.tolist()):
-        parent[at] = first.setdefault(one, at)
-    links = []
-    if len(values) <= FANOUT:  # a single node
-        nodes = [np.triu_indices(len(values), 1)]
-        order = np.arange(len(values))
-    else:
-        order = np.argsort(sizes, kind="stable")
-        tree = _tree(values, sizes, classes, order)
-        nodes = tree.pairs(tree, threshold)
-    for x, y in nodes:
-        for i, j in zip(order[x].tolist(), order[y].tolist(), strict=True):
+    parent = [first.setdefault(one, at) for at, one in enumerate(classes.tolist())]
+    out = []
+    for x, y in pairs:
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
             p, q = _find(parent, i), _find(parent, j)
-            if p != q and similar(values[i], values[j], threshold):
+            if p != q:
                 parent[p] = q
-                links.append((i, j))
-    return links
-
-
-def _tree(values: list[np.ndarray], sizes: np.ndarray, classes: np.ndarray, order: np.ndarray) -> Tree:
-    bits = 1 << min(max(int(2 * sizes.max() - 1).bit_length(), 8), 14)
-    bitmaps = signatures(np.concatenate([values[i] for i in order]), sizes[order], bits)
-    return Tree(bitmaps, sizes[order], classes[order])
+                out.append((i, j))
+    return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -344,67 +364,16 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         rest = rest.slice(cuts[-1])
 
 
-def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"]
-    )
-
-
-def _round(live: DataFrame, open_rows: DataFrame, number: int, threshold: Fraction) -> DataFrame:
-    """``a``, ``b``: links within the cells of one round. ``open_rows``: token, sid, class of open blocks."""
-    home = F.min(F.struct(F.xxhash64("token", F.lit(number)).alias("h"), F.col("token").alias("home")))
-    homes = open_rows.groupBy("sid").agg(home.alias("h"), F.min("class").alias("class")).select(
-        "sid", "class", F.col("h.home").alias("home")
-    ).join(live.select("sid", "n"), "sid")
-    homes = materialized(homes)
-    many = homes.groupBy("home").agg(
-        F.count("*").alias("c"), F.sum("n").alias("size"), F.min("class").alias("x"), F.max("class").alias("y")
-    ).filter("x != y")
-    cells = F.ceil(F.greatest(F.col("c") / CELL_SETS, F.col("size") / CELL_SHINGLES))
-    dealt = materialized(
-        homes.join(many.select("home", cells.alias("cells")), "home")
-        .select("sid", "class", "home", F.pmod(F.xxhash64("sid", F.lit(-number)), F.col("cells")).alias("cell"))
-    )
-    placed = live.select("sid", "shingles").join(broadcast_if_small(dealt, max_bytes=SMALL_BYTES), "sid")
+def _candidates(rows: DataFrame, key: str, threshold: Fraction, whole: bool) -> DataFrame:
+    """``a``, ``b``: pairs of sets of one (key, cell), of which one is its ``own``, that their bitmaps allow to be
+    similar; all of them if ``whole``, else in cells of more than a node as many as join their classes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, cuts in _groups(batches, ["home", "cell"]):
-            values, sizes = _unpacked(rows.column("shingles").chunk(0))
-            ends = np.cumsum(sizes).tolist()
-            ids, classes = rows.column("sid").to_numpy(), rows.column("class").to_numpy()
-            for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if stop - start > 1:
-                    cell = [values[ends[i] - sizes[i] : ends[i]] for i in range(start, stop)]
-                    found = forest(cell, classes[start:stop], threshold)
-                    if found:
-                        yield _links([(int(ids[start + i]), int(ids[start + j])) for i, j in found])
-
-    sorted_rows = placed.select("home", "cell", "sid", "class", "shingles").repartition("home", "cell")
-    return sorted_rows.sortWithinPartitions("home", "cell").mapInArrow(work, "a long, b long")
-
-
-def _whole_blocks(live: DataFrame, open_rows: DataFrame, number: int, threshold: Fraction) -> DataFrame:
-    """``a``, ``b``: all links between sets of different classes in open blocks."""
-    per_class = open_rows.groupBy("token", "class").agg(F.count("*").alias("c"))
-    blocks = per_class.groupBy("token").agg(
-        F.sum("c").alias("c"), F.max_by("class", F.struct("c", "class")).alias("main")
-    )
-    cells = F.ceil(F.col("c") / CELL_SETS)
-    rows = open_rows.join(blocks.select("token", "main", cells.alias("cells")), "token").withColumn(
-        "in_main", F.col("class") == F.col("main")
-    )
-    own = F.pmod(F.xxhash64("sid"), F.col("cells"))
-    dealt = rows.withColumn(
-        "cell", F.explode(F.when(F.col("in_main"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("cells") - 1)))
-    ).withColumn("own", F.col("in_main") | (F.col("cell") == own))
-    dealt = dealt.join(live.select("sid", "n", "bitmap"), "sid")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, cuts in _groups(batches, ["token", "cell"]):
-            ids, classes, sizes, own = (rows.column(c).to_numpy() for c in ("sid", "class", "n", "own"))
-            raw, _ = textops.text_bytes(rows.column("bitmap").chunk(0))
+        for table, cuts in _groups(batches, [key, "cell"]):
+            ids, classes, sizes, own = (table.column(c).to_numpy() for c in ("sid", "class", "n", "own"))
+            raw, _ = textops.text_bytes(table.column("bitmap").chunk(0))
             bitmaps = raw.reshape(-1, SIGNATURE_BITS // 8)
-            # a block that fits a node is its own tree: all such nodes with themselves at once
+            # a cell that fits a node is its own tree: all such nodes with themselves at once
             runs = np.diff(cuts)
             run = np.repeat(np.arange(len(runs)), runs)
             small = np.flatnonzero(runs[run] <= FANOUT)
@@ -413,27 +382,66 @@ def _whole_blocks(live: DataFrame, open_rows: DataFrame, number: int, threshold:
             y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(after) - after, after)
             met = own[x] | own[y]
             leaves = Tree(bitmaps, sizes, classes, leaves_only=True)
-            yield pairs_of(ids, *leaves.possible(leaves, 0, x[met], y[met], threshold))
+            yield named(ids, *leaves.possible(leaves, 0, x[met], y[met], threshold))
             for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if stop - start > FANOUT:
-                    # those dealt to this cell against all that came: of two guests each has a cell of its own
                     order = start + np.argsort(sizes[start:stop], kind="stable")
+                    every = Tree(bitmaps[order], sizes[order], classes[order])
+                    if not whole:
+                        found = spanning(every.pairs(every, threshold), classes[order])
+                        if found:
+                            i, j = np.array(found).T
+                            yield named(ids, order[i], order[j])
+                        continue
+                    # those dealt to this cell against all that came: of two guests each has a cell of its own
                     mine = order[own[order]]
                     if len(mine):
                         one = Tree(bitmaps[mine], sizes[mine], classes[mine])
-                        every = Tree(bitmaps[order], sizes[order], classes[order])
                         for i, j in one.pairs(every, threshold):
-                            yield pairs_of(ids, mine[i], order[j])
+                            yield named(ids, mine[i], order[j])
 
-    def pairs_of(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    def named(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
         low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
-    sorted_rows = dealt.select("token", "cell", "sid", "class", "n", "own", "bitmap").repartition("token", "cell")
-    candidates = materialized(
-        sorted_rows.sortWithinPartitions("token", "cell").mapInArrow(work, "a long, b long").distinct()
+    sorted_rows = rows.select(key, "cell", "sid", "class", "n", "own", "bitmap").repartition(key, "cell")
+    found = sorted_rows.sortWithinPartitions(key, "cell").mapInArrow(work, "a long, b long")
+    return materialized(found.distinct())
+
+
+def _round(live: DataFrame, open_rows: DataFrame, number: int, threshold: Fraction) -> DataFrame:
+    """``a``, ``b``: candidates within the cells of one round. ``open_rows``: token, sid, class of open blocks."""
+    home = F.min(F.struct(F.xxhash64("token", F.lit(number)).alias("h"), F.col("token").alias("home")))
+    homes = materialized(
+        open_rows.groupBy("sid").agg(home.alias("h"), F.min("class").alias("class"))
+        .select("sid", "class", F.col("h.home").alias("home"))
+    )
+    many = homes.groupBy("home").agg(
+        F.count("*").alias("c"), F.min("class").alias("x"), F.max("class").alias("y")
+    ).filter("x != y")
+    cells = F.ceil(F.col("c") / CELL_SETS).alias("cells")
+    dealt = homes.join(many.select("home", cells), "home").select(
+        "sid", "class", "home", F.pmod(F.xxhash64("sid", F.lit(-number)), F.col("cells")).alias("cell"),
+        F.lit(True).alias("own"),
     )
-    return verified(live, candidates, threshold)
+    return _candidates(dealt.join(live.select("sid", "n", "bitmap"), "sid"), "home", threshold, whole=False)
+
+
+def _whole_blocks(live: DataFrame, open_rows: DataFrame, number: int, threshold: Fraction) -> DataFrame:
+    """``a``, ``b``: all candidates of different classes in open blocks."""
+    per_class = open_rows.groupBy("token", "class").agg(F.count("*").alias("c"))
+    blocks = per_class.groupBy("token").agg(
+        F.sum("c").alias("c"), F.max_by("class", F.struct("c", "class")).alias("main")
+    )
+    cells = F.ceil(F.col("c") / CELL_SETS)
+    rows = open_rows.join(blocks.select("token", "main", cells.alias("cells")), "token").withColumn(
+        "in_main", F.col("class") == F.col("main")
+    )
+    own = F.pmod(F.xxhash64("sid"), F.col("cells"))
+    dealt = rows.withColumn(
+        "cell", F.explode(F.when(F.col("in_main"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("cells") - 1)))
+    ).withColumn("own", F.col("in_main") | (F.col("cell") == own))
+    return _candidates(dealt.join(live.select("sid", "n", "bitmap"), "sid"), "token", threshold, whole=True)
 
 
 def verified(live: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
@@ -447,8 +455,10 @@ def verified(live: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFram
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = live.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
-    right = live.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
+    ends = materialized(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    few = live.join(broadcast_if_small(ends, max_bytes=SMALL_BYTES), "sid", "left_semi")
+    left = few.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
+    right = few.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
@@ -482,17 +492,10 @@ def _live(found: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def set_classes(
-    docs: DataFrame,
-    text_col: str = "text",
-    threshold: Fraction = THRESHOLD,
-    size: int = SHINGLE_WORDS,
-    rounds: int = ROUNDS,
+    found: DataFrame, heavy: np.ndarray, threshold: Fraction = THRESHOLD, rounds: int = ROUNDS
 ) -> DataFrame:
     """``id`` (a set's ``sid``) and ``class_id`` of all sets that are linked with another one."""
-    found = carriers(docs, text_col, size)
-    first = prefixes(found, heavy_shingles(found), threshold)
-    shared = first.groupBy("token").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x != y")
-    blocks = materialized(first.join(shared.select("token"), "token").distinct())
+    blocks = materialized(shared_blocks(prefixes(found, heavy, threshold)))
     live = _live(found, materialized(blocks.select("sid").distinct()))
     gained = 1 << 62
     links: DataFrame | None = None
@@ -503,14 +506,15 @@ def set_classes(
         if not n_open:
             break
         last = number > rounds or gained < n_open // WORTH_A_ROUND
-        found = materialized((_whole_blocks if last else _round)(live, open_rows, number, threshold))
-        gained = found.count()
+        candidates = (_whole_blocks if last else _round)(live, open_rows, number, threshold)
+        new = materialized(verified(live, candidates, threshold))
+        gained = new.count()
         if gained:
-            links = found if links is None else links.unionByName(found)
+            links = new if links is None else links.unionByName(new)
             classes = materialized(components.components(links))
         if last:
             break
-    return classes if classes is not None else docs.sparkSession.createDataFrame([], "id long, class_id long")
+    return classes if classes is not None else found.sparkSession.createDataFrame([], "id long, class_id long")
 
 
 def _open(blocks: DataFrame, classes: DataFrame | None) -> DataFrame:
@@ -536,8 +540,9 @@ def similar_documents(
 ) -> DataFrame:
     """Per row of ``docs``: ``id_col``, ``n_shingles`` and ``component_id``, the smallest identifier reachable
     over links."""
-    rows = materialized(sizes_of_sets(docs, id_col, text_col, size))
-    classes = set_classes(docs, text_col, threshold, size)
+    counted = materialized(sizes_and_counts(docs, id_col, text_col, size))
+    rows = counted.filter("token is null")
+    classes = set_classes(carriers(docs, text_col, size), heavy_shingles(counted), threshold)
     of_set = classes.select(F.col("id").alias("sid"), F.col("class_id").alias("class"))
     placed = materialized(
         rows.select(F.col(id_col).alias("own"), "n", "sid").join(of_set, "sid", "left")
