@@ -52,7 +52,8 @@ WORTH_A_ROUND = 50  # another round while the last one linked one in so many ope
 CELL_SETS = 512
 FANOUT = 8
 SIGNATURE_BITS = 2048
-COUNTED_SHINGLES = 4_000_000
+COUNTED_SHINGLES = 2_000_000
+SLICE_BYTES = 1 << 20
 SEEN_IN_TASK, HEAVY, HEAVY_MOST = 3, 48, 1_000_000
 SMALL_BYTES = 16 << 20
 
@@ -128,7 +129,7 @@ def sizes_and_counts(
         kept: list[np.ndarray] = []
         seen: set[int] = set()
         held = 0
-        for batch in textops.slices(batches, text_col):
+        for batch in textops.slices(batches, text_col, SLICE_BYTES):
             values, sizes = shingle_sets(batch.column(text_col), size)
             ids = _set_ids(values, sizes)
             yield pa.RecordBatch.from_arrays(
@@ -176,7 +177,7 @@ def carriers(docs: DataFrame, text_col: str = "text", size: int = SHINGLE_WORDS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in textops.slices(batches, text_col):
+        for batch in textops.slices(batches, text_col, SLICE_BYTES):
             values, sizes = shingle_sets(batch.column(text_col), size)
             ids = _set_ids(values, sizes)
             first = _first_met(ids, sizes, seen)
@@ -202,7 +203,7 @@ def prefixes(found: DataFrame, heavy: np.ndarray, threshold: Fraction) -> DataFr
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = shared.value
-        for batch in textops.slices(batches, "shingles"):
+        for batch in textops.slices(batches, "shingles", SLICE_BYTES):
             values, sizes = _unpacked(batch.column("shingles"))
             owner = np.repeat(np.arange(len(sizes)), sizes)
             last = np.zeros(len(values), bool)
@@ -464,7 +465,7 @@ def verified(live: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFram
 
 def _with_signatures(chosen: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.slices(batches, "shingles"):
+        for batch in textops.slices(batches, "shingles", SLICE_BYTES):
             values, sizes = _unpacked(batch.column("shingles"))
             bitmaps = signatures(values, sizes, SIGNATURE_BITS)
             yield pa.RecordBatch.from_arrays(
