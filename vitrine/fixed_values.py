@@ -214,9 +214,7 @@ PRICE_OUT_OF_STOCK_FRENCH = "Rupture de stock"
 
 # --- dimensions ---------------------------------------------------------------------------------
 DIM_NUMBER = r"\d+(?:[.,]\d+)?"
-DIM_UNIT = r"(?:cm|in|\"|''|”|″)"
 DIM_SIGNAL_PATTERN = r"(cm|in|\"|''|”|″|[WLDHPØ])"
-DIM_RANGE = r"\d+(?:[.,]\d+)?(?:\s*[-/]\s*\d+(?:[.,]\d+)?)?"
 DIM_FRENCH_LABELS = {"largeur": "L", "longueur": "L", "profondeur": "P", "hauteur": "H"}
 DIM_ENGLISH_LABELS = {"length": "L", "width": "W", "depth": "D", "height": "H"}
 DIM_PREFIXES = ("fauteuil", "ottoman")
@@ -224,6 +222,50 @@ DIM_SKIPPED_CONTEXT = r"\b(assise|dossier|abat-jour|mur)\b"
 DIM_SEAT_CONTEXT = r"\b(seat|back|assise|dossier)\b"
 DIM_BARE_PATTERN = r"\d+(?:\.\d+)?\s*[WLDH]\s*x?\s*\d+(?:\.\d+)?"
 DIM_MAX_CM = 1000
+# Each pattern whole, as it is matched.
+# L x P x H with optional units and letters
+DIM_CROSS_PATTERN = (
+    r"(\d+(?:[.,]\d+)?\s*(?:(?:(?:cm|in|\"|''|”|″))\s*)?[WLDHP]?\s*[xX]\s*\d+(?:[.,]\d+)?\s*(?:(?:"
+    r"(?:cm|in|\"|''|”|″))\s*)?[WLDHP]?(?:\s*[xX]\s*\d+(?:[.,]\d+)?\s*(?:(?:(?:cm|in|\"|''|”|″))"
+    r"\s*)?[WLDHP]?)?)"
+)
+# the same with notes in brackets
+DIM_CROSS_NOTED_PATTERN = (
+    r"(\d+(?:[.,]\d+)?\s*(?:(?:(?:cm|in|\"|''|”|″))\s*)?[WLDHP]?(?:\s*\([^)]{1,32}\))?)\s*[xX×]\s*"
+    r"(\d+(?:[.,]\d+)?\s*(?:(?:(?:cm|in|\"|''|”|″))\s*)?[WLDHP]?(?:\s*\([^)]{1,32}\))?)(?:\s*[xX×]"
+    r"\s*(\d+(?:[.,]\d+)?\s*(?:(?:(?:cm|in|\"|''|”|″))\s*)?[WLDHP]?(?:\s*\([^)]{1,32}\))?))?"
+)
+# a number and its unit
+DIM_MEASURE_PATTERN = r"(\d+(?:[.,]\d+)?)\s*((?:cm|in|\"|''|”|″))?"
+# width, depth and height in a run
+DIM_FRENCH_RUN_PATTERN = (
+    r"\b(?:largeur|longueur)\s*:?\s*(\d+(?:[.,]\d+)?)\s*((?:cm|in|\"|''|”|″))?.{0,32}?\bprofondeur"
+    r"\s*:?\s*(\d+(?:[.,]\d+)?)\s*((?:cm|in|\"|''|”|″))?.{0,32}?\bhauteur\s*:?\s*(\d+(?:[.,]\d+)?)"
+    r"\s*((?:cm|in|\"|''|”|″))?"
+)
+# diameter and height
+DIM_ROUND_PATTERN = (
+    r"(\d+(?:[.,]\d+)?\s*(?:(?:cm|in|\"|''|”|″))?\s*Ø)\s*[xX×]\s*(\d+(?:[.,]\d+)?\s*(?:"
+    r"(?:cm|in|\"|''|”|″))?\s*[HP])"
+)
+# label, context and the text up to the next label
+DIM_FRENCH_SEGMENT_PATTERN = (
+    r"\b(largeur|longueur|profondeur|hauteur)(\s*(?:\([^)]*\)|totale?)?)\s*:(.*?)(?=\b"
+    r"(?:largeur|longueur|profondeur|hauteur)(?:\s*(?:\([^)]*\)|totale?)?)\s*:|$)"
+)
+# a piece and the text up to the next one
+DIM_PREFIX_SEGMENT_PATTERN = r"\b(fauteuil|ottoman)\s*:(.*?)(?=\b(?:fauteuil|ottoman)\s*:|$)"
+# letter labels (W 20 cm) or word labels (width: 20 cm), not shortly after seat or back
+DIM_LABELLED_PATTERN = (
+    r"(?=[HWLDP])(?:(?<![A-Z])([HWLDP])(?![A-Z])\.?\s*:?\s*(?:approx(?:imately)?\.?\s*)?|(?<!"
+    r"(?:seat|back).{0,8})\b(length|width|depth|height)\s*(?::|approx(?:imately)?\.?)?\s*)(\d+"
+    r"(?:[.,]\d+)?(?:\s*[-/]\s*\d+(?:[.,]\d+)?)?)\s*(cm|in|\"|''|”|″)?"
+)
+# one measure with its letter; twenty characters on either side as groups 1 and 3
+DIM_SINGLE_PATTERN = (
+    r"(?=\d)(?<=(^.{0,19}|.{20}))(\d+(?:[.,]\d+)?\s*(?:cm|in|\"|''|”|″)\s*(?:Ø|[HWDLP])\b)(?="
+    r"(.{0,20}))"
+)
 
 # --- feeds --------------------------------------------------------------------------------------
 FEED_LIMIT = 200
