@@ -575,6 +575,7 @@ def reconcile(
     *,
     open_reviews: DataFrame | None = None,
     new_id: Column | None = None,
+    stored_ids: DataFrame | None = None,
     shops_bound: DataFrame | None = None,
     min_rows: int = 0,
     cut: Callable[[DataFrame], DataFrame] = materialized,
@@ -593,7 +594,9 @@ def reconcile(
     if new_id is not None:
         new = new.withColumn("id", new_id)
     else:
-        new = with_new_ids(new, ["shop_id", "source_listing_key"], listings)
+        new = with_new_ids(
+            new, ["shop_id", "source_listing_key"], listings if stored_ids is None else stored_ids
+        )
     reviews, review_candidates = ambiguous_reviews(
         matched.resolved, matched.candidates, as_of, open_reviews
     )

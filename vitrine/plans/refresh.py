@@ -1,5 +1,7 @@
 """Registered reconciliation queries: one per output of the refresh."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ from vitrine.operators import refresh as R
 from vitrine.operators.skew import latest
 from vitrine.plans.registry import query
 from vitrine.schemas import TABLES
-from vitrine.session import materialized
+from vitrine.session import materialized, shared_dir
 from vitrine.sources import adapters as A
 from vitrine.sources import feeds as S
 from vitrine.sources import tables as T
+from vitrine.sources.buckets import BucketTable
 
 AS_OF = A.REFRESH_AT
 LISTING_SQL = ", ".join(TABLES["listings"].fieldNames())
@@ -438,9 +441,13 @@ def sink_upsert(spark: SparkSession, folder: str) -> DataFrame:
     changed = A.listings(spark, folder).filter(
         F.col("last_seen_at") >= A.moment(A.REFRESH_FROM)
     )
-    return T.sink_upsert(
-        A.prior_listings(spark, folder), changed, ["id"], preserve=("first_seen_at",)
-    ).select("id", "first_seen_at", "last_seen_at", "price_value", "availability_status")
+    # one shop's rows change together, and a row's shop never does
+    table = BucketTable(
+        f"{shared_dir(spark)}/vitrine/table-{uuid.uuid4().hex}", ("source_shop_id", "id"), ("source_shop_id",)
+    )
+    table.replace(A.prior_listings(spark, folder), 0)
+    table.upsert(changed, 1, preserve=("first_seen_at",))
+    return table.read(spark).select("id", "first_seen_at", "last_seen_at", "price_value", "availability_status")
 
 
 @query(
