@@ -32,7 +32,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from itertools import chain
 
@@ -58,7 +58,6 @@ SEEN_IN_TASK, HEAVY, HEAVY_MOST = 3, 48, 1_000_000
 SMALL_BYTES = 16 << 20
 
 
-
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, rising within a text, and how many each text has."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -104,20 +103,14 @@ def _set_ids(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return textops.mix(out + sizes.astype(np.uint64)).view(np.int64)
 
 
-def _packed(values: np.ndarray, sizes: np.ndarray, some: np.ndarray) -> pa.Array:
-    """The chosen sets as binaries."""
-    chosen = np.ascontiguousarray(values[np.repeat(some, sizes)])
-    offsets = np.cumsum([0, *(8 * sizes[some])]).astype(np.int32)
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The sets as binaries."""
+    offsets = np.cumsum([0, *(8 * sizes)]).astype(np.int32)
     return pa.Array.from_buffers(
-        pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(chosen)]
+        pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]
     )
 
 
-def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    raw, offsets = textops.text_bytes(column)
-    return np.frombuffer(raw.tobytes(), np.int64), np.diff(offsets) // 8
-
-
 def sizes_and_counts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS
 ) -> DataFrame:
@@ -170,10 +163,15 @@ def _first_met(ids: np.ndarray, sizes: np.ndarray, seen: set[int]) -> np.ndarray
     return first
 
 
-def carriers(docs: DataFrame, text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
-    """``sid``, ``shingles`` (packed) of the sets that are not empty; each task passes on each of its sets once.
+def _each_set(
+    docs: DataFrame, text_col: str, size: int,
+    made: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str,
+) -> DataFrame:
+    """``made`` of the shingles, sizes and identifiers of the sets that are not empty; each task takes each of its
+    sets once.
 
-    Not written: shingles are several times their text, so what needs them reads the texts again."""
+    What needs shingles reads the texts again, as they are several times their text, and is made where they are:
+    a second Python stage would hold another worker and batches of ten thousand sets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -181,11 +179,9 @@ def carriers(docs: DataFrame, text_col: str = "text", size: int = SHINGLE_WORDS)
             values, sizes = shingle_sets(batch.column(text_col), size)
             ids = _set_ids(values, sizes)
             first = _first_met(ids, sizes, seen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[first]), _packed(values, sizes, first)], names=["sid", "shingles"]
-            )
+            yield made(values[np.repeat(first, sizes)], sizes[first], ids[first])
 
-    return docs.select(text_col).mapInArrow(work, "sid long, shingles binary")
+    return docs.select(text_col).mapInArrow(work, schema)
 
 
 def heavy_shingles(counted: DataFrame) -> np.ndarray:
@@ -196,31 +192,28 @@ def heavy_shingles(counted: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["token"] for r in top.select("token").toLocalIterator()], np.int64))
 
 
-def prefixes(found: DataFrame, heavy: np.ndarray, threshold: Fraction) -> DataFrame:
+def prefixes(docs: DataFrame, heavy: np.ndarray, threshold: Fraction, text_col: str, size: int) -> DataFrame:
     """``token``, ``sid``, ``heavy``: the shingles of every set of which similar sets share one."""
-    shared = found.sparkSession.sparkContext.broadcast(heavy)
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
     top, below = threshold.numerator, threshold.denominator
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(values: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         late = shared.value
-        for batch in textops.slices(batches, "shingles", SLICE_BYTES):
-            values, sizes = _unpacked(batch.column("shingles"))
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            last = np.zeros(len(values), bool)
-            if len(late):
-                last = late[np.minimum(np.searchsorted(late, values), len(late) - 1)] == values
-            # sets are in order of hash already: a stable sort moves heavy shingles to their ends
-            order = np.lexsort((last, owner))
-            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            needed = sizes - -(-sizes * top // below) + 1
-            chosen = order[place < np.repeat(needed, sizes)]
-            ids = batch.column("sid").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[chosen]), pa.array(ids[owner[chosen]]), pa.array(last[chosen])],
-                names=["token", "sid", "heavy"],
-            )
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        last = np.zeros(len(values), bool)
+        if len(late):
+            last = late[np.minimum(np.searchsorted(late, values), len(late) - 1)] == values
+        # sets are in order of hash already: a stable sort moves heavy shingles to their ends
+        order = np.lexsort((last, owner))
+        place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        needed = sizes - -(-sizes * top // below) + 1
+        chosen = order[place < np.repeat(needed, sizes)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(values[chosen]), pa.array(ids[owner[chosen]]), pa.array(last[chosen])],
+            names=["token", "sid", "heavy"],
+        )
 
-    return found.mapInArrow(work, "token long, sid long, heavy boolean")
+    return _each_set(docs, text_col, size, made, "token long, sid long, heavy boolean")
 
 
 def shared_blocks(rows: DataFrame) -> DataFrame:
@@ -463,26 +456,27 @@ def verified(live: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def _with_signatures(chosen: DataFrame) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.slices(batches, "shingles", SLICE_BYTES):
-            values, sizes = _unpacked(batch.column("shingles"))
-            bitmaps = signatures(values, sizes, SIGNATURE_BITS)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("sid"), pa.array(sizes, pa.int64()), batch.column("shingles"),
-                    pa.array([row.tobytes() for row in bitmaps], pa.binary()),
-                ],
-                names=["sid", "n", "shingles", "bitmap"],
-            )
+def _signed(docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """``sid``, ``n``, ``shingles`` (packed), ``bitmap`` of the sets."""
+
+    def made(values: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        bitmaps = signatures(values, sizes, SIGNATURE_BITS)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids), pa.array(sizes, pa.int64()), _packed(values, sizes),
+                pa.array([row.tobytes() for row in bitmaps], pa.binary()),
+            ],
+            names=["sid", "n", "shingles", "bitmap"],
+        )
 
-    return chosen.mapInArrow(work, "sid long, n long, shingles binary, bitmap binary")
+    return _each_set(docs, text_col, size, made, "sid long, n long, shingles binary, bitmap binary")
 
 
-def _live(found: DataFrame, members: DataFrame) -> DataFrame:
+def _live(docs: DataFrame, members: DataFrame, text_col: str, size: int) -> DataFrame:
     """``sid``, ``n``, ``shingles``, ``bitmap`` of the sets that stand in some block, each once."""
-    chosen = found.join(broadcast_if_small(members, max_bytes=SMALL_BYTES), "sid", "left_semi")
-    rows = materialized(_with_signatures(chosen).withColumn("row", F.monotonically_increasing_id()))
+    few = broadcast_if_small(members, max_bytes=SMALL_BYTES)
+    chosen = _signed(docs, text_col, size).join(few, "sid", "left_semi")
+    rows = materialized(chosen.withColumn("row", F.monotonically_increasing_id()))
     # sets that several tasks have met
     twice = materialized(
         rows.groupBy("sid").agg(F.min("row").alias("keep"), F.count("*").alias("c")).filter("c > 1")
@@ -493,11 +487,11 @@ def _live(found: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def set_classes(
-    found: DataFrame, heavy: np.ndarray, threshold: Fraction = THRESHOLD, rounds: int = ROUNDS
+    docs: DataFrame, heavy: np.ndarray, threshold: Fraction, text_col: str, size: int, rounds: int = ROUNDS
 ) -> DataFrame:
     """``id`` (a set's ``sid``) and ``class_id`` of all sets that are linked with another one."""
-    blocks = materialized(shared_blocks(prefixes(found, heavy, threshold)))
-    live = _live(found, materialized(blocks.select("sid").distinct()))
+    blocks = materialized(shared_blocks(prefixes(docs, heavy, threshold, text_col, size)))
+    live = _live(docs, materialized(blocks.select("sid").distinct()), text_col, size)
     gained = 1 << 62
     links: DataFrame | None = None
     classes: DataFrame | None = None
@@ -515,7 +509,7 @@ def set_classes(
             classes = materialized(components.components(links))
         if last:
             break
-    return classes if classes is not None else found.sparkSession.createDataFrame([], "id long, class_id long")
+    return classes if classes is not None else docs.sparkSession.createDataFrame([], "id long, class_id long")
 
 
 def _open(blocks: DataFrame, classes: DataFrame | None) -> DataFrame:
@@ -543,7 +537,7 @@ def similar_documents(
     over links."""
     counted = materialized(sizes_and_counts(docs, id_col, text_col, size))
     rows = counted.filter("token is null")
-    classes = set_classes(carriers(docs, text_col, size), heavy_shingles(counted), threshold)
+    classes = set_classes(docs, heavy_shingles(counted), threshold, text_col, size)
     of_set = classes.select(F.col("id").alias("sid"), F.col("class_id").alias("class"))
     placed = materialized(
         rows.select(F.col(id_col).alias("own"), "n", "sid").join(of_set, "sid", "left")
