@@ -438,22 +438,44 @@ def _whole_blocks(live: DataFrame, open_rows: DataFrame, number: int, threshold:
     return _candidates(dealt.join(live.select("sid", "n", "bitmap"), "sid"), "token", threshold, whole=True)
 
 
+def _hubs(pairs: DataFrame) -> DataFrame:
+    """``sid``, ``hub``, ``cell``, ``guest``: which sets meet to verify the pairs (a, b). The end with more pairs
+    is the hub and goes once to each of its cells, the other end is a guest there."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("c"))
+    both = (
+        pairs.join(ends.select(F.col("sid").alias("a"), F.col("c").alias("ca")), "a")
+        .join(ends.select(F.col("sid").alias("b"), F.col("c").alias("cb")), "b")
+    )
+    a_leads = F.col("ca") >= F.col("cb")
+    cells = F.ceil(F.greatest("ca", "cb") / CELL_SETS)
+    met = materialized(both.select(
+        F.when(a_leads, F.col("a")).otherwise(F.col("b")).alias("hub"),
+        F.when(a_leads, F.col("b")).otherwise(F.col("a")).alias("sid"), cells.alias("cells"),
+    ).withColumn("cell", F.pmod(F.xxhash64("sid"), F.col("cells"))))
+    homes = met.select(F.col("hub").alias("sid"), "hub", "cell").distinct().withColumn("guest", F.lit(False))
+    return materialized(met.select("sid", "hub", "cell", F.lit(True).alias("guest")).unionByName(homes))
+
+
 def verified(live: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) of sets that reach the threshold."""
+    """The pairs (a, b) of sets that reach the threshold. Shingles are shuffled once a pair, and once a hub's cell."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, held = None, np.zeros(0, np.int64)
         for batch in batches:
-            keep = [
-                similar(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), threshold)
-                for x, y in zip(batch.column("x"), batch.column("y"), strict=True)
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ends = materialized(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
-    few = live.join(broadcast_if_small(ends, max_bytes=SMALL_BYTES), "sid", "left_semi")
-    left = few.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
-    right = few.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+            links = []
+            for at, guest in enumerate(batch.column("guest").to_pylist()):
+                values = np.frombuffer(batch.column("shingles")[at].as_buffer(), np.int64)
+                if not guest:  # first of its cell
+                    hub, held = batch.column("hub")[at].as_py(), values.copy()
+                elif similar(held, values, threshold):
+                    sid = batch.column("sid")[at].as_py()
+                    links.append((min(hub, sid), max(hub, sid)))
+            low, high = np.array(links, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+
+    few = broadcast_if_small(_hubs(pairs), max_bytes=SMALL_BYTES)
+    rows = live.select("sid", "shingles").join(few, "sid").repartition("hub", "cell")
+    return rows.sortWithinPartitions("hub", "cell", "guest").mapInArrow(work, "a long, b long")
 
 
 def _signed(docs: DataFrame, text_col: str, size: int) -> DataFrame:
