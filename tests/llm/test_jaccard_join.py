@@ -126,3 +126,20 @@ def test_a_million_characters(spark):
     rows = [(1, long), (2, long + " and some more words at the end"), (3, "x" * 1_000_000)]
     got = jaccard_join.similar_documents(tables.docs(spark, rows)).collect()
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
+def test_wide_bitmaps_never_drop_a_similar_pair():
+    rng = np.random.default_rng(5)
+    limit = Fraction(4, 5)
+    dropped = 0
+    for _ in range(400):
+        base = rng.integers(-(2**62), 2**62, int(rng.integers(1, 300)))
+        kept = base[rng.random(len(base)) < rng.choice([0.3, 0.8, 0.9, 1.0])]
+        x = np.unique(base)
+        y = np.unique(np.append(kept, rng.integers(-(2**62), 2**62, int(rng.integers(1, 40)))))
+        possible = jaccard_join.wide_possible(
+            len(x), jaccard_join.wide_bitmap(x), len(y), jaccard_join.wide_bitmap(y), limit
+        )
+        assert possible or not jaccard_join.similar(x, y, limit)
+        dropped += not possible
+    assert dropped > 100

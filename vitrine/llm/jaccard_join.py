@@ -456,46 +456,80 @@ def _hubs(pairs: DataFrame) -> DataFrame:
     return materialized(met.select("sid", "hub", "cell", F.lit(True).alias("guest")).unionByName(homes))
 
 
-def verified(live: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) of sets that reach the threshold. Shingles are shuffled once a pair, and once a hub's cell."""
+def _at_hubs(live: DataFrame, pairs: DataFrame, column: str, agree: Callable[..., bool]) -> DataFrame:
+    """The pairs (a, b) for which ``agree`` holds of both sets' sizes and ``column``; that is shuffled once a pair,
+    and once a hub's cell."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, held = None, np.zeros(0, np.int64)
+        hub, size, held = None, 0, b""
         for batch in batches:
             links = []
+            sizes = batch.column("n").to_pylist()
             for at, guest in enumerate(batch.column("guest").to_pylist()):
-                values = np.frombuffer(batch.column("shingles")[at].as_buffer(), np.int64)
+                value = batch.column(column)[at].as_buffer()
                 if not guest:  # first of its cell
-                    hub, held = batch.column("hub")[at].as_py(), values.copy()
-                elif similar(held, values, threshold):
+                    hub, size, held = batch.column("hub")[at].as_py(), sizes[at], value.to_pybytes()
+                elif agree(size, held, sizes[at], value):
                     sid = batch.column("sid")[at].as_py()
                     links.append((min(hub, sid), max(hub, sid)))
             low, high = np.array(links, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
     few = broadcast_if_small(_hubs(pairs), max_bytes=SMALL_BYTES)
-    rows = live.select("sid", "shingles").join(few, "sid").repartition("hub", "cell")
+    rows = live.select("sid", "n", column).join(few, "sid").repartition("hub", "cell")
     return rows.sortWithinPartitions("hub", "cell", "guest").mapInArrow(work, "a long, b long")
 
 
+def wide_bitmap(values: np.ndarray) -> bytes:
+    """Bitmap of a set with four bits or more for each of its shingles, so that large sets can be told apart too."""
+    bits = 1 << max(6, (4 * len(values) - 1).bit_length())
+    flat = np.zeros(bits, bool)
+    flat[values & (bits - 1)] = True
+    return np.packbits(flat).tobytes()
+
+
+def wide_possible(n: int, x: bytes, m: int, y: bytes, threshold: Fraction) -> bool:
+    """Whether sets of these sizes and wide bitmaps may reach the threshold: what one has in a bit that the other
+    lacks is not shared. Of different widths the wider one is folded."""
+    width = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(np.frombuffer(z, np.uint8).reshape(-1, width), axis=0) for z in (x, y))
+    overlap = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return (threshold.numerator + threshold.denominator) * overlap >= threshold.numerator * (n + m)
+
+
+def verified(live: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) of sets that reach the threshold. The bitmaps of the trees have one width and let large sets
+    pass, so wide ones, a sixteenth of the shingles, go first."""
+
+    def whole(n: int, x: bytes, m: int, y: bytes) -> bool:
+        return similar(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), threshold)
+
+    likely = _at_hubs(live, pairs, "wide", lambda *both: wide_possible(*both, threshold))
+    return _at_hubs(live, materialized(likely), "shingles", whole)
+
+
 def _signed(docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """``sid``, ``n``, ``shingles`` (packed), ``bitmap`` of the sets."""
+    """``sid``, ``n``, ``shingles`` (packed), ``bitmap``, ``wide`` of the sets."""
 
     def made(values: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         bitmaps = signatures(values, sizes, SIGNATURE_BITS)
+        ends = np.cumsum(sizes)
+        wide = [wide_bitmap(values[end - n : end]) for n, end in zip(sizes.tolist(), ends.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids), pa.array(sizes, pa.int64()), _packed(values, sizes),
-                pa.array([row.tobytes() for row in bitmaps], pa.binary()),
+                pa.array([row.tobytes() for row in bitmaps], pa.binary()), pa.array(wide, pa.binary()),
             ],
-            names=["sid", "n", "shingles", "bitmap"],
+            names=["sid", "n", "shingles", "bitmap", "wide"],
         )
 
-    return _each_set(docs, text_col, size, made, "sid long, n long, shingles binary, bitmap binary")
+    return _each_set(
+        docs, text_col, size, made, "sid long, n long, shingles binary, bitmap binary, wide binary"
+    )
 
 
 def _live(docs: DataFrame, members: DataFrame, text_col: str, size: int) -> DataFrame:
-    """``sid``, ``n``, ``shingles``, ``bitmap`` of the sets that stand in some block, each once."""
+    """``sid``, ``n``, ``shingles``, ``bitmap``, ``wide`` of the sets that stand in some block, each once."""
     few = broadcast_if_small(members, max_bytes=SMALL_BYTES)
     chosen = _signed(docs, text_col, size).join(few, "sid", "left_semi")
     rows = materialized(chosen.withColumn("row", F.monotonically_increasing_id()))
