@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -58,13 +59,27 @@ def test_secrets(spark, sf_dir):
 
 def test_entropy_of_sliding_windows(spark):
     rnd = random.Random(8)
-    texts = ["".join(rnd.choice("abcdefXYZ012345+/") for _ in range(n)) for n in (20, 21, 40, 90)] + ["a" * 25]
+    texts = ["".join(rnd.choice("abcdefXYZ012345+/") for _ in range(n)) for n in (20, 21, 40, 90, 127, 128, 129, 146, 147, 148, 400)] + ["a" * 25]
     table = spark.createDataFrame([(t,) for t in texts], "t string")
     for row in table.select("t", secrets.highest_entropy(table.t).alias("h")).collect():
         want = max(entropy(row.t[i : i + 20]) for i in range(len(row.t) - 19))
         assert abs(row.h - want) < 1e-5
 
 
+def test_secrets_of_a_million_characters(spark):
+    rnd = random.Random(4)
+    long = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=1_000_000))
+    many = " ".join("token=" + "".join(rnd.choices("abcdefgh", k=14)) for _ in range(40_000))
+    path = "/".join(["dir"] * 200_000)
+    table = tables.docs(spark, [(1, f"é {long} y"), (2, many), (3, path)])
+    began = time.monotonic()
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(table).collect()}
+    assert [(s.start, s.kind, s.end) for s in got[1] if s.kind == 3] == [(2, 3, 1_000_002)]
+    assert [(s.start, s.kind, s.end) for s in got[2]] == base_secrets(many)
+    assert got[3] == []
+    assert time.monotonic() - began < 60  # some seconds of work; a square of the length takes hours
+
+
 def test_personal_data(spark):
     near = "Contact {} please call our friendly helper Zebulon about it now"
     rows = [

@@ -20,9 +20,13 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.functions.text import let
+
 # Kinds in their order, and the patterns that decide the spans.
 KINDS = ("assign", "access", "hex", "entropy")
 _NAME = (
@@ -41,7 +45,7 @@ THRESHOLDS = {"hexadecimal": 3.0, "letters": 4.1, "alphanumeric": 3.7, "signs":
 # Shapes of strings that are no secrets.
 ALLOWED = (
     r"^[A-Z]?[a-z]+$|^[A-Z]+$",  # words
-    r"^[A-Za-z]+(?:[-_/][A-Za-z]+)+$",  # words joined by signs, paths
+    r"^[A-Za-z]++(?:[-_/][A-Za-z]++)++$",  # words joined by signs, paths; possessive: no stack is needed
     r"(.)\1{5,}",  # one character again and again
     r"(?i)0123456789|abcdefghij|qwertyuiop",  # counting and keyboard rows
     r"(?i)example|placeholder|changeme|your[-_]?(?:api)?[-_]?key|xxxxxx",
@@ -49,18 +53,20 @@ ALLOWED = (
     r"^[0-9]+$",  # numbers
 )
 
+#: Parts of a text that are walked together (even: a run begins outside a match), characters of a block.
+RUN = 256
+BLOCK = 128
+
 _MARK = "\x01"
 _OTHER = "\x02"
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Matches of ``pattern`` in ``text`` as array<struct<s, value>>, leftmost and not overlapping."""
-    plain = F.translate(text, _MARK, _OTHER)
-    parts = F.split(F.regexp_replace(plain, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK, -1)
-    walked = F.aggregate(
+def _placed(parts: Column, at: Column) -> Column:
+    """Every second one of ``parts`` as struct<s, value>, the first part beginning at ``at``."""
+    return F.aggregate(
         parts,
         F.struct(
-            F.lit(0).alias("at"),
+            at.alias("at"),
             F.lit(False).alias("inside"),
             F.array().cast("array<struct<s:int,value:string>>").alias("found"),
         ),
@@ -74,8 +80,36 @@ def _matches(text: Column, pattern: str) -> Column:
         ),
         lambda state: state["found"],
     )
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """Matches of ``pattern`` in ``text`` as array<struct<s, value>>, leftmost and not overlapping.
+
+    Parts are walked in runs of ``RUN``, of which the starts are summed up first: a list that grows by
+    appending is copied at each step, so none gets long.
+    """
+    plain = F.translate(text, _MARK, _OTHER)
+    parts = F.split(F.regexp_replace(plain, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK, -1)
+
+    def runs(p: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(p), F.lit(RUN))
+        return F.transform(firsts, lambda first: F.slice(p, first, F.lit(RUN)))
+
+    def starts(r: Column) -> Column:
+        lengths = F.transform(
+            r, lambda run: F.aggregate(run, F.lit(0), lambda total, part: total + F.char_length(part))
+        )
+        return F.aggregate(
+            lengths,
+            F.array(F.lit(0)),
+            lambda sums, length: F.array_append(sums, F.element_at(sums, -1) + length),
+        )
+
+    def walked(r: Column) -> Column:
+        return let(starts(r), lambda at: F.flatten(F.transform(r, lambda run, i: _placed(run, F.get(at, i)))))
+
     none = F.array().cast("array<struct<s:int,value:string>>")
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    return F.when(text.rlike(pattern), let(parts, lambda p: let(runs(p), walked))).otherwise(none)
 
 
 def _spans(matches: Column, kind: int) -> Column:
@@ -97,12 +131,13 @@ def _bits(count: Column) -> Column:
     return F.when(count > 0, count * F.log2(F.greatest(count, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
 
 
-def highest_entropy(text: Column, width: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits, of the windows of ``width`` characters of ``text``.
+def _more_bits(c: int) -> float:
+    """(c + 1) * log2(c + 1) - c * log2(c)."""
+    return (c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0)
 
-    With c characters of a kind in the window, the entropy is log2(width) - sum(c * log2(c)) / width. The
-    sum is kept while the window slides: only the counts of the two characters that change enter.
-    """
+
+def _least_sum(text: Column, width: int) -> Column:
+    """The least sum(c * log2(c)) of the windows of ``width`` characters of a short text."""
     first = F.substring(text, F.lit(1), F.lit(width))
     at_first = F.aggregate(
         F.array_distinct(F.split(first, "")),
@@ -113,21 +148,50 @@ def highest_entropy(text: Column, width: int = WINDOW) -> Column:
         F.char_length(text) > width, F.sequence(F.lit(1), F.char_length(text) - width)
     ).otherwise(F.array().cast("array<int>"))
 
+    # what one more character adds where the window holds c of its kind: one look-up a change
+    adds = F.array(*[F.lit(_more_bits(c)) for c in range(width)])
+
     def slide(state: Column, i: Column) -> Column:
         # characters i + 1 .. i + width - 1 stay, character i leaves and i + width comes
-        stay = F.substring(text, i + 1, F.lit(width - 1))
-        old = _count(stay, F.substring(text, i, F.lit(1)))
-        new = _count(stay, F.substring(text, i + width, F.lit(1)))
-        total = state["total"] - _bits(old + 1) + _bits(old) + _bits(new + 1) - _bits(new)
-        return F.struct(total.alias("total"), F.least(state["least"], total).alias("least"))
+        def moved(stay: Column) -> Column:
+            old = _count(stay, F.substring(text, i, F.lit(1)))
+            new = _count(stay, F.substring(text, i + width, F.lit(1)))
+            return state["total"] - F.get(adds, old) + F.get(adds, new)
+
+        return let(
+            let(F.substring(text, i + 1, F.lit(width - 1)), moved),
+            lambda total: F.struct(total.alias("total"), F.least(state["least"], total).alias("least")),
+        )
 
-    least = F.aggregate(
+    return F.aggregate(
         steps,
         F.struct(at_first.alias("total"), at_first.alias("least")),
         slide,
         lambda state: state["least"],
     )
-    return F.round(F.log2(F.lit(float(width))) - least / width, 6)
+
+
+def highest_entropy(text: Column, width: int = WINDOW) -> Column:
+    """The highest Shannon entropy, in bits, of the windows of ``width`` characters of ``text``.
+
+    With c characters of a kind in the window, the entropy is log2(width) - sum(c * log2(c)) / width. The
+    sum is kept while the window slides: only the counts of the two characters that change enter. A
+    position costs as much as the characters before it, so the text is cut into blocks that overlap by
+    ``width - 1`` characters: every window lies in one of them.
+    """
+
+    def overlapping(blocks: Column) -> Column:
+        after = F.transform(blocks, lambda _, i: F.substring(F.get(blocks, i + 1), 1, width - 1))
+        return F.zip_with(blocks, after, lambda block, more: F.concat(block, F.coalesce(more, F.lit(""))))
+
+    def least(pieces: Column) -> Column:
+        # what is shorter than a window holds none of its own, unless it is the whole text
+        holding = F.filter(pieces, lambda piece, i: (i == 0) | (F.char_length(piece) >= width))
+        return F.array_min(F.transform(holding, lambda piece: let(piece, lambda p: _least_sum(p, width))))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    total = let(blocks, lambda b: let(overlapping(b), least))
+    return F.round(F.log2(F.lit(float(width))) - total / width, 6)
 
 
 def _threshold(text: Column) -> Column:
