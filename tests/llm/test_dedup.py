@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -73,6 +74,36 @@ def test_lines_of_hot_and_long_texts(spark):
     assert [bool(got[k].kept_text) for k in (400, 401, 402)] == [True, False, False]
 
 
+def test_one_edit_as_brute_force(spark):
+    rnd = random.Random(5)
+    pairs = [("", ""), ("", "a"), ("a", ""), ("ab", "ba"), ("x" * 64, "x" * 65), ("x" * 128, "x" * 129), ("🙂" * 65, "🙂" * 64)]
+    for _ in range(400):
+        a = "".join(rnd.choice("abé🙂") for _ in range(rnd.choice([1, 5, 63, 64, 65, 127, 128, 129, 140])))
+        b = a
+        for _ in range(rnd.choice([0, 1, 1, 1, 2])):
+            at = rnd.randrange(len(b) + 1)
+            b = rnd.choice([b[:at] + b[at + 1 :], b[:at] + "b" + b[at:], b[:at] + "z" + b[at + 1 :]])
+        pairs.append((a, b))
+    table = spark.createDataFrame(pairs, "a string, b string")
+    for row in table.select("a", "b", line_dedup.one_edit(table.a, table.b).alias("one")).collect():
+        near = abs(len(row.a) - len(row.b)) <= 1
+        assert row.one == (near and brute.edits(row.a, row.b) == 1), row
+
+
+def test_lines_of_a_million_characters(spark):
+    rnd = random.Random(3)
+    long = "".join(rnd.choices("abcdefghij é🙂", k=1_000_000))
+    rows = [
+        (1, long), (2, long[:300_000] + "#" + long[300_001:]), (3, long[:600_001] + long[600_002:]),
+        (4, long[:300_000] + "##" + long[300_000:]), (5, "\n".join(f"line {i} of many" for i in range(30_000)) + "\nline 7 of many"),
+    ]
+    began = time.monotonic()
+    got = line_dedup.dropped_lines(tables.docs(spark, rows)).collect()
+    assert sorted((r.id, r.near) for r in got if r.id < 5) == [(2, True), (3, True)]
+    assert [r.at for r in got if r.id == 5 and not r.near] == [30_000]
+    assert time.monotonic() - began < 120  # some seconds of work; a square of the length takes hours
+
+
 def test_lines_keep_all_columns_and_odd_rows(spark):
     got = line_dedup.without_repeated_lines(tables.docs(spark, tables.ODD))
     assert got.columns == ["doc_id", "text", *tables.CLASHES]

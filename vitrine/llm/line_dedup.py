@@ -90,42 +90,84 @@ def _chain(parts: Column) -> Column:
     )
 
 
+def _pieces(text: Column) -> Column:
+    """The text cut into blocks of ``BLOCK_CHARS`` characters, in one pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))
+
+
+def one_edit(left: Column, right: Column) -> Column:
+    """Whether two texts are one insertion, deletion or substitution apart.
+
+    Behind the first character that differs the rests are equal then, the longer text's one place later.
+    Work and memory are in proportion to the texts, whereas a distance matrix walks them again and again.
+    """
+    ordered = F.when(
+        F.char_length(left) >= F.char_length(right), F.struct(left.alias("long"), right.alias("short"))
+    ).otherwise(F.struct(right.alias("long"), left.alias("short")))
+
+    def apart(texts: Column) -> Column:
+        blocks = F.zip_with(
+            _pieces(texts["long"]), _pieces(texts["short"]),
+            lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit("")).alias("b")),
+        )
+        numbered = F.transform(blocks, lambda b, k: F.struct(k.alias("k"), b["a"].alias("a"), b["b"].alias("b")))
+        first = F.get(F.filter(numbered, lambda b: b["a"] != b["b"]), F.lit(0))
+        gap = F.char_length(texts["long"]) - F.char_length(texts["short"])
+
+        def shared(block: Column) -> Column:
+            places = F.sequence(F.lit(1), F.lit(BLOCK_CHARS))
+            same = F.filter(
+                places,
+                lambda i: (i <= F.char_length(block["b"]))
+                & (F.substring(block["a"], F.lit(1), i) == F.substring(block["b"], F.lit(1), i)),
+            )
+            return block["k"] * BLOCK_CHARS + F.size(same)
+
+        def rest_equal(at: Column) -> Column:
+            end = F.char_length(texts["long"])
+            return (gap <= 1) & (
+                F.substring(texts["long"], at + 2, end) == F.substring(texts["short"], at + 2 - gap, end)
+            )
+
+        return F.when(F.size(blocks) > 0, let(first, lambda block: let(shared(block), rest_equal)))
+
+    return F.coalesce(let(ordered, apart), F.lit(False))
+
+
 def _blocks(rest: Column, longer: Column, half: Column) -> Column:
     """The half that is not shared as blocks of ``BLOCK_CHARS`` places of the shorter text: of each the
     hash of all else (``context``) and its characters (``middle``), one more in the longer text.
 
-    ``let`` binds what is used for every block, so that it is computed once for the line.
+    A place in a text costs as much as the characters before it, so the text is cut into its blocks
+    once. ``let`` binds what is used for every block, so that it is computed once for the line.
     """
 
-    def part(text: Column, number: Column, shift: Column) -> Column:
-        return F.substring(text, number * BLOCK_CHARS + 1 + shift, F.lit(BLOCK_CHARS))
-
     def measured(text: Column) -> Column:
-        places = F.char_length(text) - longer
-        count = F.greatest(F.lit(1), F.ceil(places / BLOCK_CHARS).cast("int"))
-        return F.struct(places.alias("places"), count.alias("count"), text.alias("text"))
+        count = F.greatest(F.lit(1), F.ceil((F.char_length(text) - longer) / BLOCK_CHARS).cast("int"))
+        behind = F.when(longer == 0, text).otherwise(F.substring(text, 2, 2**31 - 1))
+        return F.struct(count.alias("count"), _pieces(text).alias("here"), _pieces(behind).alias("behind"))
 
     def hashed(m: Column) -> Column:
-        numbers = F.sequence(F.lit(0), m["count"] - 1)
-        before = _chain(F.transform(numbers, lambda k: part(m["text"], k, F.lit(0))))
-        after = _chain(F.reverse(F.transform(numbers, lambda k: part(m["text"], k, longer))))
         return F.struct(
-            numbers.alias("numbers"), before.alias("before"), after.alias("after"), m.alias("m")
+            _chain(F.slice(m["here"], F.lit(1), m["count"])).alias("before"),
+            _chain(F.reverse(m["behind"])).alias("after"),
+            m.alias("m"),
         )
 
     def cut(h: Column) -> Column:
         m = h["m"]
+
+        def one_more(k: Column) -> Column:
+            following = F.coalesce(F.substring(F.get(m["here"], k + 1), 1, 1), F.lit(""))
+            return F.when(longer == 0, F.lit("")).otherwise(following)
+
         return F.transform(
-            h["numbers"],
+            F.sequence(F.lit(0), m["count"] - 1),
             lambda k: F.struct(
                 F.xxhash64(
                     half, k, F.get(h["before"], k), F.get(h["after"], m["count"] - 1 - k)
                 ).alias("context"),
-                F.substring(
-                    m["text"],
-                    k * BLOCK_CHARS + 1,
-                    F.least(F.lit(BLOCK_CHARS), m["places"] - k * BLOCK_CHARS) + longer,
-                ).alias("middle"),
+                F.concat(F.coalesce(F.get(m["here"], k), F.lit("")), one_more(k)).alias("middle"),
             ),
         )
 
@@ -208,7 +250,7 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     )
     return (
         pairs.join(texts, [*_LINE]).join(other, ["other_a", "other_b"])
-        .filter(F.levenshtein("line", "other", 1) == 1)
+        .filter(one_edit(F.col("line"), F.col("other")))
         .groupBy(*_LINE).agg(F.min("earlier").alias("earlier"))
     )
 
@@ -244,8 +286,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.collect_list("at").alias("gone"), F.count_if("near").alias("n_near"))
     )
     split = F.split("text", "\n", -1)
-    everything = F.sequence(F.lit(0), F.size(split) - 1)
-    kept = F.transform(F.array_except(everything, "gone"), lambda i: F.get(split, i))
+
+    def without_gone(parts: Column) -> Column:
+        everything = F.sequence(F.lit(0), F.size(parts) - 1)
+        return F.transform(F.array_except(everything, "gone"), lambda i: F.get(parts, i))
+
+    kept = let(split, without_gone)
     joined = documents.join(
         broadcast_if_known_small(gone),
         documents["id"].eqNullSafe(gone["id"]) & (documents["row_key"] == gone["row_key"]),
