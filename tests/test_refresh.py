@@ -210,6 +210,30 @@ def test_a_group_of_copies_stays_linear(spark):
     assert matched.resolved.filter(F.col("ties") == n).count() == n
 
 
+def test_only_rows_that_can_score_are_candidates(spark):
+    """Same title alone makes no signatures: of 40 such rows those with an equal image or description stay."""
+    unlike = {"primary_image_url": "https://example.com/other.jpg", "source_description": "unlike"}
+    stored = listings(
+        spark, *[unlike for _ in range(40)], {"source_description": "unlike"},
+        {"primary_image_url": "", "price_value": 1.0}, {**unlike, "title": "Y", "normalized_title": None},
+    )
+    items = batch(spark, {"source_listing_key": "n"}, {"source_listing_key": "m", **unlike, "title": "Z"})
+    matched = R.match_batch(stored, items, crawls(spark), shops(spark))
+    assert rows(matched.candidates, "candidate_id") == [(41,), (42,)]
+    found = R.drift_match(R.keyed_match(matched.items, stored), matched.candidates)
+    assert rows(found, "source_listing_key", "score", "ties", "candidate_id") == [("n", 3, 1, 41)]
+
+
+def test_merged_rows_left_in_the_plan_give_the_same_outputs(spark):
+    stored = listings(spark, {}, {}, {"is_active": 0, "availability_status": "removed"})
+    items = batch(spark, {"source_listing_key": "k1", "price_value": 300.0}, {"source_listing_key": "n", "title": "New"})
+    outs = [refresh(spark, stored, items, cut_merged=cut) for cut in (None, R.uncut)]
+    for name in ("listings", "availability_events", "price_events"):
+        first, second = [sorted(map(str, getattr(out, name).collect())) for out in outs]
+        assert first == second != []
+    assert job(outs[0]) == job(outs[1])
+
+
 def jobs(spark, chunks, found=3):
     data = [(i, 1, "shop1", c, "", datetime(2026, 6, 1, 0, i), None, s, found, 0, 0, 0, "") for i, (c, s) in enumerate(chunks)]
     return spark.createDataFrame(data, TABLES["refresh_jobs"])
