@@ -158,3 +158,14 @@ def test_paths(spark):
         ("/healthz", False), ("/adminx", False), ("/cron/refresh", False), ("/", True),
         ("/robots.txt", False), ("/internal/d1/query", False), ("/static/app.js", False),
     ])
+
+
+def test_contains_any_evaluates_its_text_once(spark):
+    from vitrine.functions.text import contains_any
+
+    df = spark.createDataFrame([("xa",), ("xb",), ("x",), (None,)], "t string")
+    found = contains_any(F.regexp_replace("t", "x", "y"), ("ya", "yb", "c"))
+    assert [r[0] for r in df.select(found).collect()] == [True, True, False, None]
+    kept = df.withColumn("k", F.regexp_replace("t", "x", "y")).filter(contains_any(F.col("k"), ("ya", "yb", "c"))).drop("k")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [r.t for r in kept.collect()] == ["xa", "xb"]
