@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.test_catalog import T0, listings, shops
 from vitrine.operators import refresh as R
 from vitrine.schemas import PARSED, TABLES
+from vitrine.session import materialized
 from vitrine.sources import tables as T
 
 NOW = datetime(2026, 7, 1)
@@ -234,6 +235,25 @@ def test_merged_rows_left_in_the_plan_give_the_same_outputs(spark):
     assert job(outs[0]) == job(outs[1])
 
 
+def test_only_records_sent_twice_are_written_whole(spark):
+    """Matches are written as keys, marks and ids; whole rows only where a key may be sent twice."""
+    written = []
+
+    def cut(df):
+        written.append(materialized(df))
+        return written[-1]
+
+    stored = listings(spark, {}, {"is_active": 0})
+    items = batch(
+        spark, *[{"source_listing_key": f"k{i}"} for i in (1, 2, 2, 3)],
+        {"source_listing_url": None, "title": "No key", "source_description": "", "primary_image_url": ""})
+    found = R.match_batch(stored, items, crawls(spark), shops(spark), cut=cut, cut_merged=R.uncut)
+    assert sum(df.count() for df in written if "additional_image_urls" in df.columns) == 1
+    got = {r.source_listing_key: (r.seq, r.target_id, r.title) for r in found.resolved.collect()}
+    assert got == {"k1": (0, 1, "Sample Chair"), "k2": (2, 2, "Sample Chair"), "k3": (3, None, "Sample Chair"),
+                   None: (4, None, "No key")}
+
+
 def jobs(spark, chunks, found=3):
     data = [(i, 1, "shop1", c, "", datetime(2026, 6, 1, 0, i), None, s, found, 0, 0, 0, "") for i, (c, s) in enumerate(chunks)]
     return spark.createDataFrame(data, TABLES["refresh_jobs"])
