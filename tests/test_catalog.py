@@ -208,6 +208,20 @@ def test_jaccard_is_exact(spark, hot, threshold):
     assert {(r.left, r.right): r.score for r in got} == pytest.approx(want)
 
 
+def test_groups_of_equal_texts_are_named_by_32_bytes(spark):
+    """The digest that is shuffled with every text is kept as bytes, not as hexadecimal text."""
+    written = []
+
+    def cut(df):
+        written.append(df)
+        return df
+
+    df = spark.createDataFrame([(1, "a b"), (2, "b a"), (3, "c")], "id long, t string")
+    assert S.jaccard_pairs(df, "id", "t", cut=cut).collect() == [(1, 2, 1.0)]
+    digests = [w.select(F.length("fp").alias("n")).distinct().collect() for w in written if "fp" in w.columns]
+    assert [[r.n for r in rows] for rows in digests] == [[32], [32]]
+
+
 def test_listing_detail_history(spark):
     rows = listings(spark, {}, {"is_active": 0})
     ev = events(spark, *[(1, "a", f"s{i:02d}") for i in range(15)])
