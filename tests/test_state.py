@@ -164,6 +164,16 @@ def test_cap_fallback_and_identity(spark):
     assert sorted(r.key for r in S.feed_cap(rows, "source_slug", ["seq"], 2).collect()) == ["k1", "k2"]
 
 
+def test_identity_sends_the_columns_asked_for(spark):
+    rows = spark.createDataFrame(
+        [("s", "k1", "T", "i", "D", 0, 1), ("s", "k2", "t!", "i", "d", 1, 2), ("s", "k3", "T", "", "D", 1, 3)],
+        "source_slug string, key string, title string, primary_image_url string, source_description string, pri int, seq int")
+    few = S.dedupe_identity(rows, "source_slug", "key", ["seq"], F.col("pri"), ["seq"])
+    whole = S.dedupe_identity(rows, "source_slug", "key", ["seq"], F.col("pri"))
+    assert few.columns == ["source_slug", "key", "seq"]
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.select(few.columns).collect()))
+
+
 def test_html(spark):
     assert visible_strings("a<!-- c -->b<script>x</script><p> d &amp; e </p><style>s</style>") == ["a", "b", "d & e"]
     page = read_page('<h1>A <b>B</b></h1><div class="rte">x<div>y</div>z</div>t<script type="application/ld+json">'
