@@ -174,6 +174,22 @@ def test_identity_sends_the_columns_asked_for(spark):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.select(few.columns).collect()))
 
 
+def test_append_events_derives_the_log_once(spark, sf_dir, monkeypatch):
+    from vitrine.plans import refresh as P
+
+    log = P.A.availability_events(spark, sf_dir)
+    rows, made = log.count(), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(P.A, "availability_events", lambda *_: log.mapInArrow(counted, log.schema))
+    assert entry.queries()["sink_append_events"](spark, sf_dir).count() == rows
+    assert made.value == rows
+
+
 def test_html(spark):
     assert visible_strings("a<!-- c -->b<script>x</script><p> d &amp; e </p><style>s</style>") == ["a", "b", "d & e"]
     page = read_page('<h1>A <b>B</b></h1><div class="rte">x<div>y</div>z</div>t<script type="application/ld+json">'
