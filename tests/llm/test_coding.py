@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -46,6 +47,15 @@ def test_merging_skips_stale_entries():
     assert bpe.merge_symbols([], merges) == []
 
 
+def test_each_word_is_kept_once():
+    encoder = bpe.Encoder(bpe.Vocabulary.read(PATH))
+    text = "so brontelly, brontelly vankerish vankerish. brontelly!"
+    library = Tokenizer.from_file(PATH)
+    assert np.frombuffer(encoder.encode(text), np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert set(encoder.pieces.young) == {"brontelly", "brontelly,", "vankerish", "vankerish.", "brontelly!"}
+    assert set(encoder.words.young) == {"so", ",", ".", "!"}
+
+
 def test_empty_table(spark):
     assert bpe.encode_decode(tables.docs(spark, []), PATH).collect() == []
 

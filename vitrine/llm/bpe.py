@@ -18,6 +18,7 @@ import gc
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 
 from vitrine.llm import textops
 
-CACHED_WORDS = 150_000
-CACHED_PIECES = 100_000
+CACHED_WORDS = 50_000
+CACHED_PIECES = 300_000
 CACHED_CHARS = 64
 
 # The pre-token pattern of byte-level BPE, white space spelled out as the Unicode property.
@@ -89,26 +90,27 @@ def merge_symbols(symbols: list[int], merges: dict[int, int]) -> list[int]:
     """Merge adjacent symbols, always the pair of lowest rank and of those the leftmost.
 
     ``merges`` maps a pair (left << 20 | right) to (rank << 20 | merged symbol); the queue holds
-    rank << 32 | position.
+    that merge << 32 | position.
     """
     size = len(symbols)
     find, queue = merges.get, []
     for at in range(size - 1):
         merge = find(symbols[at] << 20 | symbols[at + 1])
         if merge is not None:
-            queue.append(merge >> 20 << 32 | at)
+            queue.append(merge << 32 | at)
     if not queue:
         return symbols
     after, before = list(range(1, size + 1)), list(range(-1, size - 1))
     heapq.heapify(queue)
+    take, push = heapq.heappop, heapq.heappush
     while queue:
-        entry = heapq.heappop(queue)
+        entry = take(queue)
         at = entry & 0xFFFFFFFF
         other = after[at]
         if symbols[at] < 0 or other >= size:
             continue  # stale: merged into its left neighbour, or nothing follows any more
-        merge = find(symbols[at] << 20 | symbols[other])
-        if merge is None or merge >> 20 != entry >> 32:
+        merge = entry >> 32
+        if find(symbols[at] << 20 | symbols[other]) != merge:
             continue  # stale: another pair stands here by now
         made = symbols[at] = merge & 0xFFFFF
         symbols[other] = -1
@@ -117,12 +119,12 @@ def merge_symbols(symbols: list[int], merges: dict[int, int]) -> list[int]:
             before[following] = at
             merge = find(made << 20 | symbols[following])
             if merge is not None:
-                heapq.heappush(queue, merge >> 20 << 32 | at)
+                push(queue, merge << 32 | at)
         leading = before[at]
         if leading >= 0:
             merge = find(symbols[leading] << 20 | made)
             if merge is not None:
-                heapq.heappush(queue, merge >> 20 << 32 | leading)
+                push(queue, merge << 32 | leading)
     return [s for s in symbols if s >= 0]
 
 
@@ -161,15 +163,19 @@ class Encoder:
     def __reduce__(self):
         return Encoder, (self.vocabulary,)
 
+    def _merged(self, word: str) -> bytes:
+        first = self.vocabulary.first
+        return array("i", merge_symbols([first[b] for b in word.encode()], self.vocabulary.merges)).tobytes()
+
     def _word(self, word: str) -> bytes:
-        packed = self.words.young.get(word)
+        # a word after a space is kept as the piece that it is
+        kept, key = (self.pieces, word[1:]) if word[0] == " " and len(word) > 1 else (self.words, word)
+        packed = kept.young.get(key)
         if packed is None:
-            packed = self.words.old.get(word)
+            packed = kept.old.get(key)
             if packed is None:
-                first = self.vocabulary.first
-                symbols = [first[b] for b in word.encode()]
-                packed = np.array(merge_symbols(symbols, self.vocabulary.merges), np.int32).tobytes()
-            self.words.put(word, packed)
+                packed = self._merged(word)
+            kept.put(key, packed)
         return packed
 
     def _pattern(self, text: str) -> bytes:
@@ -180,15 +186,16 @@ class Encoder:
         if not pieces or not head or head[-1].isspace():
             return self._pattern(text)
         out = list(map(self.pieces.young.get, pieces))
-        if None in out:
-            for at, piece in enumerate(pieces):
-                if out[at] is None:
-                    if not piece or piece[0].isspace() or piece[-1].isspace():
-                        return self._pattern(text)
-                    out[at] = self._piece(piece)
+        for at in [at for at, packed in enumerate(out) if packed is None]:
+            piece = pieces[at]
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                return self._pattern(text)
+            out[at] = self._piece(piece)
         return self._pattern(head) + b"".join(out)
 
     def _piece(self, piece: str) -> bytes:
+        if piece.isalpha() and piece.isascii():
+            return self._word(" " + piece)  # one pre-token, and no special token is read here
         packed = self.pieces.young.get(piece) or self.pieces.old.get(piece)
         if packed is None:
             packed = self._pattern(" " + piece)
