@@ -27,6 +27,12 @@ def test_text_keys(spark):
     check(spark, text.url_key, [("https://X.com/A//", "https://x.com/a")])
 
 
+def test_a_key_takes_one_python_worker(spark, capsys):
+    spark.createDataFrame([("a &amp; b",)], "x string").select(text.filter_key(F.col("x"))).explain()
+    assert capsys.readouterr().out.count("EvalPython") == 1
+    check(spark, text.html_unescape, [("a &lt;&eacute; &amp", "a <é &"), ("", ""), (None, None)])
+
+
 def test_prices(spark):
     check(spark, text.parse_price, [
         ("C$1,250.50", 1250.5), ("$1.250.50 CAD", 1250.5), ("$1,250 CAD", 1250.0),
