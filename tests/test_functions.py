@@ -175,3 +175,51 @@ def test_contains_any_evaluates_its_text_once(spark):
     kept = df.withColumn("k", F.regexp_replace("t", "x", "y")).filter(contains_any(F.col("k"), ("ya", "yb", "c"))).drop("k")
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
     assert [r.t for r in kept.collect()] == ["xa", "xb"]
+
+
+def test_lines_are_cleaned_as_a_whole(spark):
+    from vitrine.functions.text import clean_lines, clean_text, key_lines, lines_of, squash_key
+
+    rows = [
+        ("a  b \n  c\t",), (" \n\n x \r\n y",), ("",), ("\n",), (None,), ("É-é \x85 z\n--\n 1",),
+    ]
+    got = spark.createDataFrame(rows, "t string").select(
+        clean_lines(F.col("t")).alias("a"), F.transform(lines_of(F.col("t")), clean_text).alias("b"),
+        key_lines(F.col("t")).alias("c"), F.transform(lines_of(F.col("t")), squash_key).alias("d"),
+    ).collect()
+    assert [(r.a, r.c) for r in got] == [(r.b, r.d) for r in got]
+    assert got[0].a == ["a b", "c"]
+
+
+def test_plain_fragments_need_no_parser(monkeypatch):
+    from vitrine.sources import html
+
+    def parsed(fragment):
+        reader = html._PageReader()
+        reader.feed(fragment)
+        reader.close()
+        return reader.strings
+
+    plain = [
+        "", " a &amp; b ", "<p>x&eacute;</p><P class=\"a b\">y</P>z<br/>", "<a href='/x?a=1&amp;b=2'>t</a >",
+        "<li>&lt;p&gt;</li>\n<b> </b>&am", "a &#39;50s",
+    ]
+    other = [
+        "a < b", "<script>var a = '<p>';</script>b", "<!-- <p>c</p> -->d", "<p title=\"a>b\">e</p>",
+        "<p class=x>f</p>", "<template><p>g</p></template>h", "<textarea><p>i</p></textarea>j", "k <p", "</ p>l",
+        "<title>m &amp; n</title>o",
+    ]
+    assert [html.visible_strings(x) for x in plain + other] == [parsed(x) for x in plain + other]
+    want = [parsed(x) for x in plain]
+    monkeypatch.delattr(html, "_PageReader")
+    assert [html.visible_strings(x) for x in plain] == want
+
+
+def test_markup_and_titles_share_a_python_step(spark):
+    from vitrine.functions.text import ascii_fold, html_text
+
+    df = spark.createDataFrame([("<p>é&amp;</p>a\x0bb", "Ü"), (None, None)], "h string, t string")
+    read = df.select(html_text(F.col("h")).alias("h"), ascii_fold(F.col("t")).alias("t"))
+    assert read._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
+    got = read.select("h.*", "t").collect()
+    assert [tuple(r) for r in got] == [("é&\na\nb", "e&\na\nb", "U"), (None, None, None)]
