@@ -223,3 +223,19 @@ def test_markup_and_titles_share_a_python_step(spark):
     assert read._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
     got = read.select("h.*", "t").collect()
     assert [tuple(r) for r in got] == [("é&\na\nb", "e&\na\nb", "U"), (None, None, None)]
+
+
+def test_pages_are_handed_on_a_few_at_a_time():
+    import pyarrow as pa
+
+    from vitrine.sources import html
+
+    markup = [f"<title>t{i}</title><a href='/{i}'>x</a>" if i % 7 else None for i in range(300)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(300)), pa.array(markup), pa.array(["u"] * 300)], names=["page_id", "html", "url"]
+    )
+    parts = list(html._read_batches(iter([batch])))
+    assert max(p.num_rows for p in parts) <= html.PAGES_AT_ONCE
+    rows = [row for p in parts for row in p.to_pylist()]
+    assert [r["page_id"] for r in rows] == list(range(300))
+    assert rows[8]["page_title"] == "t8" and rows[8]["links"] == ["/8"] and rows[7]["visible_text"] == ""
