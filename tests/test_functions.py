@@ -239,3 +239,86 @@ def test_pages_are_handed_on_a_few_at_a_time():
     rows = [row for p in parts for row in p.to_pylist()]
     assert [r["page_id"] for r in rows] == list(range(300))
     assert rows[8]["page_title"] == "t8" and rows[8]["links"] == ["/8"] and rows[7]["visible_text"] == ""
+
+
+def test_traits_are_those_of_the_expressions(spark):
+    """What is found by words in Python is what the column expressions find."""
+    from vitrine.functions import text as X
+
+    texts = [
+        None, "", "Sofa en teck, années 60. 90 cm x 80 cm", "Buffet  RESTAURÉ", "Table de Montréal", "details here",
+        "contactez  nous", "Detailſ", "poKer LİT", "designed by A B for C D, 1960’s", "x pour y, 1950ſ",
+        "AnnÉe 60", "années 70", "Arne Jacobsen pour Fritz Hansen, cuir", "one two three four five six", "lampe 1980s\x1cverre",
+        "ánnée 90", "Ċanada", "canadá", "table a", "manger by",
+    ]
+    rows = [(i, t, d) for i, (t, d) in enumerate((t, d) for t in texts for d in texts)]
+    df = spark.createDataFrame(rows, "i int, title string, description string")
+    both = F.concat_ws(" ", "title", "description")
+    plain = {
+        "names": enrich.designer_maker(F.col("title"), F.col("description")),
+        "m": enrich.extract_materials(both), "c": enrich.extract_condition(F.col("description")),
+        "k": enrich.categorize(F.col("title"), F.col("description")), "e": enrich.extract_era(both),
+    }
+    want = [(*r.names, r.m, r.c, r.k, r.e) for r in df.select("i", *[v.alias(k) for k, v in plain.items()]).orderBy("i").collect()]
+    columns = ["designer", "maker", "materials", "condition_text", "category", "era"]
+    assert [tuple(r) for r in enrich.enrich_listings(df).orderBy("i").select(*columns).collect()] == want
+    keys = df.select(X.lookup_key(F.col("title")).alias("a"), X.squash_key(X.ascii_fold(F.col("title"))).alias("b")).collect()
+    assert [r.a for r in keys] == [r.b for r in keys]
+
+
+def test_keywords_and_sections_cost_the_engine_no_pattern(spark):
+    """Cleaned texts, keys, sections and keywords come out of the Python step that has the text anyway."""
+    from vitrine.functions.text import html_texts
+
+    df = spark.createDataFrame([("Sofa", "<p>a \x85 b</p><li>Materials</li><li> Oak &amp;\tash</li><li>Condition</li>")], "title string, h string")
+    rows = df.withColumn("_h", html_texts(F.col("h"))).select("title", "_h.lines", "_h.folded", F.col("_h.text").alias("description"), "_h.key")
+    out = enrich.enrich_listings(rows, "title", "description", "lines", "folded")
+    plan = out.select("materials", "category", "condition_text", "key")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and "contains" not in plan.lower().replace("containsnull", "")
+    assert tuple(out.select("materials", "category", "description", "key").first()) == (
+        "Oak & ash", "sofas", "a b Materials Oak & ash Condition", "a b materials oak ash condition")
+    lines = [None, "", "x\r\nMatériaux\x0b Chêne  Features", "Dimensions", "dimensions\n\n 5 cm\n", "materials\nMaker\ny"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, t string")
+    for labels, name in ((enrich.V.MATERIAL_LABELS, "materials"), (enrich.V.DIMENSION_LABELS, "dimensions")):
+        lined = enrich.labeled_section(df, "t", labels, "want").withColumn("got", enrich.labelled_sections(F.col("t"), F.col("t"))[name])
+        assert [r.got or "" for r in lined.orderBy("i").collect()] == [r.want for r in lined.orderBy("i").collect()]
+
+
+def test_gallery_lines_are_read_in_one_pass():
+    from vitrine.sources.feeds import read_gallery_text
+
+    assert read_gallery_text("- Chaise  rouge -\n\n Deux pièces\n90 cm x 40\n1 200 $", "- Chaise  rouge -\n\n Deux pieces\n90 cm x 40\n1 200 $") == (
+        "- Chaise rouge - Deux pièces 90 cm x 40 1 200 $", "chaise rouge deux pieces 90 cm x 40 1 200", "Chaise rouge Deux pièces", "1 200 $")
+    assert read_gallery_text("Vendu\nTable\nVéndu", "Vendu\nTable\nVendu")[2:] == ("Vendu Table", "Véndu")
+    assert read_gallery_text("a\nb\nc", "a\nb\nc")[2:] == ("a b", "")
+    assert read_gallery_text(" \n", " \n") == ("", "", "", "")
+
+
+def test_plain_pages_need_no_parser(monkeypatch):
+    from vitrine.sources import html
+
+    def parsed(page):
+        reader = html._PageReader()
+        reader.feed(page)
+        reader.close()
+        return vars_of(reader)
+
+    def vars_of(reader):
+        return reader.strings, reader.meta, reader.scripts, reader.links, reader.firsts
+
+    plain = [
+        "", " a &amp; b &am", "<!DOCTYPE html>\n<html lang=\"fr\"><title>T &lt; u</title><META content='1 &amp;amp; 2' name=\"description\"/>",
+        "<h1>A <b>B</b></h1><div class=\"x rte\">x<div>y</div>z<br/>w</div>t", "<p itemprop=\"description\">a</p><!-- c - d -->b<!---->c",
+        "<script type=\"application/ld+json\">{\"a\": \"&amp; > b\"}</script><SCRIPT>var a;</SCRIPT><style>.x{}</style >z",
+        "<a href=\"/a?b=1&amp;c=2\">1</a><a name=\"n\">2</a><template><p>h</p></template>", "<div data-product-description>d</div>a > b",
+        "<textarea>x &amp; y</textarea><p\n class='rte'>q</p>", "<script></script><h1></h1><h1>later</h1>",
+    ]
+    other = [
+        "a < b", "<script>if (a < b) {}</script>c", "<script>'<p>'</script>x", "<p class=x>f</p>", "<p title=\"a>b\">e</p>", "<script/>x<p>y",
+        "<title><b>m</b></title>o", "<!-- <p>c</p> -->d", "k <p", "</ p>l", "</p x=\"1\">m", "<script><!-- a --></script>b", "<p>x<!DOCTYPE html>y",
+        "<noscript><p>n</p></noscript>", "<iframe>a</iframe>b", "<script>a", "<title>b", "<?php x ?>c", "<![CDATA[x]]>y", "<p a =\"1\">z", "<my-tag>x</my-tag>",
+    ]
+    assert [vars_of(html.parse_page(x)) for x in plain + other] == [parsed(x) for x in plain + other]
+    want = [parsed(x) for x in plain]
+    monkeypatch.setattr(html._PageReader, "feed", None)
+    assert [vars_of(html.parse_page(x)) for x in plain] == want
