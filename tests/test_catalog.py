@@ -266,3 +266,28 @@ def test_sitemap_files_and_site_document(spark, tmp_path):
         "<sitemap><loc>https://c.example/sitemap-2.xml</loc></sitemap>")
     site = json.loads(R.site_json_ld(spark, "https://c.example", "Catalog").first().json_ld)
     assert site["@type"] == "WebSite" and site["potentialAction"]["target"]["urlTemplate"].endswith("?q={search_term_string}")
+
+
+def test_jaccard_sends_few_words_and_pairs(spark):
+    """Pairs that share single words of many are counted out before any words are sent, and neither the words that
+    follow a hot one nor the sets that stand once are shuffled."""
+    from vitrine.operators import similarity as S
+
+    texts = {i: " ".join(f"w{i}x{j}" for j in range(30)) + " " + " ".join(f"c{(i + j) % 40}" for j in range(6)) for i in range(120)}
+    texts |= {500: texts[7] + " more", 501: texts[7], 502: " ".join(texts[9].split()[1:]), 503: ""}
+    df = spark.createDataFrame(list(texts.items()), "id long, t string")
+    seen = {}
+
+    def cut(frame):
+        kept = frame.localCheckpoint()
+        seen["-".join(kept.columns)] = [tuple(r) for r in kept.collect()]
+        return kept
+
+    want = S.jaccard_pairs(df, "id", "t", hot_postings=1000).collect()
+    for hot in (1000, 3):
+        seen.clear()
+        got = S.jaccard_pairs(df, "id", "t", hot_postings=hot, cut=cut).collect()
+        assert sorted(got) == sorted(want)
+        assert {(r[0], r[1]) for r in got} == {(7, 500), (7, 501), (9, 502)}
+        assert len(seen["left-right"]) < 30
+        assert all(len(first) < 25 for *_, first in seen["lead-n-asked-first"])
