@@ -290,4 +290,4 @@ def test_jaccard_sends_few_words_and_pairs(spark):
         assert sorted(got) == sorted(want)
         assert {(r[0], r[1]) for r in got} == {(7, 500), (7, 501), (9, 502)}
         assert len(seen["left-right"]) < 30
-        assert all(len(first) < 25 for *_, first in seen["lead-n-asked-first"])
+        assert all(len(first) < 25 for *_, first in seen["lead-n-first"])

@@ -220,9 +220,10 @@ WHERE s.active = 1 AND l.is_active = 1 AND effective_availability <> 'removed'""
     },
 )
 def listing_detail(spark: SparkSession, folder: str) -> DataFrame:
+    changes = A.logged_changes(spark, folder)
     detail = C.listing_detail(
         A.listings(spark, folder), A.shops(spark, folder),
-        A.availability_events(spark, folder), A.price_events(spark, folder),
+        A.availability_events(spark, folder, changes), A.price_events(spark, folder, changes),
     )
 
     def day(entry):
