@@ -249,3 +249,25 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 def test_every_query_is_named_and_flagship_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 48
+
+
+def test_lag_sends_rows_once_unless_keys_are_hot(spark):
+    rows = [(k if k < 7 else None, None if i % 9 == 8 else (k * 5 + i * 7) % 40, i, None if i % 5 == 4 else i) for k in range(8) for i in range(k * 6)]
+    df = spark.createDataFrame(rows, "k long, t long, n long, v long")
+    results = []
+    for hot_rows in (0, 20, 1000):
+        lagged = skew.lag_in_buckets(df, "k", F.floor(F.col("t") / 10), ["t", "n"], ["v"], hot_rows)
+        results.append(sorted(map(str, lagged.select("k", "t", "n", "v", "prev_v", "is_first").collect())))
+    assert results[0] == results[1] == results[2] and len(results[0]) > 50
+    assert results[0] == sorted(map(str, skew._lag_over_buckets(df, "k", F.floor(F.col("t") / 10), ["t", "n"], ["v"])
+                                    .select("k", "t", "n", "v", "prev_v", "is_first").collect()))
+    assert lagged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_both_logs_of_a_reader_come_from_changes_written_once(spark, sf_dir):
+    from vitrine.sources import adapters as A
+
+    changes = A.logged_changes(spark, sf_dir)
+    for log in (A.availability_events, A.price_events):
+        assert sorted(map(str, log(spark, sf_dir, changes).collect())) == sorted(map(str, log(spark, sf_dir).collect()))
+        assert "lineitem" not in log(spark, sf_dir, changes)._jdf.queryExecution().executedPlan().toString()
